@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, token_counts, toxicity
+from . import line_dedup, near_dedup, packing, token_counts, toxicity
 from .common import crc_of, table
 
 
@@ -39,6 +39,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of four words, as its contract fixes; the operator's own default is five."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
@@ -52,7 +57,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op4_token_counts, op6_packing, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op4_token_counts, op6_packing, op9_line_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
