@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, nearest, packing, token_counts, toxicity
+from . import decontaminate, line_dedup, near_dedup, nearest, packing, substring_dedup, token_counts, toxicity
 from .common import crc_of, table
 
 
@@ -34,6 +34,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"), least=50)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -67,7 +71,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op4_token_counts, op6_packing, op7_decontaminate, op9_line_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op9_line_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
