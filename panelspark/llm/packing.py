@@ -16,6 +16,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,22 @@ WORD = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 ASCII_WORD = r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+"
 
 
-def id_encoder(path: str, table_rows: int = 400_000):
-    """A function from texts to their ids as little-endian unsigned 32-bit bytes, without added special tokens."""
+_TABLES: dict[str, dict[str, bytes]] = {}  # of this worker process, by tokenizer file: what one task learns the next one has
+
+
+def id_encoder(path: str, table_rows: int = 700_000):
+    """A function from texts to their ids as little-endian unsigned 32-bit bytes, without added special tokens.
+
+    Words are encoded once, when a worker first meets them; its table starts anew at table_rows words.
+    """
     tokenizer, added = load(path)
     wide, narrow = regex.compile(WORD), re.compile(ASCII_WORD)
     special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-    known: dict[str, bytes] = {}
+    closes = np.zeros(tokenizer.get_vocab_size(), bool)
+    closes[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+    fixed = {a: np.uint32(tokenizer.token_to_id(a)).tobytes() for a in added}
+    known = _TABLES.setdefault(path, {})
+    known |= fixed
 
     def words(text: str) -> list[str]:
         if text.isascii():
@@ -44,10 +55,22 @@ def id_encoder(path: str, table_rows: int = 400_000):
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma isn't told apart
         return wide.findall(text.lower())
 
+    def learn(fresh: list[str]) -> None:
+        """Ids of new words, encoded as one text: each word's last id, and no other, closes a word."""
+        ids = np.asarray(tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(closes[ids]) + 1
+        if len(ends) == len(fresh) and ends[-1] == len(ids):
+            raw = ids.tobytes()
+            at = (4 * np.concatenate([[0], ends])).tolist()
+            known.update(zip(fresh, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        else:  # a word that the joined text reads otherwise
+            for word, e in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                known[word] = np.asarray(e.ids, "<u4").tobytes()
+
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > table_rows:
             known.clear()
-            known.update((a, np.uint32(tokenizer.token_to_id(a)).tobytes()) for a in added)
+            known.update(fixed)
         found, new = [], set()
         for text in texts:
             if special is not None and "<|" in text:
@@ -57,15 +80,12 @@ def id_encoder(path: str, table_rows: int = 400_000):
             else:
                 got = words(text)
             found.append(got)
-            new.update(got)
-        fresh = [x for x in new if x not in known]
-        for at in range(0, len(fresh), 20_000):
-            block = fresh[at : at + 20_000]
-            for word, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                known[word] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in got]) for got in found]
+            new.update(filterfalse(known.__contains__, got))
+        fresh = list(new)
+        for at in range(0, len(fresh), 5000):
+            learn(fresh[at : at + 5000])
+        return [b"".join(map(known.__getitem__, got)) for got in found]
 
-    known.update((a, np.uint32(tokenizer.token_to_id(a)).tobytes()) for a in added)
     return encode
 
 
@@ -146,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """
     spark = docs.sparkSession
     parts = max(2, shuffle_parts(spark))
-    pieces = pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col)
+    pieces = keep(pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col))  # else the sort's sampling would encode all texts again
     placed = keep(
         pieces.repartitionByRange(parts, "length", id_col, "piece", "ids_crc32").sortWithinPartitions("length", id_col, "piece", "ids_crc32").withColumn("_part", F.spark_partition_id())
     )
