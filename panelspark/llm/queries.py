@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, nearest, packing, substring_dedup, token_counts, toxicity
+from . import decontaminate, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity
 from .common import crc_of, table
 
 
@@ -30,6 +30,13 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from documents whose crc32(id) mod 10 isn't 0, and scores all."""
+    held_out = crc_of(F.col("doc_id")) % 10 == 0
+    out = recurrent_lm.score_documents(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -71,7 +78,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op9_line_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op9_line_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
