@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity
+from . import decontaminate, html_text, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity
 from .common import crc_of, table
 
 
@@ -20,7 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_of(F.col("doc_id")) % 3 == 1
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    lexicon = toxicity.learn(docs.where(~held_out).join(labels, "doc_id"))
+    lexicon = toxicity.learn(docs, labels)
     scored = toxicity.score(docs, lexicon)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -54,6 +54,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.drop_common_lines(docs)
@@ -78,7 +82,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op9_line_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op8_html_text, op9_line_dedup, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
