@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 # Look-alikes of Latin letters (Cyrillic, Greek and others), in the order of the letters they stand for.
 LOOK_ALIKES = {
     "a": "аαɑ＠@4", "b": "ьвβ", "c": "сϲ", "d": "ԁ", "e": "еεєҽ3", "g": "ɡ", "h": "һ", "i": "іıι1!|", "j": "јϳ", "k": "кκ", "l": "ӏ", "m": "м",
@@ -68,59 +70,60 @@ def features(folded: str, prefixes: tuple[int, ...]) -> set[str]:
     return out
 
 
-def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, prefixes: tuple[int, ...] = (4, 5, 6), seed_weight: float = 4.0) -> dict:
-    """A lexicon and the weights of the score, fitted on at most max_rows labelled rows (documented bound of the fit).
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, prefixes: tuple[int, ...] = (4, 5, 6), seed_weight: float = 4.0) -> dict:
+    """A lexicon and the weights of the score, fitted on at most about max_rows labelled rows (documented bound of the fit).
 
-    Rows with a null label are left out. Where there are more rows than the bound, a hash of the text picks an even share.
-    With no rows, or rows of one label only, the seed lexicon stands with its own weights.
+    Rows with a null id or label are left out. Where there are more labels than the bound, a hash of the id picks an even
+    share; that share is what is broadcast to meet the documents. With no rows, or rows of one label only, the seed lexicon
+    stands with its own weights.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
-    n = rows.count()
+    named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
+    n = named.count()
     if n > max_rows:
-        share = int(max_rows / n * 1_000_000)
-        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < share)
-
-    def count(source):
-        for batch in source:
-            seen = {0: Counter(), 1: Counter()}
-            docs = [0, 0]
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                label = int(label > 0)
-                docs[label] += 1
-                seen[label].update(features(fold(text), prefixes))
-            seen[0][""], seen[1][""] = docs  # the documents themselves, under a name that no feature has
-            names = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([seen[0][x] for x in names], pa.int64()), pa.array([seen[1][x] for x in names], pa.int64())], names=["term", "clean", "toxic"])
-
-    counted = rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # bounded by the sample: terms of toxic rows that are at least three times as frequent there as elsewhere
-    whole = counted.where("term = ''").collect()
-    clean, toxic = (whole[0]["clean"], whole[0]["toxic"]) if whole else (0, 0)
+        named = named.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(max_rows / n * 1_000_000))
+    rows = keep(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(named), "id").select("text", "label"))
+    sums = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    clean, toxic = sums.get(0, 0), sums.get(1, 0)
+    if not clean or not toxic:
+        return {"terms": {f" {s} ": seed_weight for s in SEED_TERMS}, "exceptions": [f" {x} " for x in EXCEPTIONS], "weights": [-3.0, 1.0, 1.0, 0.0]}
+
+    def count(wanted: set[str] | None):
+        def run(source):
+            for batch in source:
+                seen: Counter = Counter()
+                for text in batch.column(0).to_pylist():
+                    got = features(fold(text), prefixes)
+                    seen.update(got if wanted is None else got & wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+
+        return run
+
+    def counted(label: int, wanted: set[str] | None) -> DataFrame:
+        return rows.where(F.col("label") == label).select("text").mapInArrow(count(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+    # terms of toxic rows that chance alone would hardly put there so often, then how many clean rows have those
+    base = toxic / (clean + toxic)
+    floor = max(3, math.ceil(math.log(1e-7) / math.log(base)))
+    seeds = {f" {s} " for s in SEED_TERMS}
+    bad = {r["term"]: r["n"] for r in counted(1, None).where((F.col("n") >= min(floor, toxic)) | F.col("term").isin(list(seeds))).collect()}
+    good = {r["term"]: r["n"] for r in counted(0, bad.keys() | seeds).collect()}
     terms: dict[str, float] = {}
-    if clean and toxic:
-        base = toxic / (clean + toxic)
-        floor = max(3, math.ceil(math.log(1e-7) / math.log(base))) if base < 0.9 else toxic + 1
-        near = counted.where((F.col("toxic") >= 3) & (F.col("term") != "") & (F.col("toxic") * float(clean) >= F.col("clean") * float(toxic) * 3.0)).collect()
-        seeds = {f" {s} " for s in SEED_TERMS}
-        for r in near:
-            odds = math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 0.5) / (clean + 1))
-            # a term counts by a bound of its log odds, so that few rows can't carry it; chance alone gives fewer than `floor`
-            sure = odds - 1.64 * math.sqrt(1 / (r["toxic"] + 0.5) + 1 / (r["clean"] + 0.5))
-            if r["term"] in seeds or (r["toxic"] >= floor or r["clean"] > 0) and odds > 2.5 and sure > 1.5:
-                terms[r["term"]] = max(odds, seed_weight / 2 if r["term"] in seeds else 0.0)
-        for t in [t for t in terms if not t.endswith(" ")]:  # a longer beginning adds nothing to a shorter one
-            if any(t[:k] in terms for k in range(2, len(t))):
-                del terms[t]
-        known = {r["term"]: r for r in counted.where(F.col("term").isin(list(seeds))).collect()}
-        for s in seeds - terms.keys():
-            if s not in known:
-                terms[s] = seed_weight
-    else:
-        terms = {f" {s} ": seed_weight for s in SEED_TERMS}
-    lexicon = {"terms": terms, "exceptions": [f" {x} " for x in EXCEPTIONS], "weights": [-3.0, 1.0, 1.0, 0.0]}
-    if clean and toxic:
-        lexicon["weights"] = _fit(rows, lexicon)
-    return lexicon
+    for t, k in bad.items():
+        odds = math.log((k + 0.5) / (toxic + 1)) - math.log((good.get(t, 0) + 0.5) / (clean + 1))
+        # a term counts by a bound of its log odds, so that few rows can't carry it
+        sure = odds - 1.64 * math.sqrt(1 / (k + 0.5) + 1 / (good.get(t, 0) + 0.5))
+        if odds > 2.0 and (t in seeds or sure > 1.0):
+            terms[t] = max(odds, seed_weight / 2) if t in seeds else odds
+    starts = sorted((t for t in terms if not t.endswith(" ")), key=len)
+    for t in starts:  # a beginning with clean hits gives way to a longer one that keeps its toxic ones
+        if good.get(t, 0) and any(u.startswith(t) and u != t and bad[u] >= 0.9 * bad[t] and good.get(u, 0) < good[t] for u in starts):
+            del terms[t]
+    for t in [t for t in terms if not t.endswith(" ")]:  # a longer beginning adds nothing to a shorter one
+        if any(t[:k] in terms for k in range(2, len(t))):
+            del terms[t]
+    terms |= {s: seed_weight for s in seeds - bad.keys() - good.keys()}
+    lexicon = {"terms": terms, "exceptions": [f" {x} " for x in EXCEPTIONS], "weights": []}
+    return lexicon | {"weights": _fit(rows, lexicon)}
 
 
 def automaton(lexicon: dict):
