@@ -6,8 +6,10 @@ side^2 * 2 * width. Two sets of similarity s share a key with probability (1 - (
 defaults all but 7 in 100,000 pairs meet, and pairs above meet more surely. Every candidate is confirmed on full sets.
 
 No group of a key is gathered or paired off: a key's documents are linked to one pivot of the group, found by an aggregate
-with map-side combining. Only where a group still spans several components after that are other pivots tried, and at
-last all remaining pairs across components, so that no link among candidates is lost.
+with map-side combining. Where a key still spans several components after that, documents with too many shingles of their
+own are set aside, as nothing can be near them, and the others are clustered by shared keys. In each cluster the documents
+outside of the largest component are held against all others in blocks of bounded size, so that no link among candidates
+is lost; rows come of links between components alone.
 """
 
 from __future__ import annotations
@@ -74,6 +76,29 @@ def signatures(docs: DataFrame, words: int, side: int, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, left array<long>, right array<long>")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and its text, compressed."""
+
+    def run(source):
+        for batch in source:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                raw = [(t or "").encode() for t in part.column(1).to_pylist()]
+                codec = pa.Codec("zstd", compression_level=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary())], names=["doc_id", "size", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, z binary")
+
+
+def unpacked_sets(size: list[int], z: list[bytes], words: int) -> list[np.ndarray]:
+    codec = pa.Codec("zstd")
+    return shingle_sets([codec.decompress(b, decompressed_size=n, asbytes=True) if n else b"" for n, b in zip(size, z, strict=True)], words)
+
+
+def near(s: np.ndarray, t: np.ndarray, both, percent: int) -> bool:
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) and whether 100 * intersection >= percent * union holds on their full sets."""
 
@@ -83,35 +108,96 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                if len(known) > 1000:
+                    for d in known.keys() - set(a) - set(b):
+                        del known[d]
                 need = {}
-                for ids, col in ((a, "ta"), (b, "tb")):
-                    text = part.column(col)
+                for ids, size, z in ((a, "na", "za"), (b, "nb", "zb")):
                     for i, d in enumerate(ids):
                         if d not in known and d not in need:
-                            need[d] = (text[i].as_py() or "").encode()
-                if len(known) > 1000:
-                    for d in [d for d in known if d not in a and d not in b]:
-                        del known[d]
-                known.update(zip(need, shingle_sets(list(need.values()), words), strict=True))
-                ok = []
-                for x, y in zip(a, b, strict=True):
-                    s, t = known[x], known[y]
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+                            need[d] = part.column(size)[i].as_py(), part.column(z)[i].as_py()
+                known.update(zip(need, unpacked_sets([x[0] for x in need.values()], [x[1] for x in need.values()], words), strict=True))
+                ok = [near(known[x], known[y], len(np.intersect1d(known[x], known[y], assume_unique=True)), percent) for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ok boolean")
+    left = texts.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col("z").alias("za"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col("z").alias("zb"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "za", "nb", "zb").mapInArrow(run, "a long, b long, ok boolean")
+
+
+def unique_counts(texts: DataFrame, words: int) -> DataFrame:
+    """doc_id and how many of its shingles no other of these documents has."""
+
+    def run(source):
+        for batch in source:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = unpacked_sets(part.column(1).to_pylist(), part.column(2).to_pylist(), words)
+                ids = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)), pa.array(ids)], names=["shingle", "doc_id"])
+
+    each = texts.select("doc_id", "size", "z").mapInArrow(run, "shingle long, doc_id long")
+    alone = each.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    return alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+
 
+def links_in_blocks(placed: DataFrame, texts: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between components of each cluster: one at least wherever two components have any.
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: int = 10, width: int = 2, pivot_rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    placed: doc_id, cluster, c (component). Documents outside of a cluster's largest component are held against all of
+    its documents, block by block; no pair becomes a row unless it is a link that joins components.
+    """
+    by = placed.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k"))
+    top = by.groupBy("cluster").agg(F.sum("k").alias("n"), F.max(F.struct("k", "c")).alias("m")).select("cluster", F.col("m.c").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("wide"), F.ceil((F.col("n") - F.col("m.k")) / block).cast("int").alias("high")).where("high > 0")
+    rows = placed.join(top, "cluster").join(texts, "doc_id")
+    h = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    left = rows.where("c <> main").withColumn("i", h("high")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    right = rows.withColumn("j", h("wide")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("high") - 1)))
+    columns = [F.col(n).alias(n) for n in ("cluster", "i", "j", "doc_id", "c", "size", "z")]  # new names: both sides come of one table
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def against(lt: pa.Table, rt: pa.Table) -> pa.Table:
+        if not lt.num_rows or not rt.num_rows:
+            return schema.empty_table()
+        ls, rs = (unpacked_sets(t.column("size").to_pylist(), t.column("z").to_pylist(), words) for t in (lt, rt))
+        lc, rc = lt.column("c").to_numpy(), rt.column("c").to_numpy()
+        li, ri = lt.column("doc_id").to_numpy(), rt.column("doc_id").to_numpy()
+        ln, rn = np.array([len(s) for s in ls]), np.array([len(s) for s in rs])
+        flat, owner = np.concatenate(rs), np.repeat(np.arange(len(rs)), rn)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        at = 0
+        while at < len(ls):
+            to = at + 1
+            while to < len(ls) and to < at + 64 and ln[at:to].sum() < 50_000:
+                to += 1
+            mine = np.concatenate(ls[at:to])
+            vocabulary = np.intersect1d(mine, flat)
+            for b0 in range(0, len(vocabulary), 8192):  # of bounded width, so is the memory
+                part = vocabulary[b0 : b0 + 8192]
+                x, y = np.zeros((to - at, len(part)), np.float32), np.zeros((len(rs), len(part)), np.float32)
+                for m, values, who in ((x, mine, np.repeat(np.arange(to - at), ln[at:to])), (y, flat, owner)):
+                    place = np.searchsorted(part, values)
+                    hit = (place < len(part)) & (part[np.minimum(place, len(part) - 1)] == values)
+                    m[who[hit], place[hit]] = 1
+                both = x @ y.T if b0 == 0 else both + x @ y.T
+            if len(vocabulary):
+                union = ln[at:to, None] + rn[None, :] - both
+                for i, j in np.argwhere((both > 0) & (100 * both >= percent * union) & (lc[at:to, None] != rc[None, :])).tolist():
+                    key = (min(lc[at + i], rc[j]), max(lc[at + i], rc[j]))
+                    found.setdefault(key, (li[at + i], ri[j]))
+            at = to
+        return pa.table([[int(v[0]) for v in found.values()], [int(v[1]) for v in found.values()]], schema=schema)
+
+    return left.select(*columns).groupBy("cluster", "i", "j").cogroup(right.select(*columns).groupBy("cluster", "i", "j")).applyInArrow(against, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: int = 10, width: int = 2, block: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id).
 
     Words are runs of bytes that aren't ASCII white space, A-Z lower-cased; a set holds the distinct runs of `words` words.
     Null, empty and wordless texts have an empty set, link with nothing and are kept. Rows with a null id come back with a
-    null component and kept true. Rows that share an id are one node: any of them
-    makes it a candidate, and links are confirmed on the least of their texts. Other columns are left out.
+    null component and kept true. Rows that share an id are one node: any of them makes it a candidate, and links are
+    confirmed on the least of their texts. Other columns are left out.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sig = keep(signatures(base, words, side, width))
@@ -119,47 +205,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     linked = sig.where("n > 0 AND doc_id IS NOT NULL")
     least = linked.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right"))
     same = linked.join(least.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    reps = keep(least.select(F.col("rep").alias("doc_id"), "n", "left", "right"))
+    reps = least.select(F.col("rep").alias("doc_id"), "n", "left", "right")
     keyed = reps.select("doc_id", F.explode("left").alias("_l"), "right").select("doc_id", "_l", F.explode("right").alias("_r")).select("doc_id", F.xxhash64("_l", "_r").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = keep(keyed.join(shared, "key", "left_semi").select("key", "doc_id"))
-
-    sizes = reps.select("doc_id", "n")
-    checked, links, comp = None, same, None
-    for turn in range(pivot_rounds + 2):
-        if turn == 0:
-            pivot = members.groupBy("key").agg(F.min("doc_id").alias("p"))
-            pairs = members.join(pivot, "key").where("doc_id <> p").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
-        else:
-            # documents outside every component are components of their own
-            placed = members.join(comp, members.doc_id == comp.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-            split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-            open_ = keep(placed.join(split, "key", "left_semi"))
-            each = open_.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-            left = each.groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.sum("k")).first()
-            if not left[0]:
-                break
-            last = turn == pivot_rounds + 1 or left[0] <= 5 * left[1]
-            if last:
-                other = open_.select("key", F.col("doc_id").alias("b"), F.col("c").alias("cb"))
-                pairs = open_.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b AND c <> cb").select("a", "b")
-            else:
-                pivot = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("p"), F.col("c").alias("pc"))).alias("m")).select("key", "m.p", "m.pc")
-                pairs = open_.join(pivot, "key").where("c <> pc").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
-        pairs = pairs.distinct()
-        small, large = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        pairs = pairs.join(small, "a").join(large, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = keep(pairs)
-        need = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = base.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        result = keep(confirm(pairs, texts, words, percent))
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        links = links.unionByName(result.where("ok").select("a", "b"))
-        comp = components(links)
-        if turn and last:
-            break
+    need = members.select("doc_id").distinct()
+    # texts of candidates alone, once, compressed
+    texts = keep(packed(base.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))))
+    sizes = linked.groupBy("doc_id").agg(F.min("n").alias("n"))
+
+    def by_pivot(rows: DataFrame) -> DataFrame:
+        pivot = rows.groupBy("key").agg(F.min("doc_id").alias("p"))
+        return rows.join(pivot, "key").where("doc_id <> p").select(F.col("p").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+    small, large = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    pairs = by_pivot(members).join(small, "a").join(large, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    links = keep(confirm(pairs, texts, words, percent).where("ok").select("a", "b"))
+    comp = keep(components(links))
+
+    # keys whose documents are not one component yet: what of them can still be linked?
+    c = F.coalesce("component", "doc_id")
+    placed = members.join(comp, members.doc_id == comp.node, "left").select("key", "doc_id", c.alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    open_ = keep(placed.join(split, "key", "left_semi"))
+    who = open_.select("doc_id").distinct()
+    # a document that has more shingles to itself than a link leaves room for has no link
+    alone = unique_counts(texts.join(who, "doc_id"), words)
+    able = who.join(sizes, "doc_id").join(alone, "doc_id", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * percent).select("doc_id")
+    open_ = keep(open_.join(able, "doc_id"))
+    clusters = components(by_pivot(open_))
+    rest = open_.select("doc_id", "c").distinct().join(clusters, open_.doc_id == clusters.node).select("doc_id", F.col("component").alias("cluster"), "c")
+    more = links_in_blocks(keep(rest), texts, words, percent, block)
+
+    comp = components(links.unionByName(more).unionByName(same))
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(comp, sig.doc_id == comp.node, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
