@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from .common import keep, mix64
 
-BLOCK = 4096
+BLOCK = 32_768
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -112,10 +112,11 @@ def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(F.size("v") == (n["n"] if n else 0))
 
 
-def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.97, leaf_rows: int = 128, sample_rows: int = 30_000, calibration_rows: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.97, leaves: int | None = None, sample_rows: int = 30_000, calibration_rows: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other rows by inner product in double precision.
 
-    is_query is a condition on vec_id. sample_rows bounds the rows that the tree is fitted on, calibration_rows those that
+    is_query is a condition on vec_id. leaves is about how many the tree has (four times the cube root of the
+    rows by default, so that a query's visits grow slowly); sample_rows bounds the rows that the tree is fitted on, calibration_rows those that
     the number of visits is calibrated on; both are even shares by a hash of the id. Every row is indexed. Vectors that are
     null, zero, or hold null or non-finite components take no part, nor do those of another length than the commonest. Ties
     go to the smaller vec_id; repeated vec_ids are candidates each. With no valid row the result is empty.
@@ -133,7 +134,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.97, leaf_r
 
     sample = share(sample_rows, 1).select("rep", "v").orderBy("rep").toPandas()  # bounded by sample_rows
     x = np.array(sample["v"].tolist())
-    tree = Tree(lifted(x, top), max(4, int(leaf_rows * len(x) / total)))
+    tree = Tree(lifted(x, top), max(4, int(2.5 * len(x) / (leaves or 4 * total ** (1 / 3)))))
 
     def index(source):
         for batch in source:
