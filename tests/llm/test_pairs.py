@@ -209,7 +209,7 @@ def test_neighbours(spark):
     from pyspark.sql import functions as F
 
     got = defaultdict(list)
-    for r in nearest.nearest(df, F.col("vec_id") % 20 == 0, k=20, sample_rows=500, leaf_rows=20).orderBy("query_id", "rank").collect():
+    for r in nearest.nearest(df, F.col("vec_id") % 20 == 0, k=20, sample_rows=500, leaves=40).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
     hit, y = 0, x.astype(float)
     for q in range(0, 900, 20):
