@@ -7,9 +7,9 @@ defaults all but 7 in 100,000 pairs meet, and pairs above meet more surely. Ever
 
 No group of a key is gathered or paired off: a key's documents are linked to one pivot of the group, found by an aggregate
 with map-side combining. Where a key still spans several components after that, documents with too many shingles of their
-own are set aside, as nothing can be near them, and the others are clustered by shared keys. In each cluster the documents
-outside of the largest component are held against all others in blocks of bounded size, so that no link among candidates
-is lost; rows come of links between components alone.
+own are set aside, as nothing can be near them, and the others form clusters, by the least document of their keys. In each
+cluster the documents outside of the largest component known so far are held against all others in blocks of bounded
+size, so that no link among candidates is lost; rows come of links between components alone.
 """
 
 from __future__ import annotations
@@ -221,21 +221,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     small, large = sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     pairs = by_pivot(members).join(small, "a").join(large, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
     links = keep(confirm(pairs, texts, words, percent).where("ok").select("a", "b"))
-    comp = keep(components(links))
+    # what is known to hang together: a document's least pivot, and that one's
+    label = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("l"))
+    label = label.join(label.select(F.col("doc_id").alias("l"), F.col("l").alias("ll")), "l", "left").select("doc_id", F.coalesce("ll", "l").alias("l"))
 
-    # keys whose documents are not one component yet: what of them can still be linked?
-    c = F.coalesce("component", "doc_id")
-    placed = members.join(comp, members.doc_id == comp.node, "left").select("key", "doc_id", c.alias("c"))
+    # keys whose documents don't hang together yet: what of them can still be linked?
+    placed = members.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("l", "doc_id").alias("c"))
     split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     open_ = keep(placed.join(split, "key", "left_semi"))
     who = open_.select("doc_id").distinct()
     # a document that has more shingles to itself than a link leaves room for has no link
     alone = unique_counts(texts.join(who, "doc_id"), words)
     able = who.join(sizes, "doc_id").join(alone, "doc_id", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * percent).select("doc_id")
-    open_ = keep(open_.join(able, "doc_id"))
-    clusters = components(by_pivot(open_))
-    rest = open_.select("doc_id", "c").distinct().join(clusters, open_.doc_id == clusters.node).select("doc_id", F.col("component").alias("cluster"), "c")
-    more = links_in_blocks(keep(rest), texts, words, percent, block)
+    rows = open_.join(able, "doc_id")
+    pivots = rows.groupBy("key").agg(F.min("doc_id").alias("cluster"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key", "cluster")
+    rest = keep(rows.join(pivots, "key").select("doc_id", "cluster", "c").distinct())
+    more = links_in_blocks(rest, texts, words, percent, block)
 
     comp = components(links.unionByName(more).unionByName(same))
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(comp, sig.doc_id == comp.node, "left")
