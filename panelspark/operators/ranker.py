@@ -35,6 +35,8 @@ def fit(examples: DataFrame, keys: list[str], iterations: int = 1500, rate: floa
     """
     distinct = examples.groupBy(*keys, "x").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("target")).alias("wy"), F.count(F.lit(1)).alias("n"))
     grouped = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "w", "wy"))).alias("e"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.sum("w").alias("total"))
+    # few groups with much to do each: a number of partitions that isn't coalesced by their size
+    grouped = grouped.repartition(int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
     def descend(w, _):

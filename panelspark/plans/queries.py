@@ -462,11 +462,16 @@ def _signals(spark, d):
     return c.join(e, "vec_id").join(s, "vec_id")
 
 
+def _combined(s: DataFrame, *axes) -> DataFrame:
+    """vec_id and the combination of each axis's entries as an array c: one lambda, evaluated once an axis."""
+    return s.select("vec_id", F.array(*axes).alias("e")).select("vec_id", F.transform("e", decide.combine).alias("c"))
+
+
 @query
 def signal_consensus(spark, d):
     s = _signals(spark, d)
-    found = decide.combine(decide.entries(8.0, 4.0, alpha=F.col("ax"), edge=F.col("ex"), symmetry=F.col("sx")))
-    return s.select("vec_id", found.alias("c")).select("vec_id", "c.status", "c.band", "c.n", r6(F.col("c.consensus"), 4).alias("consensus"))
+    found = decide.entries(8.0, 4.0, alpha=F.col("ax"), edge=F.col("ex"), symmetry=F.col("sx"))
+    return _combined(s, found).select("vec_id", F.get("c", F.lit(0)).alias("c")).select("vec_id", "c.status", "c.band", "c.n", r6(F.col("c.consensus"), 4).alias("consensus"))
 
 
 @query
@@ -474,9 +479,10 @@ def ensemble_decision(spark, d):
     """All four signals, hulls included, on both axes, and their stability between two thresholds."""
     base = facts.rasters(spark, d)
     s = _signals(spark, d).join(raster.shapes(base, "vec_id"), "vec_id").join(raster.shapes(base, "vec_id", threshold=STRUCTURE).select("vec_id", F.col("hull_x").alias("hx2"), F.col("hull_y").alias("hy2")), "vec_id")
-    both = lambda a, e, h, m: decide.combine(decide.entries(8.0, 4.0, alpha=F.col(a), edge=F.col(e), convexHull=F.col(h), symmetry=F.col(m)))
-    x, y, x2, y2 = both("ax", "ex", "hull_x", "sx"), both("ay", "ey", "hull_y", "sy"), both("ax", "ex", "hx2", "sx"), both("ay", "ey", "hy2", "sy")
-    e = s.select("vec_id", x.alias("x"), y.alias("y"), x2.alias("x2"), y2.alias("y2")).select("vec_id", decide.ensemble(F.col("x"), F.col("y"), F.array("x", "x2"), F.array("y", "y2")).alias("e"))
+    both = lambda a, e, h, m: decide.entries(8.0, 4.0, alpha=F.col(a), edge=F.col(e), convexHull=F.col(h), symmetry=F.col(m))
+    c = _combined(s, both("ax", "ex", "hull_x", "sx"), both("ay", "ey", "hull_y", "sy"), both("ax", "ex", "hx2", "sx"), both("ay", "ey", "hy2", "sy"))
+    x, y, x2, y2 = (F.get("c", F.lit(i)) for i in range(4))
+    e = c.select("vec_id", decide.ensemble(x, y, F.array(x, x2), F.array(y, y2)).alias("e"))
     return e.select("vec_id", "e.status", "e.reason", "e.band", r6(F.col("e.dx")).alias("dx"), r6(F.col("e.dy")).alias("dy"))
 
 
