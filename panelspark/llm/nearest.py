@@ -6,8 +6,9 @@ How many leaves to visit is calibrated: the true neighbours of a bounded set of
 force, and visits widen until the leaves hold the wanted share of them. Inner products become distances by one more
 component, sqrt(largest norm^2 - norm^2), which is 0 for queries.
 
-Equal vectors are searched once. Leaves are cut into blocks of bounded size, each scored as one matrix product, and only
-the best of a block go on.
+Equal vectors are searched once. Leaves are cut into blocks of bounded size, each scored as one matrix product. The first
+leaves of a query give it k scores, the least of which bounds its k best from below: later leaves only send on what
+exceeds it, so that rows grow with queries and not with visits.
 """
 
 from __future__ import annotations
@@ -112,11 +113,11 @@ def valid_vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(F.size("v") == (n["n"] if n else 0))
 
 
-def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.97, leaves: int | None = None, sample_rows: int = 30_000, calibration_rows: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.96, leaves: int | None = None, sample_rows: int = 30_000, calibration_rows: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other rows by inner product in double precision.
 
-    is_query is a condition on vec_id. leaves is about how many the tree has (four times the cube root of the
-    rows by default, so that a query's visits grow slowly); sample_rows bounds the rows that the tree is fitted on, calibration_rows those that
+    is_query is a condition on vec_id. leaves is about how many the tree has (64 by default, or the cube root of
+    the rows if that is more, so that a query's visits grow slowly); sample_rows bounds the rows that the tree is fitted on, calibration_rows those that
     the number of visits is calibrated on; both are even shares by a hash of the id. Every row is indexed. Vectors that are
     null, zero, or hold null or non-finite components take no part, nor do those of another length than the commonest. Ties
     go to the smaller vec_id; repeated vec_ids are candidates each. With no valid row the result is empty.
@@ -134,7 +135,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.97, leaves
 
     sample = share(sample_rows, 1).select("rep", "v").orderBy("rep").toPandas()  # bounded by sample_rows
     x = np.array(sample["v"].tolist())
-    tree = Tree(lifted(x, top), max(4, int(2.5 * len(x) / (leaves or 4 * total ** (1 / 3)))))
+    tree = Tree(lifted(x, top), max(4, int(2.5 * len(x) / (leaves or max(64, total ** (1 / 3))))))
 
     def index(source):
         for batch in source:
@@ -170,22 +171,24 @@ def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.97, leaves
 
     blocks = {leaf: -(-n // BLOCK) for leaf, n in sizes.items()}
 
-    def walk(source):
-        for batch in source:
-            rep, m = batch.column(0).to_pylist(), matrix(batch.column(1))
-            rows_, leaves, block = [], [], []
-            for i in range(len(rep)):
-                seen = 0
-                order = tree.visit(np.append(m[i], 0.0), visits)
-                if sum(sizes.get(leaf, 0) for leaf in order) < k + 2:  # too few rows in them: widen
-                    order = tree.visit(np.append(m[i], 0.0), tree.leaves)
-                for j, leaf in enumerate(order):
-                    if j >= visits and seen >= k + 2:
-                        break
-                    seen += sizes.get(leaf, 0)
-                    for b in range(blocks.get(leaf, 0)):
-                        rows_.append(i), leaves.append(leaf), block.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_, pa.int32())), pa.array(leaves, pa.int32()), pa.array(block, pa.int32()), batch.column(1).take(pa.array(rows_, pa.int32()))], names=["q", "leaf", "block", "qv"])
+    early = max(1, visits // 8)
+
+    def walk(first: bool):
+        def run(source):
+            for batch in source:
+                rep, m = batch.column(0).to_pylist(), matrix(batch.column(1))
+                rows_, leaves_, block = [], [], []
+                for i in range(len(rep)):
+                    order = tree.visit(np.append(m[i], 0.0), visits)
+                    if sum(sizes.get(leaf, 0) for leaf in order) < k + 2:  # too few rows in them: widen to all
+                        order = tree.visit(np.append(m[i], 0.0), tree.leaves)
+                    for leaf in order[:early] if first else order[early:]:
+                        for b in range(blocks.get(leaf, 0)):
+                            rows_.append(i), leaves_.append(leaf), block.append(b)
+                take = pa.array(rows_, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(leaves_, pa.int32()), pa.array(block, pa.int32()), batch.column(1).take(take), batch.column(2).take(take)], names=["q", "leaf", "block", "qv", "least"])
+
+        return run
 
     def place_rows(source):
         for batch in source:
@@ -202,21 +205,35 @@ def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.97, leaves
         order = np.argsort(rep, kind="stable")
         rep, m = rep[order], matrix(right.column("v"))[order]
         q, qv = left.column("q").to_numpy(), matrix(left.column("qv"))
+        bound = left.column("least").to_numpy()
+        bound = bound - 1e-9 * (1 + np.abs(bound))
+        bound[~np.isfinite(bound)] = -np.inf
         outs = []
         for a in range(0, len(q), 1024):
             s = qv[a : a + 1024] @ m.T
-            best = top_rows(s, rep, k + 4)
+            # a hair below the bound: products are summed in another order here
+            best = [x[r[x] >= e] for x, r, e in zip(top_rows(s, rep, k + 4), s, bound[a : a + 1024], strict=True)]
             who = np.repeat(np.arange(len(best)), [len(b) for b in best])
-            at = np.concatenate(best)
+            at = np.concatenate(best).astype(np.int64)
             exact = (qv[a + who] * m[at]).sum(1)  # one order of summation, whatever the block
             outs.append(pa.table([pa.array(q[a + who]), pa.array(rep[at]), pa.array(exact)], schema=schema))
         return pa.concat_tables(outs)
 
-    asked = distinct.where("asked = 1").select("rep", "v").mapInArrow(walk, "q long, leaf int, block int, qv array<double>")
     held = indexed.mapInArrow(place_rows, "rep long, leaf int, v array<double>, block int")
-    near = asked.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInArrow(block_best, "q long, rep long, score double")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("q", "rep", "score")
+
+    def search(asked: DataFrame, first: bool) -> DataFrame:
+        went = asked.mapInArrow(walk(first), "q long, leaf int, block int, qv array<double>, least double")
+        return went.groupBy("leaf", "block").cogroup(held.groupBy("leaf", "block")).applyInArrow(block_best, "q long, rep long, score double")
+
+    def best(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+        return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("q", "rep", "score", "r")
+
+    asked = distinct.where("asked = 1").select("rep", "v")
+    start = keep(best(search(asked.withColumn("least", F.lit(float("-inf"))), True)))
+    bounds = start.where(F.col("r") == k + 1).select(F.col("q").alias("rep"), F.col("score").alias("least"))
+    later = asked.join(bounds, "rep", "left").select("rep", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    near = best(start.drop("r").unionByName(search(later, False))).drop("r")
 
     # back to rows: of equal vectors the first k + 1 ids at most can be wanted
     ids = v.join(distinct.select("v", "rep"), "v").select("rep", "vec_id")
