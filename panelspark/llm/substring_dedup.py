@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import _ODD, mix64, range_hashes, shuffle_parts
 
-PIECE = 1 << 20
+PIECE = 1 << 18  # bytes that are hashed at once: what a worker holds is some 20 words of 8 bytes for each
 POSITION = np.uint64((1 << 24) - 1)
 FAR = np.iinfo(np.int64).max
 
@@ -56,6 +56,19 @@ def squeezed(x: bytes) -> bytes:
     return pa.Codec("zstd", compression_level=1).compress(x, asbytes=True)
 
 
+def piecewise_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """range_hashes() for ascending starts, piece by piece."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        lo = int(start[at])
+        to = max(at + 1, int(np.searchsorted(start, lo + PIECE)))
+        hi = int(end[at:to].max())
+        out[at:to] = range_hashes(data[lo:hi], start[at:to] - lo, end[at:to] - lo)
+        at = to
+    return out
+
+
 class Chunk:
     """Texts of a chunk, one after the other, and the anchor runs of their windows."""
 
@@ -111,7 +124,8 @@ class Chunk:
         s = np.concatenate([self.run_start[plain], single])
         e = np.concatenate([self.run_end[plain], single + 1])
         text = np.concatenate([self.run_text[plain], np.repeat(self.run_text[very], self.run_end[very] - self.run_start[very])])
-        h = range_hashes(self.data, s, e + self.least - 1)
+        cut = len(plain)
+        h = np.concatenate([piecewise_hashes(self.data, x, y + self.least - 1) for x, y in ((s[:cut], e[:cut]), (s[cut:], e[cut:]))])
         key = np.concatenate([self.anchor[plain], h[len(plain) :]])
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]) != 0) if len(h) else np.zeros(0, np.int64)
@@ -182,10 +196,10 @@ def equal_windows(segments: list[np.ndarray] | np.ndarray, starts: np.ndarray, l
     return segment[whole], offset[whole], group[whole]
 
 
-def least_ids(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, ids: np.ndarray, least: int, slice_bytes: int = 1 << 20) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def least_ids(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, ids: np.ndarray, least: int, slice_bytes: int = 1 << 19) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """For each segment the least id of a document with its windows: one value, or -1 and one a window."""
     starts = np.cumsum(lengths) - lengths
-    h = range_hashes(data, starts, starts + lengths) + mix64(keys + _ODD)
+    h = piecewise_hashes(data, starts, starts + lengths) + mix64(keys + _ODD)
     _, lead, which = np.unique(h, return_index=True, return_inverse=True)
     low = np.full(len(lead), FAR)
     np.minimum.at(low, which, ids)
@@ -221,7 +235,7 @@ def least_ids(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, ids: np.n
     return same[which], {i: per_window[w] for i, w in enumerate(which.tolist()) if w in per_window} if per_window else {}
 
 
-def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 20, chunk_bytes: int = 4 << 20, hot_chunks: int = 64, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 20, chunk_bytes: int = 3 << 20, hot_chunks: int = 64, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (binary).
 
     Texts are UTF-8 bytes, null ones empty; strings are judged on the input, not on what is left, and don't cross documents.
