@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE
 
+SALTS = 32
+
 
 def line_key(line: Column) -> Column:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,7 +35,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
         F.posexplode(F.transform(lines, lambda line: F.when(F.char_length(line_key(line)) >= max(1, min_chars), F.md5(line_key(line).cast("binary"))))).alias("_pos", "_key"),
     ).where(F.col("_key").isNotNull())
     common = keyed.groupBy("_key").agg(F.countDistinct(F.struct("_id")).alias("_n")).where(F.col("_n") >= min_docs).select("_key")
-    lost = keyed.join(common, "_key", "left_semi").groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_lost"))
+    # a line that a third of all documents share would be one task's join: keys are met in SALTS parts, by document
+    keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64("_id", "_row"), F.lit(SALTS)).cast("int"))
+    common = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lost = keyed.join(common, ["_key", "_salt"], "left_semi").groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_lost"))
     out = base.withColumn("_row", row).alias("d").join(lost.alias("l"), F.col(f"d.{id_col}").eqNullSafe(F.col("l._id")) & (F.col("d._row") == F.col("l._row")), "left")
     gone = F.coalesce(F.col("l._lost"), F.array().cast("array<int>"))
     n = F.size(lines)
