@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     rest = keep(rows.join(pivots, "key").select("doc_id", "cluster", "c").distinct())
     more = links_in_blocks(rest, texts, words, percent, block)
 
-    comp = components(links.unionByName(more).unionByName(same))
+    comp = components(keep(links.unionByName(more).unionByName(same)))  # kept: the search reads its edges more than once
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(comp, sig.doc_id == comp.node, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
