@@ -9,6 +9,7 @@ log odds learned from labelled rows; the score is logistic in the matched weight
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 
@@ -49,17 +50,19 @@ _FOLD = _table()
 _LETTER_FOR = {x: letter for letter, others in LOOK_ALIKES.items() for x in others if x in _SOFT}
 
 
-def fold(text: str) -> str:
-    """The text as the lexicon sees it, with a space at both ends and none doubled by folding alone."""
-    import re
+SOFT = re.compile(r"[@4310!|5$7]")
+#: Such signs between letters, or at a word's beginning or end next to one.
+INSIDE = re.compile(r"(?<=[^\W\d_])[@4310!|5$7]+(?=[^\W\d_])|(?<!\S)[@4310|5$7]+(?=[^\W\d_])|(?<=[^\W\d_])[@4310$57]+(?!\S)")
+
 
+def fold(text: str) -> str:
+    """The text as the lexicon sees it: words with one space between them and one at both ends."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
-    if re.search(r"[@4310!|5$7]", text):
-        text = re.sub(r"(?<=[^\W\d_])[@4310!|5$7]+(?=[^\W\d_])|(?<![^\s])[@4310|5$7]+(?=[^\W\d_])|(?<=[^\W\d_])[@4310$57]+(?![^\s])", lambda m: "".join(_LETTER_FOR[x] for x in m[0]), text)
-        text = re.sub(r"(?<=[^\W\d_])[@4310!|5$7]+(?=[^\W\d_])", lambda m: "".join(_LETTER_FOR[x] for x in m[0]), text)
-    return " " + " ".join(text.translate(_FOLD).split(" ")) + " "
+    if SOFT.search(text):
+        text = INSIDE.sub(lambda m: "".join(_LETTER_FOR[x] for x in m[0]), text)
+    return " " + " ".join(text.translate(_FOLD).split()) + " "
 
 
 def features(folded: str, prefixes: tuple[int, ...]) -> set[str]:
