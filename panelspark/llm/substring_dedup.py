@@ -235,7 +235,7 @@ def least_ids(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, ids: np.n
     return same[which], {i: per_window[w] for i, w in enumerate(which.tolist()) if w in per_window} if per_window else {}
 
 
-def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 20, chunk_bytes: int = 3 << 20, hot_chunks: int = 64, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes: int = 3 << 20, hot_chunks: int = 64, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if asked for, kept (binary).
 
     Texts are UTF-8 bytes, null ones empty; strings are judged on the input, not on what is left, and don't cross documents.
