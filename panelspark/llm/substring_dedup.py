@@ -53,7 +53,7 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def squeezed(x: bytes) -> bytes:
-    return pa.Codec("zstd", compression_level=1).compress(x, asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(x, asbytes=True)
 
 
 def piecewise_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -251,7 +251,7 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes:
     total = long.agg(F.sum("n_bytes")).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     parts = shuffle_parts(spark)
-    buckets, shards = max(parts, -(-total // (64 << 20))), max(parts, -(-total // (8 << 20)))
+    buckets, shards = max(parts, -(-total // (64 << 20))), max(parts, -(-total // (32 << 20)))
     chunk_of = lambda c: F.pmod(F.conv(F.substring(F.hex(c), 1, 12), 16, 10).cast("long"), F.lit(chunks)).cast("int")
 
     def once(source):
