@@ -4,8 +4,9 @@ P(token | state) = P(class | state) P(token | class, state). The most frequent w
 of equal size, each with its own softmax over its words. All other words stand in tail classes by their shape (script and
 last character); inside those, a word's share comes from its discounted count in the training documents, and what the discount
 frees is the share of all words that they lack, which are one token, as in the unigram model. The recurrent part is trained by truncated backpropagation in
-numpy on a bounded, evenly drawn share of the training documents; counts, vocabulary and class shares come from all of
-them. Scoring carries the state across windows from a document's first token to its last.
+numpy on every token of every training row, copies included: tasks train from common parameters on their own rows, and the
+parameters are averaged by tokens after each of a few rounds, which share out the rows. Nothing of the corpus goes to the
+driver. Scoring carries the state across windows from a document's first token to its last.
 
 The vocabulary is never broadcast whole: its head is (a fixed number of words), and each document's other words meet their
 counts in a join on the word.
@@ -144,9 +145,13 @@ class Net:
                 dh[at] += e @ p["w"][k].T
         return out if grads is None else (out, dh)
 
-    def train(self, docs: list[np.ndarray], tokens: int, lanes: int = 48, window: int = 20, rate: float = 0.004, seed: int = 2) -> None:
-        """About `tokens` tokens of truncated backpropagation with Adam; lanes run through the documents end to end."""
-        if not docs or not self.words:
+    def train(self, docs: list[np.ndarray], tokens: int, lanes: int = 48, window: int = 20, rate: float = 0.004, seed: int = 2, span: tuple[float, float] = (0.0, 1.0)) -> None:
+        """Truncated backpropagation with Adam over all docs, and again up to about `tokens` tokens (12 times at most).
+
+        Lanes run through the documents end to end; the last ones are filled up with the first tokens. span is the part of
+        the whole training that this is, by which the rate falls.
+        """
+        if not docs:
             return
         rng = np.random.default_rng(seed)
         have = sum(len(d) for d in docs)
@@ -155,9 +160,9 @@ class Net:
         steps = max(1, total * have // (lanes * window))
         for _ in range(min(total, 12)):
             flat = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
-            width = max(1, len(flat) // lanes)
             used = min(lanes, len(flat))
-            grid = flat[: width * used].reshape(used, width).T
+            width = -(-len(flat) // used)
+            grid = np.resize(flat, width * used).reshape(used, width).T
             h, before = np.zeros((used, self.hidden), np.float32), np.zeros(used, np.int64)
             for a in range(0, width, window):
                 y = grid[a : a + window]
@@ -187,7 +192,7 @@ class Net:
                     g["rzr"] += old.T @ dzr
                     np.add.at(g["u"], row, np.concatenate([dzr, dc], 1))
                 t += 1
-                lr = rate * min(1.0, t / 20) * max(0.05, 1 - t / (steps + 1))
+                lr = rate * min(1.0, t / 20) * max(0.05, 1 - span[0] - (span[1] - span[0]) * t / (steps + 1))
                 for k, p in self.p.items():
                     d = g[k] / np.float32(used)
                     m[k] += np.float32(0.1) * (d - m[k])
@@ -231,6 +236,64 @@ class Net:
         return out
 
 
+# --- training over partitions ---------------------------------------------------------------------------------------
+
+ROUND_OF = (0, 4, 2, 4, 3, 4, 3, 4, 1, 4, 2, 4, 3, 4, 3, 4)  # of every 16 rows of a task; models part little in the first rounds
+ENDS = (0.0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
+CHUNKS = 64
+
+
+def fit(net: Net, encoded: DataFrame, n: int, train_tokens: int, task_tokens: int = 2_000_000, buffer_tokens: int = 1_000_000) -> int:
+    """Trains net on all rows of encoded(ids, round) and returns how many tokens that were, repetitions not counted.
+
+    n tokens in all: about task_tokens of them a task. Up to task_tokens there is one task, which goes through its rows
+    again up to train_tokens. A task holds buffer_tokens and a document of ids at once, the driver one set of parameters.
+    """
+    kinds = [(k, x.shape, x.size) for k, x in net.p.items()]
+    tasks = max(1, -(-n // task_tokens))
+    again = max(1.0, train_tokens / max(1, n)) if tasks == 1 else 1.0
+    trained = 0
+    for k in range(len(ENDS) - 1) if tasks > 1 else [None]:
+        span = (0.0, 1.0) if k is None else (ENDS[k], ENDS[k + 1])
+
+        def run(source, net=net, span=span):
+            held, size, seen = [], 0, 0
+
+            def learn():
+                net.train(held, int(size * again), lanes=48 if tasks == 1 else min(128, max(48, size // 2000)), span=span)
+
+            for batch in source:
+                for raw in batch.column(0).to_pylist():
+                    held.append(np.frombuffer(raw, np.int32))
+                    size += len(held[-1])
+                    if size >= buffer_tokens and tasks > 1:
+                        learn()
+                        seen, held, size = seen + size, [], 0
+            if held:
+                learn()
+            seen += size
+            if seen:
+                flat = np.concatenate([x.ravel() for x in net.p.values()])
+                parts = [x.tobytes() for x in np.array_split(flat, CHUNKS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "tokens", "part"])
+
+        def mean(rows: pa.Table) -> pa.Table:
+            w = rows["tokens"].to_numpy().astype(float)
+            total = sum(a * np.frombuffer(x, np.float32) for a, x in zip(w / w.sum(), rows["part"].to_pylist(), strict=True))
+            return pa.table([rows["chunk"][:1], pa.array([int(w.sum())], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "tokens", "part"])
+
+        mine = encoded if k is None else encoded.where(F.col("round") == k)
+        schema = "chunk int, tokens long, part binary"
+        got = sorted(mine.select("ids").coalesce(tasks).mapInArrow(run, schema).groupBy("chunk").applyInArrow(mean, schema).collect())
+        if got:
+            trained += got[0]["tokens"]
+            flat, at = np.frombuffer(b"".join(r["part"] for r in got), np.float32), 0
+            for name, shape, size in kinds:
+                net.p[name] = flat[at : at + size].reshape(shape).copy()
+                at += size
+    return trained
+
+
 # --- the operator ---------------------------------------------------------------------------------------------------
 
 
@@ -239,8 +302,8 @@ def score_documents(docs: DataFrame, training, net_words: int = 2047, class_size
 
     training: a condition on docs that says which rows the model learns from. Tokens are words (lower-cased A-Z, split at
     ASCII white space) and one end a text; null texts are empty. n_known counts tokens that training rows hold, base_score
-    is the unigram model with 0.1 added, score the model's. train_tokens bounds what the recurrent part is trained on,
-    head_words and net_words what is broadcast. Rows are scored one by one, repeated ones alike; with no training row every
+    is the unigram model with 0.1 added, score the model's. The recurrent part is trained on all training rows; where they
+    hold less than train_tokens, they are gone through several times. head_words and net_words bound what is broadcast. Rows are scored one by one, repeated ones alike; with no training row every
     token is unknown. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -302,18 +365,16 @@ def score_documents(docs: DataFrame, training, net_words: int = 2047, class_size
         ids.append(0)
         return np.array(ids, np.int32), own, uni, other
 
-    # training on an evenly drawn share of the training rows, bounded by train_tokens in expectation
-    part = min(1.0, train_tokens / max(1, n))
-
-    def draw(source):
+    def code(source):
+        at = 0
         for batch in source:
-            yield pa.RecordBatch.from_arrays([pa.array([encode(t)[0].tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["ids"])
+            m = batch.num_rows
+            rounds = np.take(np.array(ROUND_OF, np.int32), np.arange(at, at + m) % len(ROUND_OF))
+            at += m
+            yield pa.RecordBatch.from_arrays([pa.array([encode(t)[0].tobytes() for t in batch.column(0).to_pylist()], pa.binary()), pa.array(rounds)], names=["ids", "round"])
 
-    drawn = base.where("training")
-    if part < 1:
-        drawn = drawn.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_000)) < int(part * 1_000_000))
-    rows = sorted(r["ids"] for r in drawn.select("text").mapInArrow(draw, "ids binary").collect())
-    net.train([np.frombuffer(r, np.int32) for r in rows], train_tokens)
+    if ends:
+        fit(net, keep(base.where("training").select("text").mapInArrow(code, "ids binary, round int")), n, train_tokens)
 
     def run(source):
         from pyspark import TaskContext

@@ -117,6 +117,25 @@ def test_language_model(spark):
     assert recurrent_lm.score_documents(df.limit(0), training).count() == 0
 
 
+def test_all_training_tokens_train_the_network(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    trained = []
+    fit = recurrent_lm.fit
+    monkeypatch.setattr(recurrent_lm, "fit", lambda net, encoded, n, tokens: trained.append(fit(net, encoded, n, tokens, task_tokens=100_000, buffer_tokens=40_000)))
+    rng = random.Random(13)
+    cycle = ["sun", "moon", "star", "sky", "sea", "sand"]
+    rows = []
+    for i in range(1500):
+        at = rng.randrange(6)
+        rows.append((i, " ".join(cycle[(at + k) % 6] for k in range(120))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = recurrent_lm.score_documents(df, F.col("doc_id") % 10 != 0, train_tokens=1, hidden=16).collect()
+    held = [r for r in out if r.doc_id % 10 == 0]
+    assert trained == [1350 * 121] and out[0].train_tokens == 1350 * 121
+    assert sum(r.score for r in held) > 0.985 * sum(r.base_score for r in held)
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     import numpy as np
 
