@@ -194,3 +194,14 @@ def test_wrappers_merge_mismatches_into_options_and_groups():
     assert html_text.align(t("a", "b", "c"), t("a", "c")) == (("", "a", ""), ("?", "b", ""), ("", "c", ""))
     assert html_text.fold(list(t("x", "a", "b", "a", "b", "a", "b", "y"))) == [("", "x", ""), ("", "a", "+"), ("", "b", "+"), ("", "y", "")]
     assert html_text.read(html_text.written(t("a", "b"))) == t("a", "b")
+
+
+def test_fixed_texts_of_a_host_are_template(spark):
+    page = "<body><div class='top'>Our daily site</div><div class='story'><p>First of {n}.</p><p>Read us every day!</p><p>Last of {n}.</p></div>{more}</body>"
+    rows = [(i, f"http://t.example/{i}", page.format(n=i, more="<div class='note'>Note {}</div>".format(i) if i % 2 else "")) for i in range(8)]
+    rows += [(20 + i, "http://copy.example/", page.format(n=1, more="")) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for options in ({}, {"max_broadcast": 0}):
+        by = {r.page_id: r.text for r in html_text.extract(df.repartition(3), **options).collect()}
+        assert by[2] == "First of 2.\nLast of 2." and by[3] == "First of 3.\nLast of 3.\nNote 3"
+        assert by[21] == "Our daily site\nFirst of 1.\nRead us every day!\nLast of 1."  # copies of one page show no template
