@@ -205,3 +205,14 @@ def test_fixed_texts_of_a_host_are_template(spark):
         by = {r.page_id: r.text for r in html_text.extract(df.repartition(3), **options).collect()}
         assert by[2] == "First of 2.\nLast of 2." and by[3] == "First of 3.\nLast of 3.\nNote 3"
         assert by[21] == "Our daily site\nFirst of 1.\nRead us every day!\nLast of 1."  # copies of one page show no template
+
+
+def test_each_page_decides_where_its_text_is(spark):
+    rows = [
+        (1, "http://m.example/1", "<body><article><p>Marked.</p></article><div>Beside</div></body>"),
+        (2, "http://m.example/2", "<body><div class='a'><h1>Head</h1><section><p>Dense text of a second template.</p></section><section class='b'><p>Next section.</p></section></div></body>"),
+        (3, None, "<body><main><p>No url.</p></main></body>"),
+        (4, "/relative", "<body><table><tr><td>Other template.</td></tr></table></body>"),
+    ]
+    by = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by == {1: "Marked.", 2: "Head\nDense text of a second template.\nNext section.", 3: "No url.", 4: "Other template."}
