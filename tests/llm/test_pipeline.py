@@ -216,3 +216,13 @@ def test_each_page_decides_where_its_text_is(spark):
     ]
     by = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert by == {1: "Marked.", 2: "Head\nDense text of a second template.\nNext section.", 3: "No url.", 4: "Other template."}
+
+
+def test_class_marks_that_name_an_absent_or_surrounded_part():
+    text = "<{0}><p>Text.</p><div class='sidebar'>Side</div></{0}>"
+    for mark in ("no-sidebar", "has-sidebar", "layout with-sidebar", "page--has-sidebar", "noSidebar"):
+        for name in ("body", "div"):
+            page = text.format(name).replace(f"<{name}>", f"<{name} class='{mark}'>")
+            assert [x[1] for x in html_text.own_of(html_text.blocks(page))] == ["Text."]
+    for name in ("html", "body", "main", "article"):
+        assert html_text.own_of(html_text.blocks(f"<{name} class='search'><p>Text."))
