@@ -18,10 +18,10 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go; the lexicon is learned from labels outside of the held-out third."""
+    """Rows that score 0.7 or more go, each by its own text; the lexicon is learned from labels outside of the held-out third."""
     labels = table(spark, sf_dir, "labels").where(crc_of(F.col("doc_id")) % 3 != 1)
-    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, labels))
-    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels))
+    return scored.where("predicted = 0").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go, each by its own text."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, seeds64
+from .common import keep, mix64, seeds64
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -140,6 +140,16 @@ class Items:
         return out
 
 
+def blocks_of(benchmark: DataFrame, least: int, block_chars: int, item_col: str, item_text: str):
+    """The benchmark's items in blocks of about block_chars characters."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    chars = rows.agg(F.sum(F.char_length("t"))).first()[0] or 0
+    n = max(1, -(-chars // block_chars))
+    for b in range(n):
+        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        yield Items([(r["i"], tokens(r["t"])) for r in block.collect()], least)
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 4, coverage: float = 0.5, block_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item_id and coverage of every document that holds at least `coverage` of an item's tokens.
 
@@ -147,15 +157,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 4, co
     benchmark is read in blocks of about block_chars characters, so what a task holds is bounded however long it grows; the
     documents are scanned once a block. Repeated rows are reported each; ids may be null.
     """
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    chars = rows.agg(F.sum(F.char_length("t"))).first()[0] or 0
-    n = max(1, -(-chars // block_chars))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id long, coverage double"
     found = None
-    for b in range(n):
-        block = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
-        items = Items([(r["i"], tokens(r["t"])) for r in block.collect()], least)
+    for items in blocks_of(benchmark, least, block_chars, item_col, item_text):
 
         def run(source, items=items):
             for batch in source:
@@ -169,7 +174,20 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 4, co
     return found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns; rows with a null id stay."""
-    bad = contaminated_pairs(docs.where(F.col(id_col).isNotNull()), benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 4, coverage: float = 0.5, block_chars: int = 16_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows that hold no benchmark item, with all their columns; each goes by its own text, whatever its id."""
+    at = docs.columns.index(text_col)
+    left = docs
+    for b, items in enumerate(blocks_of(benchmark, least, block_chars, item_col, item_text)):
+
+        def run(source, items=items):
+            for batch in source:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    clean = [True] * part.num_rows
+                    for h in items.hits([t or "" for t in part.column(at).to_pylist()]):
+                        clean[h[0]] = clean[h[0]] and h[2] < coverage
+                    yield part.filter(pa.array(clean, pa.bool_()))
+
+        left = (keep(left) if b else left).mapInArrow(run, docs.schema)  # one block of items at once in a task
+    return left

@@ -75,6 +75,19 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert lines.columns == df.columns and all(r.n_chars == len(r.text) for r in lines.collect())
 
 
+def test_rows_go_by_their_own_text(spark, tmp_path):
+    docs, labels, items = corpus()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = items[0][1]
+    odd = [(None, "you idiot and idiot again", "en", "null", 0), (1000, "you idiot and idiot again", "en", "bad", 0), (1000, "a kind word", "en", "kind", 0), (None, leak, "en", "null", 0), (1001, leak, "en", "bad", 0), (1001, "a clean word", "en", "clean", 0), (None, "no id", "en", "plain", 0)]
+    df = spark.createDataFrame(docs + odd, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_toxic(spark, df, str(tmp_path))
+    assert kept.columns == df.columns and not [r for r in kept.collect() if r.text and "idiot" in r.text]
+    clean = corpus_pipeline.drop_leaks(spark, kept, str(tmp_path))
+    assert clean.columns == df.columns and sorted(r.source for r in clean.collect() if r.source != "src") == ["clean", "kind", "plain"]
+
+
 # --- language model
 
 
