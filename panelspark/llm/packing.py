@@ -1,12 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Bulk-synchronous best-fit: pieces and gaps are kept in order of size; in each round all waiting pieces of the next
-largest size meet their successor gaps (the smallest that hold them), conflicts are settled by rank, the gaps shrink, and
-the round repeats until none holds a piece, when the rest open new sequences. Sizes are integers up to the capacity, so
-the sorted order of either side is held run-length encoded: at most `capacity` sizes of pieces, and runs of equal gaps. A
-round therefore settles any number of pieces at once, and what it decides is a few runs (size, ranks from, ranks to ->
-sequences from, offset). The runs are a table that doesn't grow with the documents; each piece finds its own by its size
-and its rank among pieces of that size, and the rank comes from one range sort with counts by (partition, size).
+Best-fit decreasing by a plan over sizes: sizes are integers up to the capacity, so all pieces are known to the plan by how
+many there are of each size. best_fit_plan runs in the driver over these counts, at most `capacity` of them, and fills
+runs of equal gaps, smallest first, with runs of pieces of one size; there are no distributed successor sweeps, conflicts
+or rounds to repeat, as a run settles any number of pieces at once and in order. What it decides is a few runs (size, ranks
+from, ranks to -> sequences from, offset). The runs are a table that hardly grows with the documents; each piece finds its
+own by its size and its rank among pieces of that size, and the rank comes from one range sort with counts by (partition,
+size).
 """
 
 from __future__ import annotations
