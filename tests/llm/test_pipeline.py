@@ -149,6 +149,24 @@ def test_all_training_tokens_train_the_network(spark, monkeypatch):
     assert sum(r.score for r in held) > 0.985 * sum(r.base_score for r in held)
 
 
+def test_copies_of_a_text_train_as_often_as_they_stand(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    fit, seen = recurrent_lm.fit, []
+
+    def spy(net, encoded, n, tokens):
+        rounds = {(len(r["ids"]) // 4, r["round"]): r["count"] for r in encoded.groupBy("ids", "round").count().collect()}
+        seen.append((n, rounds, fit(net, encoded, n, tokens, task_tokens=3_000)))
+
+    monkeypatch.setattr(recurrent_lm, "fit", spy)
+    df = spark.createDataFrame([(i, "copy of a text" if i % 3 == 0 else "sun moon") for i in range(960)], "doc_id long, text string")
+    recurrent_lm.score_documents(df, F.lit(True), train_tokens=1, hidden=8).count()
+    (n, rounds, trained), = seen
+    assert trained == n == 320 * 5 + 640 * 3
+    copies = {r: c for (size, r), c in rounds.items() if size == 5}
+    assert sum(copies.values()) == 320 and set(copies) == set(range(5)) and copies[4] == 160
+
+
 def test_probabilities_sum_to_one_and_state_is_carried():
     import numpy as np
 
