@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from panelspark.llm.common import crc_of, keep, ship, table
+from panelspark.llm.common import crc_of, keep, shuffle_parts, ship, table
 from panelspark.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that score 0.7 or more go, each by its own text; the lexicon is learned from labels outside of the held-out third."""
     labels = table(spark, sf_dir, "labels").where(crc_of(F.col("doc_id")) % 3 != 1)
     scored = toxicity.score(docs, toxicity.learn(docs, labels))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where("predicted = 0").select(*docs.columns).repartition(shuffle_parts(spark))  # even parts for the next stage
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
