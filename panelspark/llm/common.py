@@ -32,15 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder; a folder is chosen here only where none is set."""
+    """Cut lineage through the shared folder that spark.checkpoint.dir names; only a local session may go without, as in tests."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelspark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def forget(kept: DataFrame) -> None:
+    """Delete the files of a table that keep() wrote, once nothing reads it any more."""
+    sc = kept.sparkSession.sparkContext
+    file = kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_of(column: Column) -> Column:
     """crc32 of an id written as decimal text."""
     return F.crc32(column.cast("string").cast("binary"))

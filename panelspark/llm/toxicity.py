@@ -207,3 +207,15 @@ def score(docs: DataFrame, lexicon: dict, id_col: str = "doc_id", text_col: str
     base_names = base.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     return base.mapInArrow(run, f"{schema}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, lexicon: dict, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows that score less than threshold, with all their columns whatever their names."""
+    at = docs.columns.index(text_col)
+
+    def run(source):
+        a = automaton(lexicon)
+        for batch in source:
+            yield batch.filter(pa.array([score_text(a, lexicon["weights"], t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

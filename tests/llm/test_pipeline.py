@@ -88,6 +88,28 @@ def test_rows_go_by_their_own_text(spark, tmp_path):
     assert clean.columns == df.columns and sorted(r.source for r in clean.collect() if r.source != "src") == ["clean", "kind", "plain"]
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing names, empty tables."""
+    docs, labels, items = corpus()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([*items, (50, None), (51, ""), (None, "no item id at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [(700, None), (700, None), (None, None), (701, ""), (702, "one word " * 30_000), (703, "\n" * 300), (704, docs[1][1]), (704, docs[1][1]), (705, "x" * 100_000)]
+    names = "doc_id long, text string, lang string, n_chars long, key string, score string, predicted int, kept boolean, state int, row string, word string, n string, length long, range int, id int"
+    df = spark.createDataFrame([(d, t, "en", 0, "k", "s", 1, True, 2, "r", "w", "n", 3, 4, 5) for d, t, *_ in [*docs, *odd]], names)
+    at = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == df.columns, name
+    kept = at.collect()
+    assert {(r.score, r.predicted, r.key, r.row) for r in kept} == {("s", 1, "k", "r")}
+    ids = [r.doc_id for r in kept]
+    assert ids.count(700) == 2 and ids.count(None) == 1 and {701, 702, 703, 705} <= set(ids) and 704 not in ids
+    packed = corpus_pipeline.pack(spark, at, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(ids) and sum(r.length for r in packed if r.doc_id == 701) == 1
+    assert corpus_pipeline.pack(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
 # --- language model
 
 
