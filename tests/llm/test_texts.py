@@ -71,6 +71,9 @@ def test_token_counts_against_the_library(spark):
     got = token_counts.token_counts(frame(spark, ODD), BPE).collect()
     want = [(d, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t in ODD]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    for head in (0, 3, 7):  # pre-tokens beyond the head are joined
+        few = token_counts.token_counts(frame(spark, ODD), BPE, head_rows=head, table_rows=2).collect()
+        assert sorted(map(str, map(tuple, few))) == sorted(map(str, want))
     assert token_counts.token_counts(frame(spark, []), BPE).count() == 0
 
 
@@ -78,7 +81,8 @@ def test_token_counts_against_the_library(spark):
 @given(st.text(alphabet=st.sampled_from(list("ab Z'slre09 \n\t\r\x0b\x1c\x85\xa0é中²Ⅷ٣_-!?́😀ß　<|endoftext>")), max_size=60))
 def test_pieces_are_the_library_s(text):
     tokenizer, _ = token_counts.load(BPE)
-    assert token_counts.piece_counter(BPE)([text]) == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
+    pretokens, more = token_counts.splitter(BPE)(text)
+    assert more + sum(token_counts.pieces_of(pretokens, BPE)) == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 # --- packing
@@ -91,21 +95,39 @@ def test_ids_are_the_library_s(text):
     assert packing.id_encoder(WORD)([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(["İ", "I", "i", "a", "Σ", " ", *map(chr, range(0x300, 0x370))]), max_size=12))
+def test_ids_with_combining_marks(text):
+    tokenizer, _ = token_counts.load(WORD)
+    assert packing.id_encoder(WORD)([text]) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 24), min_size=1, max_size=40), st.lists(st.integers(1, 24), max_size=10), st.booleans())
+def test_a_sweep_fills_without_overlap(lengths, gaps, may_open):
+    lengths = sorted(lengths, reverse=True)
+    to, offset, left, opened = packing.sweep(np.array(lengths), np.array(gaps, np.int64), 24, may_open)
+    assert may_open or not opened
+    fill = [24 - g for g in gaps] + [0] * opened
+    for n, s, at in zip(lengths, to.tolist(), offset.tolist(), strict=True):
+        if s < 0:
+            assert not may_open
+            continue
+        assert fill[s] == at
+        fill[s] += n
+    assert all(f <= 24 for f in fill) and [24 - f for f in fill] == left.tolist()
+    if not may_open:  # what found no gap is larger than all that are left
+        assert all(n > max(left.tolist(), default=0) for n, s in zip(lengths, to.tolist(), strict=True) if s < 0)
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.dictionaries(st.integers(1, 24), st.integers(1, 40), max_size=12))
-def test_plan_places_every_piece_once_without_overlap(counts):
-    plan, used = packing.best_fit_plan(counts, 24)
-    fill, seen = defaultdict(int), defaultdict(int)
-    for length, rank, n, first, offset in plan:
-        assert rank == seen[length]
-        seen[length] += n
-        for s in range(first, first + n):
-            assert fill[s] == offset and s < used
-            fill[s] += length
-            assert fill[s] <= 24
-    assert dict(seen) == counts
-    total = sum(k * v for k, v in counts.items())
-    assert used <= max(1, -(-11 * -(-total // 24) // 9) + 1 if all(k <= 12 for k in counts) else used)
+@given(st.dictionaries(st.integers(1, 24), st.integers(1, 40), min_size=1, max_size=12), st.dictionaries(st.integers(1, 24), st.integers(1, 40), max_size=12), st.integers(1, 30))
+def test_ranges_take_every_piece_and_gaps_that_hold_them(pieces, gaps, most):
+    home, shares, n = packing.ranges_of(pieces, gaps, most)
+    assert home.keys() == pieces.keys() and all(0 <= f and f + w <= n for f, w in home.values())
+    low = {f: min(x for x, (g, _) in home.items() if g == f) for f, _ in home.values()}
+    for g, got in shares.items():
+        assert sum(k for k, _, _ in got) <= gaps[g] and all(low[f] <= g for _, f, _ in got)
 
 
 def best_fit_by_hand(lengths, capacity):
@@ -127,7 +149,7 @@ def test_as_few_sequences_as_best_fit_decreasing(lengths):
     counts = defaultdict(int)
     for n in lengths:
         counts[n] += 1
-    assert packing.best_fit_plan(dict(counts), 20)[1] <= best_fit_by_hand(lengths, 20)
+    assert packing.sweep(np.sort(np.repeat(list(counts), list(counts.values())))[::-1], np.zeros(0, np.int64), 20, True)[3] <= best_fit_by_hand(lengths, 20)
 
 
 def test_packing_whole(spark):
