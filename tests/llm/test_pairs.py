@@ -223,3 +223,23 @@ def test_neighbours(spark):
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     few = nearest.nearest(df.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
     assert len(few) == 4
+
+
+def test_tiling_of_long_repetitive_texts():
+    one = np.ones(200_000, np.uint64)
+    assert decontaminate.tiled(one[:3000], one, 4) == 3000
+    assert decontaminate.tiled(np.tile(np.arange(1, 4, dtype=np.uint64), 200), np.tile(np.arange(1, 4, dtype=np.uint64), 60_000), 4) == 600
+    assert decontaminate.tiled(one[:3000], np.zeros(200_000, np.uint64), 4) == 0
+
+
+def test_decontamination_in_blocks_and_of_hot_seeds(spark):
+    words = "the quick brown fox jumps over a lazy dog near some river bank at noon".split()
+    items = [(i, " ".join(words[k % len(words)] for k in range(i, i + 8)) + f" item{i}") for i in range(30)] + [(33, None), (34, ""), (35, "hi"), (35, "hi")]
+    docs = [(i, " ".join(words) + f" item{i}") for i in range(40)] + [(100, "a a a a " * 50_000), (101, None), (None, items[0][1]), (102, "say hi there")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.contaminated_pairs(df, bench).collect()))
+    assert whole == sorted(map(str, decontaminate.contaminated_pairs(df, bench, block_chars=400).collect()))
+    assert sum("item_id=35," in r for r in whole) == 1 and not any("doc_id=100," in r for r in whole)
+    want = {(d, i) for d, t in docs if d != 100 for i, u in dict(items).items() if u and t and tiles_by_hand(decontaminate.tokens(u), decontaminate.tokens(t), 4) >= 0.5 * len(decontaminate.tokens(u))}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(df, bench).collect()} == want
+    assert decontaminate.contaminated_pairs(df, bench.limit(0)).count() == 0
