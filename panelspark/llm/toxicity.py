@@ -2,7 +2,7 @@
 
 Folding lower-cases, maps look-alike letters of other scripts and digits or signs that stand for letters to ASCII, drops
 invisible characters and turns punctuation into spaces. Patterns are whole words (' idiot ') and word beginnings (' idio'),
-which catch inflected forms. Exception phrases (' trash can ') take back the weight of the match inside them. Weights are
+which catch inflected forms; marks on letters go, and words spelt out letter by letter (i-d-i-o-t) are joined. Exception phrases (' trash can ') take back the weight of the match inside them. Weights are
 log odds learned from labelled rows; the score is logistic in the matched weight as such and per word of text.
 """
 
@@ -55,14 +55,22 @@ SOFT = re.compile(r"[@4310!|5$7]")
 INSIDE = re.compile(r"(?<=[^\W\d_])[@4310!|5$7]+(?=[^\W\d_])|(?<!\S)[@4310|5$7]+(?=[^\W\d_])|(?<=[^\W\d_])[@4310$57]+(?!\S)")
 
 
+MARKS = re.compile("[\u0300-\u036f]+")
+#: Three or more single letters in a row: a word that is spelt out.
+SPELT = re.compile(r"(?<= )(?:[^\W\d_] ){2,}[^\W\d_](?= )")
+
+
 def fold(text: str) -> str:
     """The text as the lexicon sees it: words with one space between them and one at both ends."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.lower()
+    if not text.isascii():  # letters without their marks
+        text = MARKS.sub("", unicodedata.normalize("NFD", text))
     if SOFT.search(text):
         text = INSIDE.sub(lambda m: "".join(_LETTER_FOR[x] for x in m[0]), text)
-    return " " + " ".join(text.translate(_FOLD).split()) + " "
+    text = " " + " ".join(text.translate(_FOLD).split()) + " "
+    return SPELT.sub(lambda m: m[0].replace(" ", ""), text)
 
 
 def features(folded: str, prefixes: tuple[int, ...]) -> set[str]:

@@ -177,7 +177,7 @@ def test_packing_whole(spark):
 # --- toxicity
 
 
-@pytest.mark.parametrize(("text", "hit"), [("you IDIOT!", 1), ("you іdіоt", 1), ("1d10t", 1), ("you i​diot", 1), ("ｉｄｉｏｔ", 1), ("idiotic", 0), ("a trash can here", 0), ("trash", 1), ("", 0), ("10 of 34 cases", 0)])
+@pytest.mark.parametrize(("text", "hit"), [("you IDIOT!", 1), ("you іdіоt", 1), ("1d10t", 1), ("you i​diot", 1), ("ｉｄｉｏｔ", 1), ("ídiot", 1), ("i̇diot", 1), ("i-d-i-o-t", 1), ("an i d i o t!", 1), ("a b c idiotic", 0), ("idiotic", 0), ("a trash can here", 0), ("trash", 1), ("", 0), ("10 of 34 cases", 0)])
 def test_folding_and_exceptions(text, hit):
     a = toxicity.automaton({"terms": {" idiot ": 4.0, " trash ": 4.0}, "exceptions": [" trash can "]})
     assert (toxicity.matched(a, toxicity.fold(text)) > 0) == bool(hit)
