@@ -239,6 +239,9 @@ def nearest(rows: DataFrame, is_query, k: int = 20, recall: float = 0.96, leaves
     ids = v.join(distinct.select("v", "rep"), "v").select("rep", "vec_id")
     first = ids.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("rep", "vec_id")
     asking = ids.where(is_query).select(F.col("rep").alias("q"), F.col("vec_id").alias("query_id"))
-    full = near.join(first, "rep").join(asking, "q").where("vec_id <> query_id")
+    # the k + 1 best rows of each distinct query first, then its queries: a vector that many rows share adds k + 1 rows for each
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    wide = near.join(first, "rep").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("q", "vec_id", "score")
+    full = wide.join(asking, "q").where("vec_id <> query_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return full.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
