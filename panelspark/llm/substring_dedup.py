@@ -5,18 +5,22 @@ A byte goes where a string of `least` bytes covers it that also starts in a docu
 Suffixes that share their first `least` bytes have to meet. Each window of `least` bytes has an anchor, the k-gram of least
 hash in it, which depends on its bytes alone; consecutive windows with one anchor are a run, whose text is one segment.
 
-1. Equal texts are one text, of the smallest id. Distinct texts are dealt into chunks of some MB.
-2. Each chunk sends the fingerprints of its anchors, once each, to buckets by hash, which answer by a bit each: does it
-   stand in two texts at least? Most text ends here, for some 6 bytes an anchor.
-3. Runs whose anchor is shared go to shards by anchor, each distinct segment of a chunk once, with the least id. A shard
-   builds the transform of its segments and widens intervals breadth first, so that common prefixes are found by
-   increasing length, and stops at `least`: boundaries not met by then separate nothing. The groups between boundaries are
-   equal windows; the least id of each goes back to the chunks. An anchor that very many chunks share would be one shard's
-   group however long: its windows are sent one by one, to shards by their own bytes.
-4. Chunks mark what is covered and cut it.
+1. Equal texts are one text, of the smallest id. Distinct texts are dealt into chunks of some MB, compressed.
+2. Each chunk sends the fingerprints of its anchors, once each, to buckets by value, which answer by a bit each: does it
+   stand in two texts at least? Most text ends here, for some 3 bytes an anchor, as sorted values are sent as differences.
+3. Runs whose anchor is shared go to shards by anchor, each distinct segment of a chunk once: fingerprint, hash and the
+   least id, without its text. Where all segments of an anchor are one, all windows in them are equal, and that is the answer.
+4. Of an anchor with several segments, one chunk each is asked for the text. A shard builds the transform of these
+   segments and widens intervals breadth first, so that common prefixes are found by increasing length, and stops at
+   `least`: boundaries not met by then separate nothing. The groups between boundaries are equal windows; the least id of
+   each goes back to the chunks. An anchor that very many chunks share would be one shard's group however long: its
+   windows are sent one by one, each as a segment to a shard by its own bytes.
+5. Chunks mark what is covered and cut it.
 
 Only compact binary rows are shuffled, the texts once; equal windows are one row a chunk, so that no group of copies meets
-in one task. Every answer is exact but for collisions of 64-bit hashes (48 bits in step 2, where they only cost work).
+in one task. Segments are taken as equal by a fingerprint of 40 bits or more with a hash of 48 others, texts by their md5;
+both hashes are polynomials modulo 2^64, so texts made to collide (Thue-Morse words of 2,048 bytes and more) can deceive
+them. All else is exact; fingerprints that collide cost work only.
 """
 
 from __future__ import annotations
@@ -32,7 +36,6 @@ from .common import _ODD, mix64, range_hashes, shuffle_parts
 
 PIECE = 1 << 18  # bytes that are hashed at once: what a worker holds is some 20 words of 8 bytes for each
 POSITION = np.uint64((1 << 24) - 1)
-FAR = np.iinfo(np.int64).max
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -56,6 +59,51 @@ def squeezed(x: bytes) -> bytes:
     return pa.Codec("zstd", compression_level=3).compress(x, asbytes=True)
 
 
+def opened_up(x: bytes, size: int) -> bytes:
+    return pa.Codec("zstd").decompress(x, decompressed_size=size, asbytes=True) if size else b""
+
+
+def _low_bytes(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _from_bytes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def pack_ints(x: np.ndarray) -> bytes:
+    """Integers as their least, and what each is above it in as few bytes as the largest needs."""
+    low = int(x.min()) if len(x) else 0
+    width = max(1, ((int(x.max()) - low).bit_length() + 7) // 8) if len(x) else 1
+    return low.to_bytes(8, "little", signed=True) + bytes([width]) + _low_bytes(x.astype(np.int64) - low, width)
+
+
+def unpack_ints(raw: bytes) -> np.ndarray:
+    return _from_bytes(raw[9:], raw[8]).astype(np.int64) + int.from_bytes(raw[:8], "little", signed=True)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending words as differences of a fixed width, the few larger ones apart."""
+    d = np.diff(x, prepend=np.uint64(0))
+    width = min(range(1, 9), key=lambda w: len(d) * w + 8 * int((d >= np.uint64(256**w - 1)).sum()))
+    far = d >= np.uint64(256**width - 1)
+    return len(d).to_bytes(4, "little") + bytes([width]) + _low_bytes(np.where(far, np.uint64(256**width - 1), d), width) + d[far].tobytes()
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    n, width = int.from_bytes(raw[:4], "little"), raw[4]
+    d = _from_bytes(raw[5 : 5 + n * width], width)
+    d[d == np.uint64(256**width - 1)] = np.frombuffer(raw[5 + n * width :], np.uint64)
+    return np.cumsum(d, dtype=np.uint64)
+
+
+def part_of(value: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Which of `parts` equal ranges a value of so many bits lies in."""
+    return (((value >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 def piecewise_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """range_hashes() for ascending starts, piece by piece."""
     out = np.zeros(len(start), np.uint64)
@@ -101,23 +149,19 @@ class Chunk:
         self.run_text = np.searchsorted(self.start, self.run_start, "right") - 1
         # of empty texts that start at one place the last is found, which is the one with bytes
 
-    def fingerprints(self, buckets: int):
-        """Distinct anchors by (bucket, hash): their buckets, hashes, whether two texts here have them, and each run's own."""
-        order = np.argsort(self.anchor, kind="stable")
-        h, t = self.anchor[order], self.run_text[order]
+    def fingerprints(self, bits: int):
+        """Distinct fingerprints of anchors in order, whether two texts here have them, and each run's own."""
+        prints = mix64(self.anchor + _ODD) >> np.uint64(64 - bits)  # anchors are least hashes: mixed anew, to be even
+        order = np.argsort(prints, kind="stable")
+        h, t = prints[order], self.run_text[order]
         first = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0) if len(h) else np.zeros(0, np.int64)
         several = np.maximum.reduceat(t, first) != np.minimum.reduceat(t, first) if len(first) else np.zeros(0, bool)
-        u = h[first]
-        bucket = ((u >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((u, bucket))
-        place = np.empty(len(u), np.int64)
-        place[by] = np.arange(len(u))
         own = np.empty(len(h), np.int64)
-        own[order] = place[np.repeat(np.arange(len(u)), np.diff(np.append(first, len(h))))]
-        return bucket[by], u[by], several[by], own
+        own[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        return h[first], several, own
 
-    def segments(self, shared: np.ndarray, hot: np.ndarray, own: np.ndarray, shards: int) -> dict:
-        """Distinct segments by (shard, hash) and, for each occurrence, its window range and which segment it is."""
+    def segments(self, prints: np.ndarray, shared: np.ndarray, hot: np.ndarray, own: np.ndarray, bits: int) -> dict:
+        """Distinct segments by (fingerprint, hash) and, for each occurrence, its window range and which segment it is."""
         plain = np.flatnonzero(shared[own] & ~hot[own]) if len(own) else np.zeros(0, np.int64)
         very = np.flatnonzero(hot[own]) if len(own) else np.zeros(0, np.int64)
         single = spans(self.run_start[very], self.run_end[very] - self.run_start[very])
@@ -126,18 +170,15 @@ class Chunk:
         text = np.concatenate([self.run_text[plain], np.repeat(self.run_text[very], self.run_end[very] - self.run_start[very])])
         cut = len(plain)
         h = np.concatenate([piecewise_hashes(self.data, x, y + self.least - 1) for x, y in ((s[:cut], e[:cut]), (s[cut:], e[cut:]))])
-        key = np.concatenate([self.anchor[plain], h[len(plain) :]])
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]) != 0) if len(h) else np.zeros(0, np.int64)
+        key = np.concatenate([prints[own[plain]], mix64(h[cut:] + _ODD) >> np.uint64(64 - bits)])
+        h >>= np.uint64(16)
+        order = np.lexsort((h, key))
+        first = np.flatnonzero((np.diff(h[order], prepend=~h[order][:1]) != 0) | (np.diff(key[order], prepend=~key[order][:1]) != 0)) if len(h) else np.zeros(0, np.int64)
         lead = order[first]
-        shard = (mix64(key[lead] + _ODD) % np.uint64(shards)).astype(np.int64)
-        by = np.lexsort((h[lead], shard))
-        place = np.empty(len(lead), np.int64)
-        place[by] = np.arange(len(lead))
         which = np.empty(len(h), np.int64)
-        which[order] = place[np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))]
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
         least_id = np.minimum.reduceat(self.ids[text[order]], first) if len(first) else np.zeros(0, np.int64)
-        return {"start": s, "end": e, "text": text, "which": which, "shard": shard[by], "key": key[lead[by]], "from": s[lead[by]], "bytes": (e - s)[lead[by]] + self.least - 1, "id": least_id[by]}
+        return {"start": s, "end": e, "text": text, "which": which, "key": key[lead], "hash": h[lead], "from": s[lead], "bytes": (e - s)[lead] + self.least - 1, "id": least_id}
 
 
 def equal_windows(segments: list[np.ndarray] | np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,43 +237,52 @@ def equal_windows(segments: list[np.ndarray] | np.ndarray, starts: np.ndarray, l
     return segment[whole], offset[whole], group[whole]
 
 
-def least_ids(data: np.ndarray, lengths: np.ndarray, keys: np.ndarray, ids: np.ndarray, least: int, slice_bytes: int = 1 << 19) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """For each segment the least id of a document with its windows: one value, or -1 and one a window."""
-    starts = np.cumsum(lengths) - lengths
-    h = piecewise_hashes(data, starts, starts + lengths) + mix64(keys + _ODD)
-    _, lead, which = np.unique(h, return_index=True, return_inverse=True)
-    low = np.full(len(lead), FAR)
-    np.minimum.at(low, which, ids)
-    same = low.copy()
-    per_window: dict[int, np.ndarray] = {}
-    order = np.argsort(keys[lead], kind="stable")
-    k = keys[lead][order]
-    first = np.flatnonzero(np.diff(k, prepend=~k[:1]) != 0) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(k)))
-    todo = order[np.repeat(size > 1, size)]  # segments whose anchor has another segment too, by anchor
-    at = 0
-    key_of = keys[lead]
-    while at < len(todo):
-        to = at + max(1, int(np.searchsorted(np.cumsum(lengths[lead[todo[at : at + slice_bytes // least + 1]]]), slice_bytes)))
-        to = min(to, len(todo))
-        while to < len(todo) and key_of[todo[to]] == key_of[todo[to - 1]]:  # an anchor's segments stay together
-            to += 1
-        part = todo[at:to]
-        at = to
-        segment, offset, group = equal_windows(data, starts[lead[part]], lengths[lead[part]], least)
-        if not len(group):
-            continue
-        edge = np.flatnonzero(np.diff(group, prepend=-1) != 0)
-        found = np.repeat(np.minimum.reduceat(low[part[segment]], edge), np.diff(np.append(edge, len(group))))
-        by = np.lexsort((offset, segment))
-        segment, found = segment[by], found[by]
-        edge = np.flatnonzero(np.diff(segment, prepend=-1) != 0)
-        small, large = np.minimum.reduceat(found, edge), np.maximum.reduceat(found, edge)
-        ends = np.append(edge[1:], len(segment))
-        same[part[segment[edge]]] = np.where(small == large, small, -1)
-        for e in np.flatnonzero(small != large).tolist():
-            per_window[int(part[segment[edge[e]]])] = found[edge[e] : ends[e]]
-    return same[which], {i: per_window[w] for i, w in enumerate(which.tolist()) if w in per_window} if per_window else {}
+class Shard:
+    """Segments that chunks sent, by (fingerprint, hash): which are equal, their least ids, and whose text is needed."""
+
+    def __init__(self, keys: list[np.ndarray], hashes: list[np.ndarray], ids: list[np.ndarray]):
+        self.size = np.array([len(k) for k in keys], np.int64)
+        key, h = np.concatenate(keys), np.concatenate(hashes)
+        order = np.lexsort((h, key))  # stable: of equal segments the first chunk's comes first
+        new_key = np.diff(key[order], prepend=~key[order][:1]) != 0
+        first = np.flatnonzero(new_key | (np.diff(h[order], prepend=~h[order][:1]) != 0))
+        self.which = np.empty(len(key), np.int64)
+        self.which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        self.low = np.minimum.reduceat(np.concatenate(ids)[order], first)
+        self.group = np.cumsum(new_key)[first] - 1  # by fingerprint
+        self.wanted = np.bincount(self.group)[self.group] > 1  # segments that aren't alone with theirs
+        self.asked = np.zeros(len(key), bool)
+        self.asked[order[first[self.wanted]]] = True
+
+    def windows(self, data: np.ndarray, lengths: np.ndarray, least: int, slice_bytes: int = 1 << 19) -> dict[int, np.ndarray]:
+        """Of segments whose windows have several least ids, those by window; low is put right for the others.
+
+        data, lengths: the texts of the wanted segments, one after the other.
+        """
+        want = np.flatnonzero(self.wanted)
+        starts = np.cumsum(lengths) - lengths
+        out: dict[int, np.ndarray] = {}
+        at, upto = 0, np.cumsum(lengths)
+        while at < len(want):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + slice_bytes)))
+            while to < len(want) and self.group[want[to]] == self.group[want[to - 1]]:  # an anchor's segments stay together
+                to += 1
+            part = want[at:to]
+            segment, offset, group = equal_windows(data, starts[at:to], lengths[at:to], least)
+            at = to
+            if not len(group):
+                continue
+            edge = np.flatnonzero(np.diff(group, prepend=-1) != 0)
+            found = np.repeat(np.minimum.reduceat(self.low[part[segment]], edge), np.diff(np.append(edge, len(group))))
+            by = np.lexsort((offset, segment))
+            segment, found = segment[by], found[by]
+            edge = np.flatnonzero(np.diff(segment, prepend=-1) != 0)
+            small, large = np.minimum.reduceat(found, edge), np.maximum.reduceat(found, edge)
+            ends = np.append(edge[1:], len(segment))
+            self.low[part[segment[edge]]] = small
+            for e in np.flatnonzero(small != large).tolist():
+                out[int(part[segment[edge[e]]])] = found[edge[e] : ends[e]]
+        return out
 
 
 def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes: int = 3 << 20, hot_chunks: int = 64, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -251,7 +301,8 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes:
     total = long.agg(F.sum("n_bytes")).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     parts = shuffle_parts(spark)
-    buckets, shards = max(parts, -(-total // (64 << 20))), max(parts, -(-total // (32 << 20)))
+    buckets, shards = max(parts, -(-total // (64 << 20))), max(parts, -(-total // (128 << 20)))
+    width = min(56, max(40, int(total).bit_length() + 5))  # bits of a fingerprint: few of the anchors collide at any size
     chunk_of = lambda c: F.pmod(F.conv(F.substring(F.hex(c), 1, 12), 16, 10).cast("long"), F.lit(chunks)).cast("int")
 
     def once(source):
@@ -265,22 +316,27 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes:
                 if d not in seen:
                     seen.add(d)
                     take.append(i)
-            yield batch.take(pa.array(take, pa.int32()))
+            for a in range(0, len(take), 500):
+                part = batch.take(pa.array(take[a : a + 500], pa.int32()))
+                raw = part.column(2).to_pylist()
+                codec = pa.Codec("zstd", compression_level=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(t) for t in raw], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary())], names=["chunk", "md5", "size", "z"])
 
-    texts = docs.where((F.octet_length(text) >= least) & F.col(id_col).isNotNull()).select(chunk_of(md5).alias("chunk"), md5.alias("md5"), text.alias("text")).mapInArrow(once, "chunk int, md5 binary, text binary")
+    texts = docs.where((F.octet_length(text) >= least) & F.col(id_col).isNotNull()).select(chunk_of(md5).alias("chunk"), md5.alias("md5"), text.alias("text")).mapInArrow(once, "chunk int, md5 binary, size long, z binary")
     sources = long.groupBy("md5").agg(F.min("doc_id").alias("key"))
     right0 = sources.select(chunk_of(F.col("md5")).alias("chunk"), F.lit(0).alias("kind"), "key", F.col("md5").alias("a"), F.lit(None).cast("binary").alias("b"))
 
     def opened(left: pa.Table, right: pa.Table):
-        ids, answers = {}, {1: {}, 2: {}}
+        ids, answers = {}, {1: {}, 2: {}, 3: {}}
         for kind, key, a, b in zip(*(right.column(c).to_pylist() for c in ("kind", "key", "a", "b")), strict=True):
             if kind:
                 answers[kind][key] = a, b
             else:
                 ids[a] = key
         first = {}
-        for d, t in zip(left.column("md5").to_pylist(), left.column("text").to_pylist(), strict=True):
-            first.setdefault(d, t)
+        for d, n, z in zip(*(left.column(c).to_pylist() for c in ("md5", "size", "z")), strict=True):
+            if d not in first:
+                first[d] = opened_up(z, n)
         names = sorted(first)
         return names, Chunk([first[d] for d in names], np.array([ids[d] for d in names], np.int64), least, gram), answers
 
@@ -300,20 +356,17 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes:
         if not left.num_rows:
             return sent1.empty_table()
         _, c, _ = opened(left, right)
-        bucket, u, several, _ = c.fingerprints(buckets)
-        raw = u.view(np.uint8).reshape(-1, 8)[:, :6]
-        out = [(k, raw[a:b].tobytes(), bits(several[a:b])) for k, a, b in cuts(bucket)]
+        u, several, _ = c.fingerprints(width)
+        out = [(k, pack_sorted(u[a:b]), bits(several[a:b])) for k, a, b in cuts(part_of(u, width, buckets))]
         n = left.column("chunk")[0].as_py()
         return pa.table([[x[0] for x in out], [n] * len(out), [x[1] for x in out], [x[2] for x in out]], schema=sent1)
 
     right_schema = pa.schema([("chunk", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
     def answer_prints(table: pa.Table) -> pa.Table:
-        prints = table.column("prints").to_pylist()
-        size = [len(p) // 6 for p in prints]
-        raw = np.zeros((sum(size), 8), np.uint8)
-        raw[:, :6] = np.frombuffer(b"".join(prints), np.uint8).reshape(-1, 6)
-        _, which, count = np.unique(raw.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
+        prints = [unpack_sorted(x) for x in table.column("prints").to_pylist()]
+        size = [len(p) for p in prints]
+        _, which, count = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
         several = np.concatenate([unbits(s, n) for s, n in zip(table.column("several").to_pylist(), size, strict=True)])
         shared = count > 1
         shared[which[several]] = True
@@ -324,40 +377,78 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes:
         return pa.table([table.column("chunk").combine_chunks(), [1] * len(k), k, [x[0] for x in answers], [x[1] for x in answers]], schema=right_schema)
 
     def segments_of(c: Chunk, answers: dict) -> dict:
-        bucket, u, _, own = c.fingerprints(buckets)
+        u, _, own = c.fingerprints(width)
         shared, hot = np.zeros(len(u), bool), np.zeros(len(u), bool)
-        for k, a, b in cuts(bucket):
+        for k, a, b in cuts(part_of(u, width, buckets)):
             x, y = answers[1][k]
             shared[a:b], hot[a:b] = unbits(x, b - a), unbits(y, b - a)
-        return c.segments(shared, hot, own, shards)
+        return c.segments(u, shared, hot, own, width)
 
-    sent2 = pa.schema([("shard", pa.int64()), ("chunk", pa.int32()), ("keys", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("text", pa.binary())])
+    sent2 = pa.schema([("shard", pa.int64()), ("chunk", pa.int32()), ("keys", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary())])
 
     def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return sent2.empty_table()
         _, c, answers = opened(left, right)
         s = segments_of(c, answers)
+        out = [(k, pack_sorted(s["key"][a:b]), _low_bytes(s["hash"][a:b], 6), pack_ints(s["id"][a:b])) for k, a, b in cuts(part_of(s["key"], width, shards))]
+        n = left.column("chunk")[0].as_py()
+        return pa.table([[x[0] for x in out], [n] * len(out), *([x[i] for x in out] for i in range(1, 4))], schema=sent2)
+
+    def shard_of(table: pa.Table) -> tuple[pa.Table, Shard]:
+        table = table.sort_by("chunk")
+        return table, Shard(*([read(x) for x in table.column(c).to_pylist()] for c, read in (("keys", unpack_sorted), ("hashes", lambda x: _from_bytes(x, 6)), ("ids", unpack_ints))))
+
+    def ask(table: pa.Table) -> pa.Table:
+        table, shard = shard_of(table)
+        ends = np.cumsum(shard.size)
+        wanted = [bits(shard.asked[e - n : e]) if shard.asked[e - n : e].any() else None for e, n in zip(ends.tolist(), shard.size.tolist(), strict=True)]
+        k = table.column("shard").to_pylist()
+        return pa.table([table.column("chunk").combine_chunks(), [2] * len(k), k, wanted, [None] * len(k)], schema=right_schema).filter(pa.array([w is not None for w in wanted], pa.bool_()))
+
+    sent3 = pa.schema([("shard", pa.int64()), ("chunk", pa.int32()), ("lengths", pa.binary()), ("text", pa.binary())])
+
+    def send_texts(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return sent3.empty_table()
+        _, c, answers = opened(left, right)
+        s = segments_of(c, answers)
         out = []
-        for k, a, b in cuts(s["shard"]):
-            text = c.data[spans(s["from"][a:b], s["bytes"][a:b])].tobytes()
-            out.append((k, s["key"][a:b].tobytes(), s["bytes"][a:b].astype(np.int32).tobytes(), s["id"][a:b].tobytes(), squeezed(text)))
+        for k, a, b in cuts(part_of(s["key"], width, shards)):
+            if k in answers[2]:
+                at = a + np.flatnonzero(unbits(answers[2][k][0], b - a))
+                out.append((k, pack_ints(s["bytes"][at]), squeezed(c.data[spans(s["from"][at], s["bytes"][at])].tobytes())))
         n = left.column("chunk")[0].as_py()
-        return pa.table([[x[0] for x in out], [n] * len(out), *([x[i] for x in out] for i in range(1, 5))], schema=sent2)
-
-    def answer_segments(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        lengths = [np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("lengths").to_pylist()]
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
-        data = np.frombuffer(b"".join(pa.Codec("zstd").decompress(x, decompressed_size=int(n.sum()), asbytes=True) for x, n in zip(table.column("text").to_pylist(), lengths, strict=True)), np.uint8)
-        same, each = least_ids(data, np.concatenate(lengths), np.concatenate(keys), ids, least)
+        return pa.table([[x[0] for x in out], [n] * len(out), [x[1] for x in out], [x[2] for x in out]], schema=sent3)
+
+    def answer_segments(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return right_schema.empty_table()
+        table, shard = shard_of(left)
+        right = right.sort_by("chunk")
+        lengths = [unpack_ints(x) for x in right.column("lengths").to_pylist()]
+        each: dict[int, np.ndarray] = {}
+        if lengths:
+            # texts come as the chunks were asked for them, and are put in the order of the shard's segments
+            data = np.frombuffer(b"".join(opened_up(x, int(n.sum())) for x, n in zip(right.column("text").to_pylist(), lengths, strict=True)), np.uint8)
+            size = np.concatenate(lengths)
+            by = np.argsort(shard.which[shard.asked], kind="stable")
+            starts = np.cumsum(size) - size
+            each = shard.windows(data[spans(starts[by], size[by])], size[by], least)
         out, at = [], 0
-        for n in map(len, lengths):
-            more = [each[i] for i in range(at, at + n) if same[i] == -1] if each else []
-            out.append((same[at : at + n].tobytes(), np.concatenate(more).tobytes() if more else b""))
+        for n in shard.size.tolist():
+            mine = shard.which[at : at + n]
             at += n
+            more = [each[i] for i in mine.tolist() if i in each] if each else []
+            low = pack_ints(shard.low[mine])
+            if more:
+                varied = bits(np.array([i in each for i in mine.tolist()]))
+                flat = pack_ints(np.concatenate(more))
+                out.append((low, len(flat).to_bytes(4, "little") + varied + squeezed(flat)))
+            else:
+                out.append((low, None))
         k = table.column("shard").to_pylist()
-        return pa.table([table.column("chunk").combine_chunks(), [2] * len(k), k, [x[0] for x in out], [x[1] for x in out]], schema=right_schema)
+        return pa.table([table.column("chunk").combine_chunks(), [3] * len(k), k, [x[0] for x in out], [x[1] for x in out]], schema=right_schema)
 
     fields = [("md5", pa.binary()), ("rep", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("kept", pa.binary())] if with_text else [])
 
@@ -366,22 +457,25 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes:
             return pa.schema(fields).empty_table()
         names, c, answers = opened(left, right)
         s = segments_of(c, answers)
-        low = np.full(len(s["shard"]), FAR)
+        low, varied = np.zeros(len(s["key"]), np.int64), np.zeros(len(s["key"]), bool)
         more: dict[int, np.ndarray] = {}
-        for k, a, b in cuts(s["shard"]):
-            x, y = answers[2][k]
-            low[a:b] = np.frombuffer(x, np.int64)
-            extra, at = np.frombuffer(y, np.int64), 0
-            for i in (a + np.flatnonzero(low[a:b] == -1)).tolist():
-                n = int(s["bytes"][i]) - least + 1
-                more[i] = extra[at : at + n]
-                at += n
+        for k, a, b in cuts(part_of(s["key"], width, shards)):
+            x, y = answers[3][k]
+            low[a:b] = unpack_ints(x)
+            if y is not None:
+                head = 4 + -(-(b - a) // 8)
+                varied[a:b] = unbits(y[4:head], b - a)
+                extra, at = unpack_ints(opened_up(y[head:], int.from_bytes(y[:4], "little"))), 0
+                for i in (a + np.flatnonzero(varied[a:b])).tolist():
+                    n = int(s["bytes"][i]) - least + 1
+                    more[i] = extra[at : at + n]
+                    at += n
         mark = np.zeros(len(c.data) + 1, np.int32)
-        m, mine = low[s["which"]], c.ids[s["text"]]
-        gone = (m < mine) & (m >= 0)
+        mine, by_window = c.ids[s["text"]], varied[s["which"]]
+        gone = (low[s["which"]] < mine) & ~by_window
         np.add.at(mark, s["start"][gone], 1)
         np.add.at(mark, s["end"][gone] + least - 1, -1)
-        for o in np.flatnonzero(m == -1).tolist():
+        for o in np.flatnonzero(by_window).tolist():
             w = s["start"][o] + np.flatnonzero(more[int(s["which"][o])] < mine[o])
             np.add.at(mark, w, 1)
             np.add.at(mark, w + least, -1)
@@ -398,9 +492,11 @@ def drop_repeats(docs: DataFrame, least: int = 50, gram: int = 26, chunk_bytes:
     prints = by_chunk.cogroup(right0.groupBy("chunk")).applyInArrow(send_prints, "bucket long, chunk int, prints binary, several binary")
     right1 = prints.groupBy("bucket").applyInArrow(answer_prints, schema_right)
     right01 = right0.unionByName(right1)
-    segs = by_chunk.cogroup(right01.groupBy("chunk")).applyInArrow(send_segments, "shard long, chunk int, keys binary, lengths binary, ids binary, text binary")
-    right2 = segs.groupBy("shard").applyInArrow(answer_segments, schema_right)
-    done = by_chunk.cogroup(right01.unionByName(right2).groupBy("chunk")).applyInArrow(cut, "md5 binary, rep long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    segs = by_chunk.cogroup(right01.groupBy("chunk")).applyInArrow(send_segments, "shard long, chunk int, keys binary, hashes binary, ids binary")
+    right2 = segs.groupBy("shard").applyInArrow(ask, schema_right)
+    asked = by_chunk.cogroup(right01.unionByName(right2).groupBy("chunk")).applyInArrow(send_texts, "shard long, chunk int, lengths binary, text binary")
+    right3 = segs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer_segments, schema_right)
+    done = by_chunk.cogroup(right01.unionByName(right3).groupBy("chunk")).applyInArrow(cut, "md5 binary, rep long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
     joined = rows.join(done, (rows["md5"] == done["md5"]) & rows["whole"].isNull(), "left")
     own = F.col("rep") == F.col("doc_id")
