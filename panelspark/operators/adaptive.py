@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,21 +74,35 @@ def _normalised(logs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_posterior(votes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """After each answer of a sequence: step, posterior mean and entropy. Sequences are one rater's, so windows stay short."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    steps = votes.where("choice <> 'ABSTAIN'").withColumn("step", F.row_number().over(w))
-    grid = F.sequence(F.lit(0), F.lit(GRID - 1))
-    logp = F.transform(grid, lambda i: F.log(likelihood(F.col("choice"), grid_point(i), F.col("a"), F.col("b"))))
-    rows = steps.select(*keys, "step", F.posexplode(logp).alias("i", "l"))
-    cumulative = rows.withColumn("l", F.sum("l").over(Window.partitionBy(*keys, "i").orderBy("step")))
-    dense = cumulative.groupBy(*keys, "step").agg(F.array_sort(F.collect_list(F.struct("i", "l"))).alias("g"))
-    top = F.array_max(F.transform("g", lambda x: x["l"]))
-    weights = dense.withColumn("m", top).withColumn("e", F.transform("g", lambda x: F.exp(x["l"] - F.col("m"))))
-    total = F.aggregate("e", F.lit(0.0), lambda s, v: s + v)
-    p = weights.withColumn("t", total).withColumn("p", F.transform("e", lambda v: v / F.col("t")))
-    mean = F.aggregate(F.transform("p", lambda v, i: v * grid_point(i)), F.lit(0.0), lambda s, v: s + v)
-    ent = -F.aggregate("p", F.lit(0.0), lambda s, v: s + F.when(v > 0, v * F.log(F.when(v > 0, v))).otherwise(0.0))
-    return p.select(*keys, "step", mean.alias("mean"), ent.alias("entropy"))
+    """After each answer of a sequence: step, posterior mean and entropy.
+
+    A sequence is one rater's on one axis, short by contract: it is gathered by one shuffle, and Arrow batches of gathered
+    sequences are folded over the grid.
+    """
+    code = F.when(F.col("choice") == "A", 0).when(F.col("choice") == "B", 1).otherwise(2)
+    gathered = votes.where("choice <> 'ABSTAIN'").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "a", "b", code.alias("c")))).alias("s"))
+    flat = gathered.select(*keys, F.transform("s", lambda v: v["a"]).alias("_a"), F.transform("s", lambda v: v["b"]).alias("_b"), F.transform("s", lambda v: v["c"]).alias("_c"))
+    n_keys = len(keys)
+    mu = -5 + np.arange(GRID) / 10
+
+    def run(source):
+        for batch in source:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                a, b, c = (part.column(n_keys + i).flatten().to_numpy() for i in range(3))
+                size = np.diff(part.column(n_keys).offsets.to_numpy())
+                values, which = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+                step_log = np.log(_log_choice(values[0], values[1]))[which.ravel(), c]  # one row of the grid an answer
+                total = np.concatenate([np.cumsum(x, axis=0) for x in np.split(step_log, np.cumsum(size)[:-1])]) if len(size) else step_log
+                e = np.exp(total - total.max(1, keepdims=True))
+                p = e / e.sum(1, keepdims=True)
+                entropy = -(p * np.log(np.where(p > 0, p, 1.0))).sum(1)
+                step = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size) + 1
+                take = pa.array(np.repeat(np.arange(part.num_rows), size))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(take) for i in range(n_keys)), pa.array(step.astype(np.int32)), pa.array(p @ mu), pa.array(entropy)], names=[*keys, "step", "mean", "entropy"])
+
+    schema = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys)
+    return flat.mapInArrow(run, f"{schema}, step int, mean double, entropy double")
 
 
 def information(pool: DataFrame, post: DataFrame, seen: DataFrame) -> DataFrame:
