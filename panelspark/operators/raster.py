@@ -181,3 +181,11 @@ def shifted_retention(df: DataFrame, key: str, alpha: str = "alpha", width: int
     side = F.when(after < before, "right" if dx > 0 else "left")
     codes = F.array(side, F.when(share < least, F.lit("raster-loss")))
     return p.select(key, r6(share).alias("retained"), F.array_join(F.array_distinct(F.filter(codes, lambda c: c.isNotNull())), ",").alias("sides"))
+
+
+def resampled(alpha: Column, width: int, to: int) -> Column:
+    """The raster at `to` pixels a side: the floored mean alpha of each block; width has to be a multiple of it."""
+    step = width // to
+    inside = [dy * width + dx for dy in range(step) for dx in range(step)]
+    block = lambda i: sum((F.get(alpha, (F.floor(i / to) * step * width + i % to * step + o).cast("int")) for o in inside), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), F.lit(to * to - 1)), lambda i: F.floor(block(i) / (step * step)).cast("int"))

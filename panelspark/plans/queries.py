@@ -564,4 +564,6 @@ def vote_rate_windows(spark, d):
 
 
 def queries() -> dict:
-    return dict(REGISTRY)
+    from . import study_queries
+
+    return REGISTRY | study_queries.REGISTRY
