@@ -307,7 +307,7 @@ def best_fit(pieces: DataFrame, capacity: int, id_col: str, kind: str, range_pie
     return out.drop("state")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, range_pieces: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, range_pieces: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then end_id; a null or empty text is the end id alone. Only documents above the capacity
