@@ -76,7 +76,12 @@ def count_words(docs: DataFrame, table_rows: int = 300_000) -> DataFrame:
 
 
 def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Net:
@@ -100,10 +105,14 @@ class Net:
         }
         self.p["u"][:, :hidden] += 1.0  # keep more than is replaced, at first
 
-    def step(self, x: np.ndarray, h: np.ndarray):
+    def step(self, x: np.ndarray, h: np.ndarray, a: np.ndarray | None = None):
+        """The next state with its gates; a: rows of "u" for x, where they are at hand."""
         p, n = self.p, self.hidden
-        a = p["u"][x]
-        g = sigmoid(a[:, : 2 * n] + h @ p["rzr"])
+        if a is None:
+            a = p["u"][x]
+        g = h @ p["rzr"]
+        g += a[:, : 2 * n]
+        sigmoid(g)
         z, r = g[:, :n], g[:, n:]
         c = np.tanh(a[:, 2 * n :] + (r * h) @ p["rn"])
         return (1 - z) * c + z * h, z, r, c
@@ -117,10 +126,11 @@ class Net:
         cls = self.class_of(y)
         s = h @ p["c"] + p["cb"]
         s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(1)
         rows = np.arange(len(y))
-        out = (s[rows, cls] - np.log(total)).astype(np.float64)
+        out = s[rows, cls].astype(np.float64)
+        e = np.exp(s, out=s)
+        total = e.sum(1)
+        out -= np.log(total)
         if grads is not None:
             e /= total[:, None]
             e[rows, cls] -= 1
@@ -133,10 +143,11 @@ class Net:
             at = order[bounds[k] : bounds[k + 1]]
             s = h[at] @ p["w"][k] + p["wb"][k]
             s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(1)
             inner, r = y[at] - k * self.size, np.arange(len(at))
-            out[at] += s[r, inner] - np.log(total)
+            own = s[r, inner]
+            e = np.exp(s, out=s)
+            total = e.sum(1)
+            out[at] += own - np.log(total)
             if grads is not None:
                 e /= total[:, None]
                 e[r, inner] -= 1
@@ -168,10 +179,11 @@ class Net:
                 y = grid[a : a + window]
                 x = np.concatenate([before[None], y[:-1]])
                 before = y[-1]
+                inputs = self.p["u"][x]
                 states, cache = [], []
-                for row in x:
+                for row, a_row in zip(x, inputs, strict=True):
                     h = np.where((row == 0)[:, None], np.float32(0), h)
-                    new, z, r, c = self.step(row, h)
+                    new, z, r, c = self.step(row, h, a_row)
                     cache.append((row, h, z, r, c))
                     states.append(new)
                     h = new
@@ -179,18 +191,26 @@ class Net:
                 _, dout = self.log_p(np.concatenate(states), y.ravel(), g)
                 dout = dout.reshape(len(x), used, -1)
                 carry = np.zeros_like(h)
+                d_gates = np.empty((len(x), used, 3 * self.hidden), np.float32)  # what reaches the gates and the new state, step by step
+                two = 2 * self.hidden
                 for i in range(len(x) - 1, -1, -1):
                     row, old, z, r, c = cache[i]
                     dh = dout[i] + carry
                     dc = dh * (1 - z) * (1 - c * c)
-                    dz = dh * (old - c) * z * (1 - z)
                     drh = dc @ self.p["rn"].T
-                    dr = drh * old * r * (1 - r)
-                    dzr = np.concatenate([dz, dr], 1)
+                    dzr = d_gates[i, :, :two]
+                    dzr[:, : self.hidden] = dh * (old - c) * z * (1 - z)
+                    dzr[:, self.hidden :] = drh * old * r * (1 - r)
+                    d_gates[i, :, two:] = dc
                     carry = (dh * z + drh * r + dzr @ self.p["rzr"].T) * (row != 0)[:, None]
-                    g["rn"] += (r * old).T @ dc
-                    g["rzr"] += old.T @ dzr
-                    np.add.at(g["u"], row, np.concatenate([dzr, dc], 1))
+                # weights of the recurrence and inputs over all steps at once
+                flat_d, olds = d_gates.reshape(-1, 3 * self.hidden), np.concatenate([q[1] for q in cache])
+                g["rn"] += (np.concatenate([q[3] for q in cache]) * olds).T @ flat_d[:, two:]
+                g["rzr"] += olds.T @ flat_d[:, :two]
+                order = np.argsort(x.ravel(), kind="stable")
+                ids = x.ravel()[order]
+                first = np.flatnonzero(np.diff(ids, prepend=-1) != 0)
+                g["u"][ids[first]] += np.add.reduceat(flat_d[order], first, axis=0)
                 t += 1
                 lr = rate * min(1.0, t / 20) * max(0.05, 1 - span[0] - (span[1] - span[0]) * t / (steps + 1))
                 for k, p in self.p.items():
