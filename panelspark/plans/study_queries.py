@@ -231,7 +231,7 @@ def ordered_pairs(spark, d):
     """Canonical pairs in their order; there are at most as many as a study has, so one window numbers them."""
     p = facts.pairs(spark, d).select("k", "source_no", "axis", "left_pct")
     w = Window.orderBy("source_no", "axis", "left_pct", "k")
-    return p.withColumn("position", F.row_number().over(w)).orderBy("position")
+    return p.withColumn("position", F.row_number().over(w).cast("long")).orderBy("position")
 
 
 @query
