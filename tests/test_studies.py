@@ -1,12 +1,15 @@
 """Study queries against their SQL on the smallest tables, and rules that those tables can't reach."""
 
+import math
 import os
+import random
+import statistics
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import markup, studies
+from panelspark.operators import decide, markup, studies
 from panelspark.plans import study_oracle, study_queries
 
 DATA = "/root/testdata/sf0.001"
@@ -57,3 +60,49 @@ def test_attributes_and_references(spark):
     for r in markup.issues(spark.createDataFrame(rows, "id int, m string"), "id", "m").collect():
         got.setdefault(r.id, set()).add(r.code)
     assert got == {2: {"unsafe-event-attribute", "external-resource"}, 3: {"external-resource", "unsupported-attribute"}, 4: {"unsafe-style"}}
+
+
+def combined_by_hand(signals):
+    values = [v for _, v in signals]
+    structural = [v for n, v in signals if n != "edge"]
+    spread = lambda xs: max(xs) - min(xs)
+    if len(values) < 3:
+        return "few", None, None
+    wide = spread(structural) if len(structural) >= 2 else spread(values)
+    band = "conflict" if wide > 2 else "strong" if spread(values) <= 0.5 else "mixed"
+    return band, round(statistics.median(values), 6), spread(values)
+
+
+def ensemble_by_hand(x, y, x2, y2):
+    (bx, cx, _), (by, cy, _), (_, dx, _), (_, dy, _) = map(combined_by_hand, (x, y, x2, y2))
+    if "few" in (bx, by):
+        return "ABSTAIN", "insufficient-signals", None, None
+    swings = [max(k) - min(k) if (k := [v for v in pair if v is not None]) else float("inf") for pair in ((cx, dx), (cy, dy))]
+    if "conflict" in (bx, by) or max(swings) > 3:
+        return "ABSTAIN", "signals-disagree", None, None
+    far = math.hypot(cx, cy)
+    if far > 5:
+        return "ABSTAIN", "proposal-out-of-range", None, None
+    return ("NO_CHANGE", "within-tolerance", 0.0, 0.0) if far < 0.1 else ("REVIEW", None, cx, cy)
+
+
+def test_ensemble_against_a_plain_version(spark):
+    rng = random.Random(21)
+    names = ("alpha", "edge", "convexHull", "symmetry")
+
+    def signals():
+        middle, width = rng.choice([0.0, 0.02, 1.1, -2.3, 4.6]), rng.choice([0.01, 0.3, 1.0, 3.5])
+        return [(n, round(middle + rng.uniform(-width, width) / 2, 4)) for n in names[: rng.choice([2, 3, 4, 4])]]
+
+    rows = [(i, *(signals() for _ in range(4))) for i in range(300)]
+    kind = "array<struct<name:string,value:double>>"
+    df = spark.createDataFrame(rows, f"id int, x {kind}, y {kind}, x2 {kind}, y2 {kind}")
+    c = df.select("id", *[decide.combine(F.col(n)).alias(n) for n in ("x", "y", "x2", "y2")])
+    out = c.select("id", decide.ensemble(F.col("x"), F.col("y"), F.array("x", "x2"), F.array("y", "y2")).alias("e")).collect()
+    seen = set()
+    for r in out:
+        want = ensemble_by_hand(*rows[r.id][1:])
+        assert (r.e.status, r.e.reason) == want[:2], rows[r.id]
+        assert all((a is None and b is None) or abs(a - b) < 2e-6 for a, b in zip((r.e.dx, r.e.dy), want[2:], strict=True))
+        seen.add(want[:2])
+    assert len(seen) >= 4
