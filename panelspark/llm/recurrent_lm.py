@@ -166,58 +166,75 @@ class Net:
             return
         rng = np.random.default_rng(seed)
         have = sum(len(d) for d in docs)
-        m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         total = max(1, round(tokens / max(1, have))) if have < tokens else 1
         steps = max(1, total * have // (lanes * window))
+        n, two = self.hidden, 2 * self.hidden
+        grad, m, v, room = (np.zeros(sum(x.size for x in self.p.values()), np.float32) for _ in range(4))
+        at = np.cumsum([0, *(x.size for x in self.p.values())])
+        views = lambda flat: {k: flat[a : a + x.size].reshape(x.shape) for a, (k, x) in zip(at, self.p.items(), strict=False)}
+        g, change, t = views(grad), views(room), 0
         for _ in range(min(total, 12)):
             flat = np.concatenate([docs[i] for i in rng.permutation(len(docs))])
             used = min(lanes, len(flat))
             width = -(-len(flat) // used)
             grid = np.resize(flat, width * used).reshape(used, width).T
-            h, before = np.zeros((used, self.hidden), np.float32), np.zeros(used, np.int64)
+            h, before = np.zeros((used, n), np.float32), np.zeros(used, np.int64)
             for a in range(0, width, window):
                 y = grid[a : a + window]
                 x = np.concatenate([before[None], y[:-1]])
                 before = y[-1]
-                inputs = self.p["u"][x]
-                states, cache = [], []
-                for row, a_row in zip(x, inputs, strict=True):
-                    h = np.where((row == 0)[:, None], np.float32(0), h)
-                    new, z, r, c = self.step(row, h, a_row)
-                    cache.append((row, h, z, r, c))
-                    states.append(new)
-                    h = new
-                g = {k: np.zeros_like(p) for k, p in self.p.items()}
-                _, dout = self.log_p(np.concatenate(states), y.ravel(), g)
-                dout = dout.reshape(len(x), used, -1)
-                carry = np.zeros_like(h)
-                d_gates = np.empty((len(x), used, 3 * self.hidden), np.float32)  # what reaches the gates and the new state, step by step
-                two = 2 * self.hidden
+                inputs, going = self.p["u"][x], (x != 0)[:, :, None].astype(np.float32)  # the state starts anew after an end
+                olds, z, r, c, states = np.empty((5, len(x), used, n), np.float32)
+                for i, row in enumerate(x):
+                    np.multiply(h, going[i], out=olds[i])
+                    states[i], z[i], r[i], c[i] = self.step(row, olds[i], inputs[i])
+                    h = states[i]
+                grad.fill(0)
+                _, dout = self.log_p(states.reshape(-1, n), y.ravel(), g)
+                dout = dout.reshape(states.shape)
+                # what a change of the new state, or of the reset old one, is to each gate
+                to_c, to_z, to_r = (1 - z) * (1 - c * c), (olds - c) * z * (1 - z), olds * r * (1 - r)
+                carry, d_gates = np.zeros_like(h), np.empty((len(x), used, 3 * n), np.float32)
+                rn, rzr = self.p["rn"].T, self.p["rzr"].T
                 for i in range(len(x) - 1, -1, -1):
-                    row, old, z, r, c = cache[i]
-                    dh = dout[i] + carry
-                    dc = dh * (1 - z) * (1 - c * c)
-                    drh = dc @ self.p["rn"].T
-                    dzr = d_gates[i, :, :two]
-                    dzr[:, : self.hidden] = dh * (old - c) * z * (1 - z)
-                    dzr[:, self.hidden :] = drh * old * r * (1 - r)
-                    d_gates[i, :, two:] = dc
-                    carry = (dh * z + drh * r + dzr @ self.p["rzr"].T) * (row != 0)[:, None]
+                    d = d_gates[i]
+                    dh = dout[i]
+                    dh += carry
+                    dc = dh * to_c[i]
+                    d[:, two:] = dc
+                    drh = dc @ rn
+                    np.multiply(dh, to_z[i], out=d[:, :n])
+                    np.multiply(drh, to_r[i], out=d[:, n:two])
+                    dh *= z[i]
+                    drh *= r[i]
+                    carry = d[:, :two] @ rzr
+                    carry += dh
+                    carry += drh
+                    carry *= going[i]
                 # weights of the recurrence and inputs over all steps at once
-                flat_d, olds = d_gates.reshape(-1, 3 * self.hidden), np.concatenate([q[1] for q in cache])
-                g["rn"] += (np.concatenate([q[3] for q in cache]) * olds).T @ flat_d[:, two:]
-                g["rzr"] += olds.T @ flat_d[:, :two]
+                flat_d = d_gates.reshape(-1, 3 * n)
+                g["rn"] += (r * olds).reshape(-1, n).T @ flat_d[:, two:]
+                g["rzr"] += olds.reshape(-1, n).T @ flat_d[:, :two]
                 order = np.argsort(x.ravel(), kind="stable")
                 ids = x.ravel()[order]
                 first = np.flatnonzero(np.diff(ids, prepend=-1) != 0)
                 g["u"][ids[first]] += np.add.reduceat(flat_d[order], first, axis=0)
                 t += 1
                 lr = rate * min(1.0, t / 20) * max(0.05, 1 - span[0] - (span[1] - span[0]) * t / (steps + 1))
+                grad *= np.float32(1 / used)
+                m *= np.float32(0.9)
+                m += np.multiply(grad, np.float32(0.1), out=room)
+                v *= np.float32(0.99)
+                np.multiply(grad, grad, out=room)
+                room *= np.float32(0.01)
+                v += room
+                np.multiply(v, np.float32(1 / (1 - 0.99**t)), out=room)
+                np.sqrt(room, out=room)
+                room += np.float32(1e-6)
+                np.divide(m, room, out=room)
+                room *= np.float32(lr / (1 - 0.9**t))
                 for k, p in self.p.items():
-                    d = g[k] / np.float32(used)
-                    m[k] += np.float32(0.1) * (d - m[k])
-                    v[k] += np.float32(0.01) * (d * d - v[k])
-                    p -= np.float32(lr / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.99**t)) + np.float32(1e-6))
+                    p -= change[k]
 
     def score(self, docs: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
         """Natural log probability of each document: targets are its ids (words or tail shapes) and the end."""
@@ -280,7 +297,7 @@ def fit(net: Net, encoded: DataFrame, n: int, train_tokens: int, task_tokens: in
             held, size, seen = [], 0, 0
 
             def learn():
-                net.train(held, int(size * again), lanes=48 if tasks == 1 else min(128, max(48, size // 2000)), span=span)
+                net.train(held, int(size * again), lanes=48 if tasks == 1 else min(256, max(48, size // 4000)), span=span)
 
             for batch in source:
                 for raw in batch.column(0).to_pylist():
