@@ -125,6 +125,16 @@ R = """
 r AS (SELECT vec_id, (i - 1)::INTEGER AS i, ((i - 1) % 8)::INTEGER AS x, ((i - 1) // 8)::INTEGER AS y, coalesce(least(255, floor(abs(embedding[i]::DOUBLE) * 510)), 0)::INTEGER AS v FROM embeddings, range(1, 65) z(i))"""
 
 
+def hull(t: int) -> str:
+    """A side of the hull leaves every other point on its left or between its ends; only ends of pixel rows can be corners."""
+    return f"""WITH c AS (SELECT vec_id, x + 0.5::DOUBLE AS x, y + 0.5::DOUBLE AS y FROM (SELECT vec_id, min(x) AS x, y FROM r WHERE v > {t} GROUP BY vec_id, y UNION SELECT vec_id, max(x), y FROM r WHERE v > {t} GROUP BY vec_id, y)),
+        pq AS (SELECT p.vec_id, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM c p JOIN c q ON p.vec_id = q.vec_id AND (p.x <> q.x OR p.y <> q.y)),
+        t AS (SELECT pq.*, (qx - px) * (c.y - py) - (qy - py) * (c.x - px) AS turn, (c.x - px) * (c.x - qx) + (c.y - py) * (c.y - qy) AS beyond FROM pq JOIN c ON pq.vec_id = c.vec_id),
+        s AS (SELECT vec_id, px * qy - qx * py AS z, px + qx AS sx, py + qy AS sy FROM t GROUP BY vec_id, px, py, qx, qy HAVING NOT bool_or(turn < 0 OR turn = 0 AND beyond > 0)),
+        a AS (SELECT vec_id, sum(z) AS z, sum(sx * z) AS mx, sum(sy * z) AS my FROM s GROUP BY vec_id HAVING abs(sum(z)) >= 1e-9)
+        SELECT e.vec_id, mx / (3 * z) AS x, my / (3 * z) AS y FROM embeddings e LEFT JOIN a ON a.vec_id = e.vec_id"""
+
+
 def centre(t: int) -> str:
     return f"SELECT vec_id, sum(v * (x + 0.5::DOUBLE)) FILTER (WHERE v > {t}) / nullif(sum(v) FILTER (WHERE v > {t}), 0) AS x, sum(v * (y + 0.5::DOUBLE)) FILTER (WHERE v > {t}) / nullif(sum(v) FILTER (WHERE v > {t}), 0) AS y FROM r GROUP BY vec_id"
 
@@ -238,13 +248,17 @@ def oracle() -> dict[str, str]:
         s AS (SELECT *, sqrt(dx * dx + dy * dy) AS far FROM z), t AS (SELECT *, CASE WHEN why <> '' THEN 'ABSTAIN' WHEN far > 5 THEN 'ABSTAIN' WHEN far < 0.1 THEN 'NO_CHANGE' ELSE 'REVIEW' END AS status FROM s)
         SELECT vec_id, status, CASE WHEN why <> '' THEN why WHEN far > 5 THEN 'proposal-out-of-range' WHEN far < 0.1 THEN 'within-tolerance' END AS reason, CASE status WHEN 'REVIEW' THEN round(round(dx, 6), 4) + 0 WHEN 'NO_CHANGE' THEN 0 END AS dx, CASE status WHEN 'REVIEW' THEN round(round(dy, 6), 4) + 0 WHEN 'NO_CHANGE' THEN 0 END AS dy FROM t"""
     o["decision_pixels"] = f"WITH {P} SELECT k, z.size, round(proposal_pct / 100 * z.size, 4) + 0 AS dx, round(left_pct / 100 * z.size, 4) + 0 AS dy FROM p, (VALUES (16), (24)) z(size)"
-    # a side of the hull leaves every other point on its left or between its ends; only ends of pixel rows can be corners
-    o["hull_centroid"] = f"""WITH {R}, c AS (SELECT vec_id, x + 0.5::DOUBLE AS x, y + 0.5::DOUBLE AS y FROM (SELECT vec_id, min(x) AS x, y FROM r WHERE v > 64 GROUP BY vec_id, y UNION SELECT vec_id, max(x), y FROM r WHERE v > 64 GROUP BY vec_id, y)),
-        pq AS (SELECT p.vec_id, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM c p JOIN c q ON p.vec_id = q.vec_id AND (p.x <> q.x OR p.y <> q.y)),
-        t AS (SELECT pq.*, (qx - px) * (c.y - py) - (qy - py) * (c.x - px) AS turn, (c.x - px) * (c.x - qx) + (c.y - py) * (c.y - qy) AS beyond FROM pq JOIN c ON pq.vec_id = c.vec_id),
-        s AS (SELECT vec_id, px * qy - qx * py AS z, px + qx AS sx, py + qy AS sy FROM t GROUP BY vec_id, px, py, qx, qy HAVING NOT bool_or(turn < 0 OR turn = 0 AND beyond > 0)),
-        a AS (SELECT vec_id, sum(z) AS z, sum(sx * z) AS mx, sum(sy * z) AS my FROM s GROUP BY vec_id HAVING abs(sum(z)) >= 1e-9)
-        SELECT e.vec_id, round(mx / (3 * z), 6) AS hull_x, round(my / (3 * z), 6) AS hull_y FROM embeddings e LEFT JOIN a ON a.vec_id = e.vec_id"""
+    o["hull_centroid"] = f"WITH {R}, h AS ({hull(64)}) SELECT vec_id, round(x, 6) AS hull_x, round(y, 6) AS hull_y FROM h"
+    every = " UNION ALL ".join(f"SELECT ac.vec_id, '{axis}' AS axis, {size} AS size, ac.{axis} AS a, ec.{axis} AS e, h{size}.{axis} AS h, sy.axis2 / 2 AS s FROM ac JOIN ec USING (vec_id) JOIN h{size} USING (vec_id) JOIN sy ON sy.vec_id = ac.vec_id AND sy.axis = '{axis}'" for axis in "xy" for size in (1, 2))
+    o["ensemble_decision"] = f"""WITH {EDGE}{SYM}, ac AS ({centre(1)}), h1 AS ({hull(1)}), h2 AS ({hull(64)}), u AS ({every}),
+        v AS (SELECT vec_id, axis, size, list_sort(list_filter([(4 - a) / 8 * 100, (4 - e) / 8 * 100, (4 - h) / 8 * 100, (4 - s) / 8 * 100], lambda z: z IS NOT NULL)) AS v, list_filter([(4 - a) / 8 * 100, (4 - h) / 8 * 100, (4 - s) / 8 * 100], lambda z: z IS NOT NULL) AS st FROM u),
+        w AS (SELECT vec_id, axis, size, v[-1] - v[1] AS sp, CASE WHEN len(st) >= 2 THEN list_max(st) - list_min(st) ELSE v[-1] - v[1] END AS wide, CASE WHEN len(v) >= 3 THEN round((v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2, 6) END AS m FROM v),
+        g AS (SELECT vec_id, bool_or(size = 1 AND m IS NULL) AS few, bool_or(size = 1 AND wide > 2) AS split, coalesce(bool_and(sp <= 0.5) FILTER (WHERE size = 1), false) AS strong, max(m) FILTER (WHERE size = 1 AND axis = 'x') AS dx, max(m) FILTER (WHERE size = 1 AND axis = 'y') AS dy,
+          coalesce(round(max(m) FILTER (WHERE axis = 'x') - min(m) FILTER (WHERE axis = 'x'), 6) > 3, true) OR coalesce(round(max(m) FILTER (WHERE axis = 'y') - min(m) FILTER (WHERE axis = 'y'), 6) > 3, true) AS shaky FROM w GROUP BY vec_id),
+        f AS (SELECT *, sqrt(dx * dx + dy * dy) AS far, few OR coalesce(split, false) OR shaky AS conflict FROM g),
+        y AS (SELECT *, CASE WHEN few THEN 'insufficient-signals' WHEN conflict THEN 'signals-disagree' WHEN far > 5 THEN 'proposal-out-of-range' END AS why FROM f),
+        x AS (SELECT *, CASE WHEN why IS NOT NULL THEN 'ABSTAIN' WHEN far < 0.1 THEN 'NO_CHANGE' ELSE 'REVIEW' END AS status FROM y)
+        SELECT vec_id, status, CASE WHEN status = 'NO_CHANGE' THEN 'within-tolerance' ELSE why END AS reason, CASE WHEN conflict THEN 'conflict' WHEN strong THEN 'strong' ELSE 'mixed' END AS band, CASE status WHEN 'REVIEW' THEN dx + 0 WHEN 'NO_CHANGE' THEN 0 END AS dx, CASE status WHEN 'REVIEW' THEN dy + 0 WHEN 'NO_CHANGE' THEN 0 END AS dy FROM x"""
     o["clipping_retention"] = f"WITH {R}, q AS (SELECT vec_id, sum(v) FILTER (WHERE v > 1) AS b, coalesce(sum(v) FILTER (WHERE v > 1 AND x < 7), 0) AS a FROM r GROUP BY vec_id), s AS (SELECT vec_id, CASE WHEN b > 0 THEN a / b ELSE 1 END AS share, a < coalesce(b, 0) AS lost FROM q) SELECT vec_id, round(share, 6) AS retained, concat_ws(',', CASE WHEN lost THEN 'right' END, CASE WHEN share < 0.95 THEN 'raster-loss' END) AS sides FROM s"
     o["axis_review"] = f"WITH {H0} SELECT CASE WHEN abs(learned) < 1e-9 THEN 'ZERO' WHEN abs(learned - ensemble) < 1e-9 THEN 'ACCEPT_PROPOSAL' ELSE 'OVERRIDE' END AS action, count(*) AS n FROM k WHERE learned IS NOT NULL GROUP BY 1"
     o["verification_status"] = """WITH q AS (SELECT p_size % 10 = 0 AS clip, abs(p_size % 13 - 6) > 5 AS far, p_size % 3 <> 0 AS ok, CASE WHEN p_size % 4 <> 0 THEN p_size % 5 <> 0 END AS bound FROM part),
