@@ -252,11 +252,14 @@ REPLAY = "rater string, step int, trial_id string, repeat_of string, axis string
 
 
 def replay(answers: DataFrame, pool: list[dict], most: int = 16, rater: str = "rater", order: str = "position") -> DataFrame:
-    """Every rater's sequence re-run through the policy; pool is a study's trials (bounded by contract)."""
+    """Every rater's sequence re-run through the policy; pool is a study's trials (bounded by contract).
+
+    order is any column that sorts, a struct too where times alone may tie.
+    """
     import pandas as pd
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
+        group = group.sort_values("_n")
         rows = Loop(pool, most).replay(group["choice"].tolist()[:most])
         out = pd.DataFrame(rows, columns=["step", "trial_id", "repeat_of", "axis", "a", "b", "choice"])
         out.insert(0, "rater", str(group[rater].iloc[0]))
@@ -264,5 +267,5 @@ def replay(answers: DataFrame, pool: list[dict], most: int = 16, rater: str = "r
 
     # answers past a study's length can't be shown: they go before the shuffle gathers a rater
     w = Window.partitionBy(rater).orderBy(order)
-    kept = answers.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select(rater, order, "choice")
+    kept = answers.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select(rater, "_n", "choice")
     return kept.groupBy(rater).applyInPandas(one, REPLAY)

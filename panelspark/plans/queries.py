@@ -401,7 +401,7 @@ def adaptive_replay(spark, d):
     """Each rater's votes in order as answers to the policy; the pool is one study's, bounded by contract."""
     pool = [r.asDict() for r in adaptive.trial_pool(_candidates(spark, d)).collect()]
     v = facts.unique_votes(spark, d).select("rater", F.struct("ts", "event_id").alias("position"), "choice")
-    return adaptive.replay(v.withColumn("position", F.unix_micros(F.col("position.ts").cast("timestamp"))), pool)
+    return adaptive.replay(v, pool)
 
 
 # --- rasters and decisions

@@ -42,6 +42,8 @@ def test_pool_and_replay(spark):
     answers = spark.createDataFrame([(r, i, c) for r in ("u1", "u2") for i, c in enumerate(said)] + [("u1", 8, "A")], "rater string, position long, choice string")
     got = adaptive.replay(answers, rows, 8).orderBy("rater", "step").collect()
     assert [g.trial_id for g in got] == [s["trial_id"] for s in shown] * 2
+    tied = answers.selectExpr("rater", "struct(0L AS ts, position AS id) AS position", "choice")  # one time for all: ids decide
+    assert adaptive.replay(tied, rows, 8).orderBy("rater", "step").collect() == got
 
 
 def test_stream_shows_what_the_batch_replays(spark, tmp_path):
