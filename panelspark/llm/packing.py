@@ -18,8 +18,6 @@ Every round is one shuffle of pieces of one class and of the gaps that serve the
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -27,16 +25,13 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import keep, mix64
 from .token_counts import load
-
-WORD = r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-ASCII_WORD = r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+"
+from .words import text_splitter
 
 
 @lru_cache(maxsize=4)
@@ -58,20 +53,13 @@ def id_encoder(path: str, table_rows: int = 700_000):
     Words are encoded once, when a worker first meets them; its table starts anew at table_rows words.
     """
     tokenizer, added = bare(path)
-    wide, narrow = regex.compile(WORD), re.compile(ASCII_WORD)
-    special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+    split = text_splitter(path)
     closes = np.zeros(tokenizer.get_vocab_size(), bool)
     closes[[i for w, i in tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
     fixed = {a: np.uint32(tokenizer.token_to_id(a)).tobytes() for a in added}
     known = _TABLES.setdefault(path, {})
     known |= fixed
 
-    def words(text: str) -> list[str]:
-        if text.isascii():
-            return narrow.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma isn't told apart
-        return wide.findall(text.lower())
-
     def learn(fresh: list[str]) -> None:
         """Ids of new words, encoded as one text: each word's last id, and no other, closes a word."""
         ids = np.asarray(tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
@@ -90,12 +78,7 @@ def id_encoder(path: str, table_rows: int = 700_000):
             known.update(fixed)
         found, new = [], set()
         for text in texts:
-            if special is not None and "<|" in text:
-                got = []
-                for i, part in enumerate(special.split(text)):
-                    got += [part] if i % 2 else words(part)
-            else:
-                got = words(text)
+            got = split(text)
             found.append(got)
             new.update(filterfalse(known.__contains__, got))
         fresh = list(new)
