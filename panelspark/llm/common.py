@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +33,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder that spark.checkpoint.dir names; only a local session may go without, as in tests."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only a local session may go without, as in tests."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelspark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def hand_out(spark: SparkSession, content: bytes, kind: str) -> str:
+    """A file of the shared folder that each executor gets a copy of, under the name that is returned (SparkFiles.get finds it)."""
+    name = f"{kind}-{uuid.uuid4().hex}.bin"
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    for at in range(0, len(content), 1 << 20):
+        out.write(bytearray(content[at : at + (1 << 20)]))
+    out.close()
+    sc.addFile(path.toString())
+    return name
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int = 1024, size: int = 4_000_000):
+    """Parts of a batch with at most so many rows and, but for single rows, so many bytes in the column of texts."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(lengths)
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at] - lengths[at]
+        end = max(at + 1, min(at + rows, int(np.searchsorted(upto, before + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def forget(kept: DataFrame) -> None:
     """Delete the files of a table that keep() wrote, once nothing reads it any more."""
     sc = kept.sparkSession.sparkContext

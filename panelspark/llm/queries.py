@@ -1,11 +1,11 @@
-"""The corpus queries op1..op10 over whole tables, and their SQL where SQL can express them."""
+"""The corpus queries op1..op13 over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity
+from . import decontaminate, html_text, lexicon, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity
 from .common import crc_of, table
 
 
@@ -69,6 +69,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op13_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, file = table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
+    out = lexicon.decode(lexicon.encode(docs, file, lexicon.build_lexicon(docs, file)), file)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
@@ -82,7 +88,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op8_html_text, op9_line_dedup, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op8_html_text, op9_line_dedup, op10_near_dedup, op13_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
