@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lexicon, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity
+from . import decontaminate, html_text, lexicon, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity, whitening
 from .common import crc_of, table
 
 
@@ -69,6 +69,14 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each vector and component."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "value")
+    out = out.select("vec_id", "n", F.col("deviation").try_cast("long").alias("deviation"), "identity_error", each)
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "value.whitened", "value.explained", "identity_error")
+
+
 def op13_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, file = table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
     out = lexicon.decode(lexicon.encode(docs, file, lexicon.build_lexicon(docs, file)), file)
@@ -88,7 +96,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op8_html_text, op9_line_dedup, op10_near_dedup, op13_bpe_lexicon)}
+    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op8_html_text, op9_line_dedup, op10_near_dedup, op11_whitening, op13_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:
