@@ -75,6 +75,13 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = 1024, size: int = 4_000
         at = end
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the shared folder, which is smaller than what keep() writes."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def forget(kept: DataFrame) -> None:
     """Delete the files of a table that keep() wrote, once nothing reads it any more."""
     sc = kept.sparkSession.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lexicon, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity, whitening
+from . import alignment, decontaminate, html_text, lexicon, line_dedup, near_dedup, nearest, packing, recurrent_lm, substring_dedup, token_counts, toxicity, whitening
 from .common import crc_of, table
 
 
@@ -77,6 +77,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "value.whitened", "value.explained", "identity_error")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, file = table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
     out = lexicon.decode(lexicon.encode(docs, file, lexicon.build_lexicon(docs, file)), file)
@@ -96,7 +100,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op8_html_text, op9_line_dedup, op10_near_dedup, op11_whitening, op13_bpe_lexicon)}
+    return {f.__name__: f for f in (op1_toxicity, op2_nearest, op3_recurrent_lm, op4_token_counts, op5_substring_dedup, op6_packing, op7_decontaminate, op8_html_text, op9_line_dedup, op10_near_dedup, op11_whitening, op12_alignment, op13_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelspark.llm import lexicon, queries, token_counts, words
+from panelspark.llm import alignment, lexicon, queries, token_counts, words
 from panelspark.llm.queries import tokenizer_path
 
 WORD = tokenizer_path("word_bpe_49k.json")
@@ -90,3 +90,89 @@ def test_op13_on_its_table(spark):
     for r in got:
         ids, text = by_library(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.asarray(ids, "<u4").tobytes()), sha(text.encode()))
+
+
+# --- alignment
+
+A, B = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+
+
+def tokens_by_hand(text):
+    """Both token lists of a whole text with their bytes, or none."""
+    tokenizer, bytes_a = alignment.load_bytes(A)
+    pieces, bytes_b = alignment.load_pieces(B)
+    if not text:
+        return [], []
+    a = [(i, bytes_a[i]) for i in tokenizer.encode(" " + text, add_special_tokens=False).ids]
+    b = [(i, bytes_b[i]) for i in pieces.encode(text)]
+    whole = (" " + text).encode()
+    return (a, b) if b"".join(x for _, x in a) == whole == b"".join(x for _, x in b) else ([], [])
+
+
+def spans(tokens):
+    out, at = [], 0
+    for i, raw in tokens:
+        out.append((i, at, at + len(raw)))
+        at += len(raw)
+    return out
+
+
+def align_by_hand(rows):
+    links, groups, sizes = [], [], []
+    for _, text in rows:
+        a, b = map(spans, tokens_by_hand(text))
+        links.append([(i, j) for i, s, e in a for j, t, f in b if s < f and t < e])
+        cuts = sorted({e for _, _, e in a} & {e for _, _, e in b})
+        groups.append([([i for i, _, e in a if low < e <= high], [j for j, _, e in b if low < e <= high]) for low, high in zip([0, *cuts], cuts, strict=False)])
+        sizes.append((len(a), len(b)))
+    counts, most = {}, {}
+    for pair in (p for each in links for p in each):
+        counts[pair] = counts.get(pair, 0) + 1
+    for (_, j), n in counts.items():
+        most[j] = max(most.get(j, 0), n)
+    out = []
+    for (d, _), (n_a, n_b), each, parts in zip(rows, sizes, links, groups, strict=True):
+        text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in parts)
+        best = sum(counts[p] == most[p[1]] for p in each)
+        out.append((d, n_a, n_b, len(parts), len(each), best, sum(counts[p] for p in each), sha(text.encode()) if text else ""))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab Z'slre09é中²ß;){}_-!? \n\r\t\x0b\x1c\x85\xa0\x00\x01\u3000\u200a😀<|endoftext|>▁")), max_size=40))
+def test_segments_are_tokenised_as_whole_texts_are(text):
+    a, b = tokens_by_hand(text)
+    assert bool(a) == bool(alignment.readable(B)(text))
+    if a:
+        segments = alignment.segmenter(B)(text)
+        assert "".join(segments) == " " + text
+        got = list(alignment.aligner(A, B)(segments))
+        assert [i for x in got for i in x[0]] == [i for i, _ in a] and [i for x in got for i in x[1]] == [i for i, _ in b]
+
+
+def test_no_break_before_what_pieces_reach_over():
+    assert "\r" not in alignment.breaks(B) and {" ", "\n"} <= set(alignment.breaks(B))
+
+
+def test_alignment_against_brute_force(spark):
+    rng = random.Random(4)
+    pool = ["Walking", "talking", "naïve", "x1y22", "don't", "\n", ");\r\n", "<|endoftext|>", "<s>", "中文字", "  ", "z" * 90]
+    rows = ODD + [(70, "a▁b"), (71, " "), (72, "ends "), (73, "<0x41>")]
+    rows += [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))) for i in range(10, 60)]
+    df = frame(spark, rows)
+    want = sorted(map(str, align_by_hand(rows)))
+    assert sum("0, 0, 0, 0, 0, 0" in x for x in want) >= 3
+    for head, pairs, counted in ((262_144, 1_000_000, 300_000), (3, 0, 2), (0, 5, 10)):  # all shipped; most joined; all joined
+        got = alignment.align(df, A, B, head_rows=head, pair_rows=pairs, table_rows=counted).collect()
+        assert sorted(str(tuple(r)) for r in got) == want
+    assert alignment.align(frame(spark, []), A, B).count() == 0
+
+
+def test_op12_on_its_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    short = [(d, t) for d, t in rows if len(t) < 3000]  # the plain version compares all tokens with all
+    got = {r.doc_id: tuple(r) for r in queries.op12_alignment(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for d, n_a, n_b, n_groups, n_links, *_, digest in align_by_hand(short):
+        assert got[d][:5] == (d, n_a, n_b, n_groups, n_links) and got[d][-1] == digest
