@@ -257,7 +257,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     head = dict(zip(table["segment"].to_pylist(), range(table.num_rows), strict=True))
     head_groups = table["groups"].to_pylist()
     head_sums = np.stack([table[c].to_numpy().astype(np.int64) for c in NUMBERS], 1)
-    tail = ready.where(~in_head).drop("n")
+    # numbers and groups of the others travel as one short string
+    tail = ready.where(~in_head).select("segment", F.concat_ws(" ", *(F.col(c).cast("string") for c in NUMBERS), "groups").alias("packed"))
     # a long segment of a ten-thousandth of all occurrences or more: there are 10,000 at most, which are met in 32 places
     total = sum(r.n for r in sizes)
     hot = [r.h for r in ready.where(~short & (F.col("n") * 10_000 >= total)).select(F.xxhash64("segment").alias("h")).collect()]
@@ -267,10 +268,10 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     rows = docs.groupBy(key.alias("key")).agg(F.max("id").alias("id"), F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
     def missing(source):
-        split, ok, held = segmenter(b_path), readable(b_path), head.keys()
+        split, held = segmenter(b_path), head.keys()
         for batch in source:
             for part in slices(batch, 2):
-                rest = [list(dict.fromkeys(s for s in split(t) if s not in held)) if ok(t) else [] for t in part.column(2).to_pylist()]
+                rest = [list(dict.fromkeys(s for s in split(t) if s not in held)) if t else [] for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rest, pa.list_(pa.string()))], names=["key", "rest"])
 
     asked = rows.mapInArrow(missing, "key binary, rest array<string>").select("key", F.posexplode("rest").alias("pos", "segment"))
@@ -279,7 +280,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         is_hot, on = F.xxhash64("segment").isin(hot), ["segment", "place"]
         asked = asked.withColumn("place", F.when(is_hot, place("key")).otherwise(0))
         tail = tail.withColumn("place", F.explode(F.when(is_hot, everywhere()).otherwise(F.array(F.lit(0)))))
-    found = asked.join(tail, on).groupBy("key").agg(F.collect_list(F.struct("pos", "groups", *NUMBERS)).alias("found"))
+    found = asked.join(tail, on).groupBy("key").agg(F.collect_list(F.concat_ws(" ", F.col("pos").cast("string"), "packed")).alias("found"))
 
     def compose(source):
         split, ok, get, n_head = segmenter(b_path), readable(b_path), head.get, len(head)
@@ -292,17 +293,18 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                         continue
                     segments = split(text)
                     at = list(map(get, segments))
-                    groups, rest, sums = head_groups, {}, np.zeros(len(NUMBERS), np.int64)
+                    rest, sums = {}, np.zeros(len(NUMBERS), np.int64)
                     if more:
                         for i, k in enumerate(at):
                             if k is None:
                                 at[i] = n_head + rest.setdefault(segments[i], len(rest))
-                        more = sorted(more, key=lambda m: m["pos"])
-                        groups = {n_head + m["pos"]: m["groups"] for m in more}
-                        joined = ";".join([groups[k] if k >= n_head else head_groups[k] for k in at])
+                        groups, numbers = [""] * len(more), [()] * len(more)
+                        for m in more:
+                            pos, *counts, its_groups = m.split(" ", 1 + len(NUMBERS))
+                            groups[int(pos)], numbers[int(pos)] = its_groups, list(map(int, counts))
+                        joined = ";".join([groups[k - n_head] if k >= n_head else head_groups[k] for k in at])
                         at = np.array(at)
-                        times = np.bincount(at[at >= n_head] - n_head, minlength=len(more))
-                        sums += times @ np.array([[m[c] for c in NUMBERS] for m in more], np.int64)
+                        sums += np.bincount(at[at >= n_head] - n_head, minlength=len(more)) @ np.array(numbers, np.int64)
                         at = at[at < n_head]
                     else:
                         joined = ";".join(map(head_groups.__getitem__, at))
