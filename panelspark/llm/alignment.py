@@ -315,4 +315,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
 
     schema = f"id {kind}, copies long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     met = rows.join(found, "key", "left").select("id", "text", "copies", "found").mapInArrow(compose, schema)
-    return met.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(F.col("id").alias(id_col), *RESULT)
+    # as many rows as there were, through arrays of at most 65,536 entries
+    last = F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 65_536))
+    some = F.sequence(F.lit(1).cast("long"), F.least(F.lit(65_536).cast("long"), F.col("copies") - F.col("copies_before") * 65_536))
+    return met.withColumn("copies_before", F.explode(last)).withColumn("copy", F.explode(some)).select(F.col("id").alias(id_col), *RESULT)
