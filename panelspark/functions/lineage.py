@@ -56,3 +56,11 @@ def escape_markup(value: Column) -> Column:
     for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         value = F.replace(value, F.lit(old), F.lit(new))
     return value
+
+
+def first_code(*rules: tuple[str, Column]) -> Column:
+    """The code of the first rule that holds, or null."""
+    out = F.lit(None).cast("string")
+    for code, holds in reversed(rules):
+        out = F.when(holds, code).otherwise(out)
+    return out

@@ -62,15 +62,48 @@ def trials(cases: DataFrame, keys: list[str], case: str = "case_id", seed: str =
     return rows.drop("_m", "_o").withColumn("trial_id", ident).withColumn("flipped", coin(seed, F.col("trial_id")))
 
 
+def range_bounds(rows: DataFrame, key: str, parts: int, each: int = 64) -> list[str]:
+    """At most parts - 1 values of a text column that cut its order into parts of about as many rows.
+
+    They come of the parts * each rows with the least hashes of the key: a sample of all rows of a fixed size, found in one pass.
+    """
+    least = rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(parts * each)
+    held = sorted(r[0] for r in least.collect())
+    return sorted({held[len(held) * i // parts] for i in range(1, parts)}) if held else []
+
+
+def part_of(key: Column, bounds: list[str]) -> Column:
+    """How many bounds a value reaches, by halving: the same value has the same part wherever and however often it is computed."""
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key >= bounds[middle], between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(bounds))
+
+
+def ranked(rows: DataFrame, key: str, rank: str, parts: int | None = None) -> DataFrame:
+    """Rows with their place, from 1, in the order of a text column; equal values are placed in any order, null comes first.
+
+    Bounds are fixed once, as data. What lies before a part (counted without moving rows) and the place inside it (a window
+    over the part alone) both follow from them, so that places stay whole whichever rows a later step reads or writes again.
+    """
+    parts = parts or max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = rows.withColumn("_p", part_of(F.col(key), range_bounds(rows, key, parts)))
+    counts = {r["_p"]: r["n"] for r in part.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a part
+    before, upto = [], 0
+    for p in range(max(counts, default=0) + 1):
+        before.append(upto)
+        upto += counts.get(p, 0)
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(key))
+    return part.withColumn(rank, within + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_p"))).drop("_p")
+
+
 def participants(rows: DataFrame) -> DataFrame:
-    """Opaque numbers in order of trial id, for the blinded view. Ranks come from a range sort and counts before each part."""
-    spark = rows.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part = rows.repartitionByRange(parts, "trial_id").withColumn("_p", F.spark_partition_id())
-    counts = part.groupBy("_p").count()
-    before = counts.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"))  # a row a partition
-    within = F.row_number().over(Window.partitionBy("_p").orderBy("trial_id"))
-    return part.withColumn("_r", within).join(F.broadcast(before), "_p").withColumn("participant_id", rank_code(F.col("_b") + F.col("_r"))).drop("_p", "_r", "_b")
+    """Opaque numbers in order of trial id, for the blinded view."""
+    return ranked(rows, "trial_id", "_r").withColumn("participant_id", rank_code(F.col("_r"))).drop("_r")
 
 
 def blinded(rows: DataFrame) -> DataFrame:

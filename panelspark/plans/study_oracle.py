@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.holdout import HAZARDS
 from ..operators.markup import ALLOWED_ATTRIBUTES, ALLOWED_ELEMENTS, BLOCKED_ELEMENTS
+from ..operators.markup_reader import ATTRIBUTE, CLOSES, CONTROL, NAME, OPENS, QUOTED, REFERENCE, TOKEN, UNQUOTED
 from .oracle import F, H, P, R, centre
 
 BOUNDS = """b AS (SELECT vec_id, count(*) FILTER (WHERE v > 64)::INTEGER AS n, coalesce(sum(v) FILTER (WHERE v > 64), 0)::BIGINT AS s, min(x) FILTER (WHERE v > 64) AS x0, max(x) FILTER (WHERE v > 64) AS x1, min(y) FILTER (WHERE v > 64) AS y0, max(y) FILTER (WHERE v > 64) AS y1 FROM r GROUP BY vec_id)"""
@@ -75,14 +76,34 @@ def oracle() -> dict[str, str]:
         SELECT * EXCLUDE (mixed), concat_ws(',', CASE WHEN mixed THEN 'provenance-mismatch' END, CASE WHEN rater_count < 3 THEN 'too-few-raters' END, CASE WHEN evidence_rows < 5 THEN 'too-few-rows' END) AS reasons FROM g"""
     names = lambda xs: ", ".join(f"'{x}'" for x in xs)
     bare = "h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!DOCTYPE[^>]*>', '', 'gi') AS h FROM pages)"
-    o["markup_document_issues"] = f"""WITH {bare}, tg AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(h, '(?s)<!--.*?-->|<!\\[CDATA\\[.*?\\]\\]>', '', 'g'), '(?s)</?[A-Za-z_](?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM h),
-        op AS (SELECT page_id, tag, regexp_extract(tag, '^<([A-Za-z_][\\w:.-]*)', 1) AS name FROM tg WHERE NOT starts_with(tag, '</')),
-        pr AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(tag, '(?s)^<[A-Za-z_][\\w:.-]*\\s*(.*?)/?>$', 1), '(?s)[A-Za-z_:][\\w:.-]*\\s*=\\s*(?:"[^"]*"|''[^'']*'')')) AS pair FROM op),
-        ab AS (SELECT page_id, regexp_extract(pair, '^([A-Za-z_:][\\w:.-]*)', 1) AS name, pair FROM pr)
-        SELECT DISTINCT page_id, code FROM (
-          SELECT page_id, CASE WHEN name IN ({names(BLOCKED_ELEMENTS)}) THEN 'unsafe-element-' || name WHEN name NOT IN ({names(ALLOWED_ELEMENTS)}) THEN 'unsupported-element' END AS code FROM op
-          UNION ALL SELECT page_id, CASE WHEN name = 'href' AND NOT regexp_matches(pair, '=\\s*.#[A-Za-z_][\\w:.-]*.$') THEN 'external-resource' WHEN name <> 'href' AND name NOT IN ({names(ALLOWED_ATTRIBUTES)}) THEN 'unsupported-attribute' END FROM ab
-          UNION ALL SELECT page_id, 'invalid-viewbox' FROM op) WHERE code IS NOT NULL"""
+    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    quoted = q(QUOTED)
+    name_of = f"regexp_extract(t, {q(rf'^</?({NAME})')}, 1)"
+    inside = f"regexp_replace(regexp_replace(t, {q(rf'^<{NAME}')}, ''), '/?>$', '')"
+    pairs = f"regexp_extract_all({inside}, {q('(?s)' + ATTRIBUTE)})"
+    # tokens of documents h (id, h) with their kinds, as the reader cuts them
+    cut = f"""tk AS (SELECT id, unnest(toks) AS t, unnest(range(len(toks))) AS pos FROM (SELECT id, regexp_extract_all(h, {q('(?s)' + TOKEN)}) AS toks FROM h)),
+        kd AS (SELECT *, CASE WHEN starts_with(t, '<!--') THEN 'comment' WHEN starts_with(t, '<![CDATA[') THEN 'section' WHEN starts_with(t, '<?') THEN 'instruction' WHEN t = '<' THEN 'stray' WHEN NOT starts_with(t, '<') THEN 'text'
+          WHEN starts_with(t, '</') THEN 'close' WHEN ends_with(t, '/>') THEN 'empty' ELSE 'open' END AS k FROM tk),
+        nm AS (SELECT *, {name_of} AS n, k IN ('open', 'empty') AS opens, CASE k WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END AS step FROM kd),
+        dp AS (SELECT *, sum(step) OVER (PARTITION BY id ORDER BY pos) AS after, sum(opens::INT) OVER (PARTITION BY id ORDER BY pos) AS opened FROM nm),
+        lv AS (SELECT *, after + (k = 'close')::INT AS level FROM dp), mt AS (SELECT *, lag(n) OVER (PARTITION BY id, level, k IN ('open', 'close') ORDER BY pos) AS partner FROM lv),
+        own AS (SELECT *, CASE WHEN k = 'stray' THEN 'stray-less-than' WHEN k = 'comment' AND contains(substr(t, 5, length(t) - 7), '--') THEN 'bad-comment' WHEN k = 'close' AND NOT regexp_matches(t, {q(CLOSES)}) THEN 'bad-closing-tag'
+          WHEN opens AND regexp_matches(regexp_replace(t, {quoted}, '""', 'g'), {q(UNQUOTED)}) THEN 'unquoted-attribute' WHEN opens AND NOT regexp_matches(t, {q('(?s)' + OPENS)}) THEN 'bad-tag'
+          WHEN opens AND len({pairs}) > len(list_distinct(list_transform({pairs}, lambda a: regexp_extract(a, '^([^\\s=]+)', 1)))) THEN 'duplicate-attribute'
+          WHEN (opens OR k = 'text') AND contains(regexp_replace(t, {q(REFERENCE)}, '', 'g'), '&') THEN 'bad-reference' WHEN (k = 'text' AND contains(t, ']]>')) OR regexp_matches(t, {q(CONTROL)}) THEN 'bad-text'
+          WHEN k = 'close' AND after < 0 THEN 'stray-close' WHEN k = 'close' AND partner IS DISTINCT FROM n THEN 'misnested' WHEN opens AND after - step = 0 AND opened > 1 THEN 'several-roots'
+          WHEN after = 0 AND (k = 'section' OR (k = 'text' AND regexp_replace(t, '[ \\t\\r\\n]', '', 'g') <> '')) THEN 'content-outside-root' END AS broken FROM mt),
+        br AS (SELECT id, count(*) AS tokens, count(*) FILTER (WHERE opens) AS elements, arg_min(broken, pos) FILTER (WHERE broken IS NOT NULL) AS early, min(pos) FILTER (WHERE broken IS NOT NULL) AS early_at, arg_max(after, pos) AS left_open FROM own GROUP BY id),
+        brk AS (SELECT h.id, coalesce(tokens, 0) AS tokens, coalesce(elements, 0) AS elements, coalesce(early, CASE WHEN coalesce(elements, 0) = 0 THEN 'no-root' WHEN left_open > 0 THEN 'unclosed' END) AS code, early_at FROM h LEFT JOIN br USING (id))"""
+    o["markup_breaks"] = f"""WITH {bare.replace('h AS', 'b AS', 1)}, h AS (SELECT page_id || '/served' AS id, h FROM b UNION ALL SELECT page_id || '/closed', regexp_replace(h, '<(br|hr|img|input|link|meta)\\b([^<>]*)>', '<\\1\\2/>', 'g') FROM b), {cut}
+        SELECT id AS page, tokens::INT AS tokens, elements::INT AS elements, code, (CASE WHEN early_at IS NOT NULL THEN early_at WHEN code IS NOT NULL THEN tokens END)::INT AS at FROM brk"""
+    o["markup_document_issues"] = f"""WITH {bare.replace('h AS', 'b AS', 1)}, h AS (SELECT page_id AS id, h FROM b), {cut}, op AS (SELECT id, t, n AS name FROM nm WHERE opens),
+        pr AS (SELECT id, unnest({pairs}) AS pair FROM op), ab AS (SELECT id, regexp_extract(pair, '^([^\\s=]+)', 1) AS name, pair FROM pr)
+        SELECT DISTINCT id AS page_id, code FROM (
+          SELECT id, CASE WHEN name IN ({names(BLOCKED_ELEMENTS)}) THEN 'unsafe-element-' || name WHEN name NOT IN ({names(ALLOWED_ELEMENTS)}) THEN 'unsupported-element' END AS code FROM op
+          UNION ALL SELECT id, CASE WHEN name = 'href' AND NOT regexp_matches(pair, '=\\s*["'']?#[A-Za-z_][\\w:.-]*["'']?$') THEN 'external-resource' WHEN name <> 'href' AND name NOT IN ({names(ALLOWED_ATTRIBUTES)}) THEN 'unsupported-attribute' END FROM ab
+          UNION ALL SELECT id, 'invalid-viewbox' FROM op UNION ALL SELECT id, 'not-well-formed' FROM brk WHERE code IS NOT NULL) WHERE code IS NOT NULL"""
     o["coloured_roots"] = f"WITH {bare} SELECT page_id, sha256(regexp_replace(h, '^(\\s*)<html', '\\1<html color=\"#123456\" fill=\"#123456\"')) AS sha256 FROM h"
     o["comparison_panels"] = f"SELECT p_partkey AS case_id, theme, size, sha256(p_partkey || ':source') AS source_image, sha256(concat_ws(':', p_partkey, p_size % 9 - 4, theme, size)) AS candidate_image FROM part, (VALUES ('light'), ('dark')) a(theme), (VALUES (16), (24)) b(size) WHERE {held} AND p_size % 11 <> 0 AND p_size % 9 <> 4"
     o["run_summary"] = f"WITH {P} SELECT '{{\"eligible_pairs\":' || count(*) FILTER (WHERE eligible) || ',\"eligible_family_count\":' || count(DISTINCT family_no) FILTER (WHERE eligible) || '}}' AS summary FROM p"

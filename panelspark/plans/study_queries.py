@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import content_id, unordered_id
 from ..functions.numeric import r6
-from ..operators import adaptive, contracts, decide, holdout, markup, raster, studies, votes
+from ..operators import adaptive, contracts, decide, holdout, markup, markup_reader, raster, studies, votes
 from . import facts
 
 REGISTRY: dict = {}
@@ -366,6 +366,15 @@ def markup_document_issues(spark, d):
     return markup.issues(_bare_pages(spark, d), "page_id", "html")
 
 
+@query
+def markup_breaks(spark, d):
+    """Where pages stop being well-formed, as they are served and with their void elements closed."""
+    bare = _bare_pages(spark, d)
+    closed = F.regexp_replace("html", r"<(br|hr|img|input|link|meta)\b([^<>]*)>", "<$1$2/>")
+    both = bare.select(F.concat_ws("/", "page_id", F.lit("served")).alias("page"), "html").unionByName(bare.select(F.concat_ws("/", "page_id", F.lit("closed")).alias("page"), closed.alias("html")))
+    return markup_reader.breaks(both, "page", "html").select("page", "tokens", "elements", "code", "at")
+
+
 @query
 def coloured_roots(spark, d):
     return _bare_pages(spark, d).select("page_id", F.sha2(markup.with_root_colour(F.col("html"), "#123456"), 256).alias("sha256"))

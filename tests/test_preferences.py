@@ -219,3 +219,23 @@ def test_overlap_hazards_and_completeness(spark):
     e = spark.createDataFrame([("r", 1), ("r", 2), ("s", 1)], "rater string, trial int")
     a = spark.createDataFrame([("r", 1), ("r", 1), ("r", 9)], e.schema)
     assert {tuple(r) for r in holdout.completeness(e, a, ["rater", "trial"]).collect()} == {("r", 1, 1, 1, 1), ("s", 0, 1, 0, 0)}
+
+
+def test_participants_are_distinct_and_in_order_beyond_a_sample(spark, tmp_path):
+    trials = spark.range(1_500_000).select(F.sha2(F.col("id").cast("string"), 256).alias("trial_id"), F.repeat(F.lit("x"), 20).alias("more"))
+    for i, rows in enumerate((trials, trials.where("id % 100 = 0"))):
+        holdout.participants(rows).write.parquet(str(tmp_path / str(i)))  # written, as columns that nobody reads are pruned
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        n = rows.count()
+        got = out.select(F.count(F.lit(1)).alias("n"), F.countDistinct("participant_id").alias("distinct")).first()
+        assert (got.n, got.distinct) == (n, n)
+        number = F.conv(F.substr("participant_id", F.lit(3)), 36, 10).cast("long")
+        inside = out.select("trial_id", number.alias("n")).orderBy("trial_id").toArrow()["n"].to_pylist()
+        assert inside == list(range(1, n + 1))
+
+
+def test_ranks_of_few_equal_and_null_keys(spark):
+    rows = spark.createDataFrame([(k,) for k in ["b", "a", "b", None, "c", "b", ""]], "k string")
+    got = sorted((r.place, r.k) for r in holdout.ranked(rows, "k", "place", parts=5).collect())
+    assert got == [(1, None), (2, ""), (3, "a"), (4, "b"), (5, "b"), (6, "b"), (7, "c")]
+    assert holdout.ranked(rows.limit(0), "k", "place").count() == 0
