@@ -196,6 +196,15 @@ class Loop:
         self.post = {"x": np.full(GRID, 1 / GRID), "y": np.full(GRID, 1 / GRID)}
         self.seen: dict[tuple, int] = {}
 
+    def resume(self, history: list[tuple[int, str]], post: dict[str, np.ndarray] | None = None) -> None:
+        """Go on from kept answers and the posterior that they led to (flat where none is kept); nothing is replayed."""
+        self.history = list(history)
+        self.post = post or {"x": np.full(GRID, 1 / GRID), "y": np.full(GRID, 1 / GRID)}
+        self.seen = {}
+        for place, _ in self.history:
+            condition = self.pool[place]["size"], self.pool[place]["theme"]
+            self.seen[condition] = self.seen.get(condition, 0) + 1
+
     def next(self) -> tuple[int, bool] | None:
         """Place of the next trial in the pool and whether it is the closing repeat; None when the study is over."""
         if len(self.history) >= self.most or not self.pool:

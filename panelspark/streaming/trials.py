@@ -5,52 +5,104 @@ Both batch replay and stream run operators.adaptive.Loop, so what a stream shows
 
 from __future__ import annotations
 
-import json
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.adaptive import Loop
 
 SHOWN = "rater string, step int, trial_id string, axis string, a double, b double, status string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+class TrialLoop(StatefulProcessor):
+    """One rater's study as state: its answers as a list that is only added to, its posterior as a value, and a timer.
 
-def live_trials(answers: DataFrame, pool: list[dict], most: int = 16) -> DataFrame:
-    """For each answer of a rater the trial that comes next; status is next, repeat, complete or mismatch.
+    An answer costs one step of the policy, however many came before. Without a timeout (milliseconds of event time after
+    the last answer) a study stays open; with one, the timer closes it: a closed or completed study keeps only that mark.
+    """
 
-    answers: rater, step (0 for the first answer), choice. State is the list of choices, bounded by `most`; an answer out of
-    step isn't applied and is reported. Write the result in append mode.
+    def __init__(self, pool: list[dict], most: int, timeout: int | None):
+        self.pool, self.most, self.timeout = pool, most, timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.loop = Loop(self.pool, self.most)
+        self.answers = handle.getListState("answers", "place int, choice string")
+        self.posterior = handle.getValueState("posterior", "x array<double>, y array<double>")
+        self.ended = handle.getValueState("ended", "step int, status string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        batch = pd.concat(list(rows)).sort_values("step", kind="stable")
+        out = []
+        if not self.ended.exists():
+            given = [(p, c) for p, c in self.answers.get()]
+            self.loop.resume(given, dict(zip("xy", map(np.array, self.posterior.get()), strict=True)) if self.posterior.exists() else None)
+            before = len(given)
+            for step, choice in zip(batch["step"].tolist(), batch["choice"].tolist(), strict=True):
+                now = self.loop.next()
+                if step != len(self.loop.history) or now is None:
+                    out.append((key[0], int(step), None, None, None, None, "mismatch"))
+                    continue
+                self.loop.answer(now[0], choice)
+                after = self.loop.next()
+                if after is None:
+                    out.append((key[0], int(step), None, None, None, None, "complete"))
+                else:
+                    t, repeat = self.loop.pool[after[0]], after[1]
+                    out.append((key[0], int(step), t["repeat_id"] if repeat else t["trial_id"], t["axis"], float(t["b"] if repeat else t["a"]), float(t["a"] if repeat else t["b"]), "repeat" if repeat else "next"))
+            added = self.loop.history[before:]
+            if self.loop.next() is None:
+                self.end(len(self.loop.history), "complete")
+            elif added:
+                self.answers.appendList(added)
+                self.posterior.update(tuple(self.loop.post[a].tolist() for a in "xy"))
+            if self.timeout is not None and not self.ended.exists():
+                self.stop_timers()
+                self.handle.registerTimer(int(batch["ts"].max().timestamp() * 1000) + self.timeout)
+        else:
+            out += [(key[0], int(step), None, None, None, None, "mismatch") for step in batch["step"].tolist()]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SHOWN.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        steps = sum(1 for _ in self.answers.get())
+        self.end(steps, "timeout")
+        yield pd.DataFrame([(key[0], steps, None, None, None, None, "timeout")], columns=[c.split()[0] for c in SHOWN.split(", ")])
+
+    def end(self, step: int, status: str) -> None:
+        self.answers.clear()
+        self.posterior.clear()
+        self.stop_timers()
+        self.ended.update((step, status))
+
+    def stop_timers(self) -> None:
+        if self.timeout is not None:  # without one a query has no timers to ask for
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+
+    def close(self) -> None:
+        pass
+
+
+def live_trials(answers: DataFrame, pool: list[dict], most: int = 16, timeout: str | None = None) -> DataFrame:
+    """For each answer of a rater the trial that comes next; status is next, repeat, complete, mismatch or timeout.
+
+    answers: rater, step (0 for the first answer), choice, and with a timeout (such as "30 minutes") ts. An answer out of
+    step, or to a study that has ended, isn't applied and is reported. Write the result in append mode. State is kept in
+    RocksDB, which this sets for the session's next queries.
     """
-    import pandas as pd
-
-    def advance(key, frames, state):
-        given = json.loads(state.get[0]) if state.exists else []
-        loop = Loop(pool, most)
-        loop.replay(given)
-        rows = []
-        batch = pd.concat(list(frames)).sort_values("step")
-        for step, choice in zip(batch["step"].tolist(), batch["choice"].tolist(), strict=True):
-            now = loop.next()
-            if step != len(given) or now is None:
-                rows.append((key[0], int(step), None, None, None, None, "mismatch"))
-                continue
-            loop.answer(now[0], choice)
-            given.append(choice)
-            after = loop.next()
-            if after is None:
-                rows.append((key[0], int(step), None, None, None, None, "complete"))
-            else:
-                t, repeat = pool_row(loop, after)
-                rows.append((key[0], int(step), t["repeat_id"] if repeat else t["trial_id"], t["axis"], float(t["b"] if repeat else t["a"]), float(t["a"] if repeat else t["b"]), "repeat" if repeat else "next"))
-        state.update((json.dumps(given),))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SHOWN.split(", ")])
-
-    return answers.groupBy("rater").applyInPandasWithState(advance, SHOWN, "given string", "append", GroupStateTimeout.NoTimeout)
-
-
-def pool_row(loop: Loop, step: tuple[int, bool]) -> tuple[dict, bool]:
-    return loop.pool[step[0]], step[1]
+    spark = answers.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    milliseconds = None
+    if timeout is not None:
+        milliseconds = int(spark.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00+00:00' + INTERVAL {timeout}) AS t").first()["t"])
+        answers = answers.withWatermark("ts", "0 seconds")
+    return answers.groupBy("rater").transformWithStateInPandas(TrialLoop(pool, most, milliseconds), SHOWN, "append", "None" if timeout is None else "EventTime")
 
 
 def vote_rates(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
