@@ -232,7 +232,7 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 RESULT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", head_rows: int = 262_144, head_bytes: int = 64, pair_rows: int = 1_000_000, table_rows: int = 300_000) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", head_rows: int = 393_216, head_bytes: int = 64, pair_rows: int = 1_000_000, table_rows: int = 300_000) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each text.
 
     Null and empty texts, and those that the piece file doesn't give back byte by byte (as it reads U+2581 as a space), have no
@@ -280,7 +280,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         is_hot, on = F.xxhash64("segment").isin(hot), ["segment", "place"]
         asked = asked.withColumn("place", F.when(is_hot, place("key")).otherwise(0))
         tail = tail.withColumn("place", F.explode(F.when(is_hot, everywhere()).otherwise(F.array(F.lit(0)))))
-    found = asked.join(tail, on).groupBy("key").agg(F.collect_list(F.concat_ws(" ", F.col("pos").cast("string"), "packed")).alias("found"))
+    found = asked.join(tail, on).select("key", F.concat_ws(" ", F.col("pos").cast("string"), "packed").alias("one"))
+    found = found.repartition("key").groupBy("key").agg(F.collect_list("one").alias("found"))  # strings are shuffled, not lists of one
 
     def compose(source):
         split, ok, get, n_head = segmenter(b_path), readable(b_path), head.get, len(head)
