@@ -17,11 +17,14 @@ import hashlib
 import json
 import os
 import re
+import uuid
+from array import array
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,6 +231,16 @@ def weigh(aligned: DataFrame, pair_rows: int) -> DataFrame:
     return aligned.mapInArrow(run, schema)
 
 
+_HEADS: dict[str, dict[str, int]] = {}  # of this worker process, by the run it belongs to: one at a time
+
+
+def head_of(run: str, segments: pa.StringArray) -> dict[str, int]:
+    if run not in _HEADS:
+        _HEADS.clear()
+        _HEADS[run] = dict(zip(segments.to_pylist(), range(len(segments)), strict=True))
+    return _HEADS[run]
+
+
 NUMBERS = ("n_a", "n_b", "n_groups", "n_best", "count_sum")
 RESULT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
@@ -254,8 +267,11 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         cut = b
     in_head = short & (step >= cut) if cut is not None else F.lit(False)
     table = ready.where(in_head).toArrow()
-    head = dict(zip(table["segment"].to_pylist(), range(table.num_rows), strict=True))
-    head_groups = table["groups"].to_pylist()
+    # what every task has goes there as a few buffers: groups are ASCII, one text that is cut by offsets
+    run, n_head = uuid.uuid4().hex, table.num_rows
+    head_segments = pa.concat_arrays([pa.array([], pa.string()), *table["segment"].chunks])
+    head_groups = "".join(table["groups"].to_pylist())
+    head_ends = np.cumsum([0, *pc.binary_length(table["groups"]).to_pylist()]).astype(np.int64)
     head_sums = np.stack([table[c].to_numpy().astype(np.int64) for c in NUMBERS], 1)
     # numbers and groups of the others travel as one short string
     tail = ready.where(~in_head).select("segment", F.concat_ws(" ", *(F.col(c).cast("string") for c in NUMBERS), "groups").alias("packed"))
@@ -268,7 +284,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     rows = docs.groupBy(key.alias("key")).agg(F.max("id").alias("id"), F.max("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
     def missing(source):
-        split, held = segmenter(b_path), head.keys()
+        split, held = segmenter(b_path), head_of(run, head_segments).keys()
         for batch in source:
             for part in slices(batch, 2):
                 rest = [list(dict.fromkeys(s for s in split(t) if s not in held)) if t else [] for t in part.column(2).to_pylist()]
@@ -284,7 +300,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     found = found.repartition("key").groupBy("key").agg(F.collect_list("one").alias("found"))  # strings are shuffled, not lists of one
 
     def compose(source):
-        split, ok, get, n_head = segmenter(b_path), readable(b_path), head.get, len(head)
+        split, ok, get = segmenter(b_path), readable(b_path), head_of(run, head_segments).get
+        ends = array("q", head_ends.tobytes())
         for batch in source:
             for part in slices(batch, 1):
                 out = []
@@ -303,12 +320,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
                         for m in more:
                             pos, *counts, its_groups = m.split(" ", 1 + len(NUMBERS))
                             groups[int(pos)], numbers[int(pos)] = its_groups, list(map(int, counts))
-                        joined = ";".join([groups[k - n_head] if k >= n_head else head_groups[k] for k in at])
+                        joined = ";".join([groups[k - n_head] if k >= n_head else head_groups[ends[k] : ends[k + 1]] for k in at])
                         at = np.array(at)
                         sums += np.bincount(at[at >= n_head] - n_head, minlength=len(more)) @ np.array(numbers, np.int64)
                         at = at[at < n_head]
                     else:
-                        joined = ";".join(map(head_groups.__getitem__, at))
+                        joined = ";".join([head_groups[ends[k] : ends[k + 1]] for k in at])
                     n_a, n_b, n_groups, n_best, count_sum = (sums + head_sums[np.array(at, np.int64)].sum(0)).tolist()
                     out.append((n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, count_sum, hashlib.sha256(joined.encode()).hexdigest()))
                 columns = list(zip(*out, strict=True))
