@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators.holdout import HAZARDS
 from ..operators.markup import ALLOWED_ATTRIBUTES, ALLOWED_ELEMENTS, BLOCKED_ELEMENTS
 from ..operators.markup_reader import ATTRIBUTE, CLOSES, CONTROL, NAME, OPENS, QUOTED, REFERENCE, TOKEN, UNQUOTED
-from .oracle import CAND, F, H, P, POOL, R, centre
+from .oracle import F, H, P, R, REPLAY, centre
 
 BOUNDS = """b AS (SELECT vec_id, count(*) FILTER (WHERE v > 64)::INTEGER AS n, coalesce(sum(v) FILTER (WHERE v > 64), 0)::BIGINT AS s, min(x) FILTER (WHERE v > 64) AS x0, max(x) FILTER (WHERE v > 64) AS x1, min(y) FILTER (WHERE v > 64) AS y0, max(y) FILTER (WHERE v > 64) AS y1 FROM r GROUP BY vec_id)"""
 
@@ -18,33 +18,6 @@ def counted(source: str, faults: dict[str, str], ctes: str = "") -> str:
 def every(key: str, *ns: int) -> str:
     return "(" + " OR ".join(f"{key} % {n} = 0" for n in ns) + ")"
 
-#: The policy as a recursive query: a row is a rater's study after so many answers, with both posteriors as lists over the
-#: grid and the places of the trials that were shown. Each round scores what a rater hasn't seen and applies the next answer.
-REPLAY = f"""RECURSIVE {CAND}{POOL},
-gm AS (SELECT list(-5 + i / 10::DOUBLE ORDER BY i) AS mu FROM range(101) r(i)),
-lp AS (SELECT pl.*, row_number() OVER (ORDER BY trial_id) AS place, size || theme AS cond, mu,
-  list_transform(mu, lambda m: 1 / (1 + exp(-(abs(m - b) - abs(m - a) - 0.2) / 0.35))) AS pa, list_transform(mu, lambda m: 1 / (1 + exp(-(abs(m - a) - abs(m - b) - 0.2) / 0.35))) AS pb FROM pl, gm),
-lt AS (SELECT *, list_transform(range(1, 102), lambda i: greatest(1e-12, 1 - pa[i] - pb[i])) AS pt FROM lp),
-q AS (SELECT *, list_transform(range(1, 102), lambda i: -(pa[i] * ln(pa[i]) + pb[i] * ln(pb[i]) + pt[i] * ln(pt[i]))) AS inside FROM lt),
-cn AS (SELECT list(cond ORDER BY place) AS conds FROM q),
-an AS (SELECT * FROM (SELECT 'u' || user_id AS rater, choice, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM v) WHERE n < 16),
-rs AS (
-  SELECT rater, 0::BIGINT AS n, list_transform(range(101), lambda i: 1 / 101::DOUBLE) AS px, list_transform(range(101), lambda i: 1 / 101::DOUBLE) AS py, []::BIGINT[] AS used, NULL::BIGINT AS place, NULL::VARCHAR AS choice FROM (SELECT DISTINCT rater FROM an)
-  UNION ALL SELECT rater, n + 1,
-    CASE WHEN axis = 'x' AND choice <> 'ABSTAIN' THEN list_transform(range(1, 102), lambda i: px[i] * seen[i] / list_dot_product(px, seen)) ELSE px END,
-    CASE WHEN axis = 'y' AND choice <> 'ABSTAIN' THEN list_transform(range(1, 102), lambda i: py[i] * seen[i] / list_dot_product(py, seen)) ELSE py END,
-    list_append(used, place), place, choice
-  FROM (SELECT ch.*, q.axis, CASE WHEN choice = 'TIE' THEN pt WHEN choice = 'A' THEN CASE WHEN n = 15 THEN pb ELSE pa END WHEN choice = 'B' THEN CASE WHEN n = 15 THEN pa ELSE pb END ELSE px END AS seen
-    FROM (SELECT rater, any_value(n) AS n, any_value(px) AS px, any_value(py) AS py, any_value(used) AS used, any_value(choice) AS choice,
-        CASE WHEN any_value(n) = 15 THEN any_value(used)[1] ELSE first(place ORDER BY round(-(da * ln(da) + db * ln(db) + dt * ln(dt)) - di - often * 0.003 - abs((a + b) / 2 - mean) * 0.02, 12) DESC, tie_break) END AS place
-      FROM (SELECT s.rater, s.n, s.px, s.py, s.used, an.choice, q.place, q.a, q.b, q.tie_break, list_dot_product(CASE q.axis WHEN 'x' THEN px ELSE py END, q.pa) AS da, list_dot_product(CASE q.axis WHEN 'x' THEN px ELSE py END, q.pb) AS db,
-          list_dot_product(CASE q.axis WHEN 'x' THEN px ELSE py END, q.pt) AS dt, list_dot_product(CASE q.axis WHEN 'x' THEN px ELSE py END, q.inside) AS di, list_dot_product(CASE q.axis WHEN 'x' THEN px ELSE py END, q.mu) AS mean,
-          len(list_filter(s.used, lambda u: conds[u] = q.cond)) AS often
-        FROM rs s JOIN an ON an.rater = s.rater AND an.n = s.n, q, cn WHERE NOT list_contains(s.used, q.place)) GROUP BY rater) ch JOIN q ON q.place = ch.place)),
-rp AS MATERIALIZED (SELECT rs.rater, rs.n - 1 AS step, CASE WHEN rs.n = 16 THEN sha256('repeat:panel:' || trial_id) ELSE trial_id END AS trial_id, CASE WHEN rs.n = 16 THEN trial_id END AS repeat_of, axis,
-  CASE WHEN rs.n = 16 THEN b ELSE a END AS a, CASE WHEN rs.n = 16 THEN a ELSE b END AS b, rs.choice FROM rs JOIN q ON q.place = rs.place)"""
-
-
 def oracle() -> dict[str, str]:
     o: dict[str, str] = {}
     e, p, c, v = (lambda *n, k=k: every(k, *n) for k in ("event_id", "p_partkey", "conv_id", "vec_id"))
@@ -100,7 +73,6 @@ def oracle() -> dict[str, str]:
         g AS (SELECT source_no, count(*) AS row_count, count(*) FILTER (WHERE choice <> 'ABSTAIN' AND n = 1) AS evidence_rows, count(DISTINCT user_id) FILTER (WHERE choice <> 'ABSTAIN' AND n = 1) AS rater_count, count(*) FILTER (WHERE choice = 'TIE' AND n = 1) AS tie_rows, count(*) FILTER (WHERE choice = 'ABSTAIN') AS abstain_rows,
           source_no % 7 = 0 AND count(DISTINCT event_id % 2) > 1 AS mixed FROM q GROUP BY source_no)
         SELECT * EXCLUDE (mixed), concat_ws(',', CASE WHEN mixed THEN 'provenance-mismatch' END, CASE WHEN rater_count < 3 THEN 'too-few-raters' END, CASE WHEN evidence_rows < 5 THEN 'too-few-rows' END) AS reasons FROM g"""
-    o["adaptive_replay"] = f"WITH {REPLAY} SELECT rater, step::INTEGER AS step, trial_id, repeat_of, axis, a, b, choice FROM rp"
     o["replay_mismatches"] = f"WITH {REPLAY}, sh AS MATERIALIZED (SELECT rater, step, trial_id, rater || ':' || step AS k FROM rp) SELECT rater, step::INTEGER AS step, 'another' AS trial_id, trial_id AS expected FROM sh WHERE regexp_matches(sha256(k), '^0[0-4]')"
     names = lambda xs: ", ".join(f"'{x}'" for x in xs)
     bare = "h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!DOCTYPE[^>]*>', '', 'gi') AS h FROM pages)"
