@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from panelspark.llm.common import crc_of, keep, shuffle_parts, ship, table
+from panelspark.llm.common import crc_of, forget, keep, shuffle_parts, ship, table
 from panelspark.llm.queries import tokenizer_path
 
 ORACLE_SQL = None
@@ -70,9 +70,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(ship(spark), sf_dir, "documents")
+    """Each stage's rows are kept until those of the next one are: two copies of the corpus at most."""
+    docs, kept = table(ship(spark), sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = keep(docs)
+            docs, before = keep(docs), kept
+            if before is not None:
+                forget(before)
+            kept = docs
     return docs
