@@ -1,13 +1,14 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page that marks its article (article, main) is read by its own marks. The other pages of a host are told apart by their
-skeleton (host, outer containers), and each becomes a stream of tokens: the path of elements of a run of blocks and the
-texts in it. The wrapper of a skeleton starts as one page's stream and is aligned with the next ones: texts that both
-sides have in a slot stay as its fixed texts and others make it vary, a mismatch of tags is a repeated group where the
-same block stands next to itself on either side, else an optional group. Wrappers are merged the same way, so inference
-runs over the distinct streams of a skeleton, partial wrappers first, and no host's pages are gathered. Fixed texts of a
-slot that three or more different pages have are the template; a page is matched against its wrapper slot by slot, and
-its text is all that is neither template, nor boilerplate, nor in slots that hold mostly links.
+Pages of a host are told apart by their skeleton (outer containers, and whether one marks an article), and each becomes a
+stream of tokens: the path of elements of a run of blocks and the texts in it. The wrapper of a skeleton starts as one page's
+stream and is aligned with the next ones: texts that both sides have in a slot stay as its fixed texts and others make it
+vary, a mismatch of tags is a repeated group where the same block, however long, stands next to itself on either side, else an
+optional group. Wrappers are merged the same way, so inference runs over the distinct streams of a skeleton, partial wrappers
+first, and no host's pages are gathered. Then each slot of a wrapper is decided once, from what all its pages have there:
+marks (article, main; boilerplate by element, class or role) name slots; where no article is marked, slots that hold mostly
+links are out and fixed texts that three or more different pages share are template. A page is matched against its wrapper
+and its text is what lies in the article's slots. Pages of a host with fewer than three have no template.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,9 +145,11 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
     return out
 
 
-# --- wrappers: tokens (optional, path, repeated, fixed texts, three of the pages), the last two as hashes in hex ----------
+# --- wrappers: tokens (optional, path, repeated, fixed texts, three of the pages, characters and those of links) -----------
 
 LEAST_PAGES = 3
+#: How many cells of an alignment are kept for its trace; larger ones are halved first.
+TRACE_BITS = 1 << 25
 
 
 def digest(text: str) -> str:
@@ -156,26 +160,69 @@ def own_of(found: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
     return [x for x in found if not x[0].startswith("!")]
 
 
-def marked(own: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
-    """Blocks in elements that mark an article."""
-    return [x for x in own if any(y.split(".")[0] in MAIN for y in x[0].split("/"))]
+def in_main(path: str) -> bool:
+    """Whether a path passes an element that marks an article, outside of boilerplate."""
+    return not path.startswith("!") and any(y.split(".")[0] in MAIN for y in path.split("/"))
 
 
-def skeleton(own: list[tuple[str, str, float]]) -> str:
-    return digest("\n".join(sorted({"/".join(p.split("/")[:3]) for p, _, _ in own})))
+def skeleton(found: list[tuple[str, str, float]]) -> str:
+    """Outer containers of a page's own blocks, and whether it marks an article."""
+    paths = {p for p, _, _ in own_of(found)}
+    return digest("\n".join(sorted({"/".join(p.split("/")[:3]) for p in paths} | {f"marked {any(map(in_main, paths))}"})))
 
 
-def stream(found: list[tuple[str, str, float]]) -> tuple:
-    """The slots of a page by path with their texts, runs of one path folded into a repeated slot."""
-    page = digest("\n".join(t for _, t, _ in found))
-    out: list[list] = []
-    for path, text, _ in found:
-        if out and out[-1][0] == path:
-            out[-1][1] = "+"
+def runs(found: list[tuple[str, str, float]]) -> list[list[int]]:
+    """Positions of neighbouring blocks with one path."""
+    out: list[list[int]] = []
+    for i, (path, _, _) in enumerate(found):
+        if out and found[out[-1][0]][0] == path:
+            out[-1].append(i)
         else:
-            out.append([path, "", set()])
-        out[-1][2].add(digest(text))
-    return tuple(("", p, r, " ".join(sorted(x)), page) for p, r, x in out)
+            out.append([i])
+    return out
+
+
+def repeats(paths: list[str]) -> list[list[int]]:
+    """Slots as positions: a block of paths of any length that stands next to itself becomes one, smallest blocks first."""
+    names: dict[str, int] = {}
+    ids = np.array([names.setdefault(p, len(names)) for p in paths], np.int64)
+    slots = [[i] for i in range(len(paths))]
+    size = 1
+    while len(names) < len(slots) and size <= len(slots) // 2:
+        same = np.concatenate(([False], ids[:-size] == ids[size:], [False]))
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        found, upto = [], 0
+        for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            start = max(start, upto)
+            times = (end - start) // size
+            if times > 0:
+                found.append((start, times))
+                upto = start + (times + 1) * size
+        if not found:
+            size += 1
+            continue
+        left = np.ones(len(slots), bool)
+        for start, times in found:
+            for k in range(size):
+                slots[start + k] = [x for t in range(times + 1) for x in slots[start + t * size + k]]
+            left[start + size : start + (times + 1) * size] = False
+        slots = [x for x, y in zip(slots, left.tolist(), strict=True) if y]
+        ids = ids[left]
+    return slots
+
+
+def stream(found: list[tuple[str, str, float]]) -> tuple:
+    """The slots of a page by path; texts of slots that marks don't name yet are kept as hashes."""
+    plain = not any(in_main(p) for p, _, _ in found)
+    page = digest("\n".join(t for _, t, _ in own_of(found))) if plain else ""
+    out = []
+    for run in runs(found):
+        path = found[run[0]][0]
+        open_slot = plain and not path.startswith("!")
+        chars = [(len(found[i][1]), found[i][2]) for i in run] if open_slot else []
+        fixed = " ".join(sorted({digest(found[i][1]) for i in run})) if open_slot else ""
+        out.append(("", path, "+" if len(run) > 1 else "", fixed, page, f"{sum(n for n, _ in chars)} {round(sum(n * x for n, x in chars))}"))
+    return tuple(out)
 
 
 def _any(a: str, b: str) -> str:
@@ -183,64 +230,117 @@ def _any(a: str, b: str) -> str:
 
 
 def _both(a: tuple, b: tuple) -> tuple:
-    """Texts and pages of a slot of two sides: what is fixed in either, and some of the pages of both."""
+    """Texts, pages and characters of a slot of two sides: what is fixed in either, some of the pages of both, sums."""
     if len(a) == 3:
         return ()
-    return " ".join(sorted(set(a[3].split()) & set(b[3].split()))), " ".join(_any(a[4], b[4]).split()[:LEAST_PAGES])
+    chars = " ".join(str(int(x) + int(y)) for x, y in zip(a[5].split(), b[5].split(), strict=True))
+    return " ".join(sorted(set(a[3].split()) & set(b[3].split()))), " ".join(_any(a[4], b[4]).split()[:LEAST_PAGES]), chars
 
 
 def _beside(a: tuple, b: tuple) -> tuple:
     """The same for two slots of one side that become one: a page that has a slot that isn't optional has its fixed texts."""
     if len(a) == 3:
         return ()
-    fixed, pages = _both(a, b)
+    fixed, pages, chars = _both(a, b)
     if a[0] != "?":
         fixed = _any(fixed, a[3])
     if b[0] != "?":
         fixed = _any(fixed, b[3])
-    return fixed, pages
-
-
-def _match(a: tuple, b: tuple) -> bool:
-    return a[1] == b[1]
+    return fixed, pages, chars
 
 
 def fold(tokens: list[tuple]) -> list[tuple]:
     """Repeated groups: a block of tokens that stands next to itself becomes one, its slots marked as repeated."""
-    size = 1
-    while size <= min(12, len(tokens) // 2):
-        i = 0
-        while i + 2 * size <= len(tokens):
-            if all(_match(x, y) for x, y in zip(tokens[i : i + size], tokens[i + size : i + 2 * size], strict=True)):
-                tokens[i : i + 2 * size] = [("?" if x[0] == y[0] == "?" else "", x[1], "+", *_beside(x, y)) for x, y in zip(tokens[i : i + size], tokens[i + size : i + 2 * size], strict=True)]
-            else:
-                i += 1
-        size += 1
-    return tokens
+    out = []
+    for slot in repeats([t[1] for t in tokens]):
+        got = tokens[slot[0]]
+        for i in slot[1:]:
+            x = tokens[i]
+            got = ("?" if got[0] == x[0] == "?" else "", got[1], "+", *_beside(got, x))
+        out.append(got)
+    return out
+
+
+def _rows(a: list[str], b: list[str]):
+    """For each beginning of a: a number whose zero bits tell where the longest common subsequence with b grows."""
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    full = row = (1 << len(b)) - 1
+    masks: dict[str, int] = {}
+    for x in a:
+        if x in places:
+            if x not in masks:
+                if (len(masks) + 1) * len(b) > TRACE_BITS:
+                    masks.clear()
+                bits = bytearray(len(b) // 8 + 1)
+                for j in places[x]:
+                    bits[j >> 3] |= 1 << (j & 7)
+                masks[x] = int.from_bytes(bits, "little")
+            hit = row & masks[x]
+            row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of a with each beginning of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+def _inner(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TRACE_BITS:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return _inner(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _inner(a[half:], b[cut:])]
+    kept = list(_rows(a, b))
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if kept[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or kept[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, in memory that grows with the lengths and not with their product."""
+    n, head, tail = min(len(a), len(b)), 0, 0
+    while head < n and a[head] == b[head]:
+        head += 1
+    while tail < n - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    inner = _inner(a[head : len(a) - tail], b[head : len(b) - tail])
+    return [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in inner] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def align(a: tuple, b: tuple) -> tuple:
     """The least union-free expression of either that takes both: tokens of one side only are optional."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if _match(a[i], b[j]) else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n and j < m:
-        if _match(a[i], b[j]):
-            out.append((a[i][0] or b[j][0], a[i][1], a[i][2] or b[j][2], *_both(a[i], b[j])))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(("?", *a[i][1:]))
-            i += 1
-        else:
-            out.append(("?", *b[j][1:]))
-            j += 1
-    out += [("?", *x[1:]) for x in (*a[i:], *b[j:])]
+    for x, y in [*common([t[1] for t in a], [t[1] for t in b]), (len(a), len(b))]:
+        out += [("?", *t[1:]) for t in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append((a[x][0] or b[y][0], a[x][1], a[x][2] or b[y][2], *_both(a[x], b[y])))
+        i, j = x + 1, y + 1
     return tuple(fold(out))
 
 
+def joined(wrappers: list[tuple]) -> tuple:
+    """One wrapper of several, each aligned with what the ones before it gave."""
+    got = wrappers[0]
+    for w in wrappers[1:]:
+        got = align(got, w)
+    return got
+
+
 def written(wrapper: tuple) -> str:
     return "\n".join("\t".join(t) for t in wrapper)
 
@@ -249,20 +349,38 @@ def read(text: str) -> tuple:
     return tuple(tuple(x.split("\t")) for x in text.split("\n")) if text else ()
 
 
-def template(wrapper: tuple) -> list[str]:
-    """path and hash of the wrapper's fixed texts."""
-    return sorted({f"{t[1]}\t{x}" for t in wrapper if len(t[4].split()) >= LEAST_PAGES for x in t[3].split()})
+def decided(wrapper: tuple) -> list[tuple[str, str, str]]:
+    """(kind, path, fixed texts) of each slot: a where texts are the article's, t where all but the fixed ones are, - elsewhere.
+
+    Boilerplate is out. Marks name the article's slots if the wrapper has any; without them a slot is text unless most
+    characters that its pages have there are links, and texts that its pages have in common are template.
+    """
+    named = any(in_main(t[1]) for t in wrapper)
+    out = []
+    for _, path, _, fixed, pages, chars in wrapper:
+        n, linked = map(int, chars.split())
+        if named or path.startswith("!"):
+            out.append(("a" if in_main(path) else "-", path, ""))
+        else:
+            out.append(("t" if linked <= 0.5 * n else "-", path, fixed if len(pages.split()) >= LEAST_PAGES else ""))
+    return out
 
 
-def article(own: list[tuple[str, str, float]], fixed: set[str]) -> list[str]:
-    """The texts of a page that marks no article: without the template's, and without slots that are mostly links."""
-    chars: dict[str, list[float]] = {}
-    left = [x for x in own if f"{x[0]}\t{digest(x[1])}" not in fixed] if fixed else own
-    for path, text, link in left:
-        v = chars.setdefault(path, [0, 0.0])
-        v[0] += len(text)
-        v[1] += link * len(text)
-    return [text for path, text, _ in left if chars[path][1] <= 0.5 * chars[path][0]]
+def matched(paths: list[str], wrapper: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The wrapper's slot for each run of a page: its folded stream is aligned with the wrapper.
+
+    A slot that the alignment leaves out, as where repeated groups lie across each other, takes the first one with its path.
+    """
+    slots = repeats(paths)
+    at = dict(common([paths[s[0]] for s in slots], [w[1] for w in wrapper]))
+    first: dict[str, tuple[str, str, str]] = {}
+    for w in wrapper:
+        first.setdefault(w[1], w)
+    out = [("-", "", "")] * len(paths)
+    for k, slot in enumerate(slots):
+        for i in slot:
+            out[i] = wrapper[at[k]] if k in at else first.get(paths[i], out[i])
+    return out
 
 
 def host_of(url):
@@ -282,63 +400,79 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = pages.schema[id_col].dataType.simpleString()
 
     def survey(source):
-        """Wrappers of equal streams of pages that mark no article, as far as a task's table goes."""
+        """A wrapper a host and skeleton, as far as a task's table of distinct streams goes."""
         table: dict[tuple, tuple] = {}
+        size = 0
 
         def out():
-            rows = [(h, k, written(w)) for (h, k, _), w in table.items()]
+            by: dict[tuple, list] = {}
+            for (h, k, shape), w in table.items():
+                by.setdefault((h, k), []).append((len(shape), shape, w))
+            rows = [(h, k, written(joined([x[2] for x in sorted(v)]))) for (h, k), v in by.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["host", "skeleton", "wrapper"])
 
         for batch in source:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = own_of(blocks(page))
-                if not own or marked(own):
+                found = blocks(page)
+                if not own_of(found):
                     continue
-                got = tuple(fold(list(stream(own))))
-                key = host, skeleton(own), tuple(t[1:3] for t in got)
+                got = tuple(fold(list(stream(found))))
+                key = host, skeleton(found), tuple(t[1:3] for t in got)
                 seen = table.get(key)
+                size += len(got) if seen is None else 0
                 table[key] = got if seen is None else tuple((x[0], x[1], x[2], *_both(x, y)) for x, y in zip(seen, got, strict=True))
-                if len(table) > 20_000:
+                if size > 400_000:
                     yield out()
                     table.clear()
+                    size = 0
         yield out()
 
     columns = "host string, skeleton string, wrapper string"
     streams = base.select("host", "html").mapInArrow(survey, columns)
 
     def merged(rows: pa.Table) -> pa.Table:
-        wrapper: tuple | None = None
-        for text in sorted(rows["wrapper"].to_pylist(), key=lambda r: (len(r), r)):
-            wrapper = read(text) if wrapper is None else align(wrapper, read(text))
+        wrapper = joined([read(t) for t in sorted(rows["wrapper"].to_pylist(), key=lambda r: (len(r), r))])
         return pa.table([rows["host"][:1], rows["skeleton"][:1], pa.array([written(wrapper)], pa.string())], names=["host", "skeleton", "wrapper"])
 
-    # shares of a skeleton first, then the skeleton: a task never has all of a large host's pages
+    # shares of a skeleton first, then the skeleton: a group has at most a row a task and table, never a host's pages
     salt = F.pmod(F.xxhash64("wrapper"), F.lit(16))
     part = streams.withColumn("salt", salt).groupBy("host", "skeleton", "salt").applyInArrow(lambda t: merged(t.drop_columns(["salt"])), columns)
     wrappers = part.groupBy("host", "skeleton").applyInArrow(merged, columns)
 
     def choose(source):
         for batch in source:
-            fixed = ["\n".join(template(read(w))) for w in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{k}\n{x}" if x else None for k, x in zip(batch.column(1).to_pylist(), fixed, strict=True)], pa.string())], names=["host", "slots"])
+            slots = ["\n".join([k, *("\t".join(t) for t in decided(read(w)))]) for k, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.string())], names=["host", "slots"])
 
-    slots = keep(wrappers.mapInArrow(choose, "host string, slots string").where("slots IS NOT NULL").groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("slots")), "\n\n").alias("slots")))
+    slots = keep(wrappers.mapInArrow(choose, "host string, slots string").groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("slots")), "\n\n").alias("slots")))
     weight = slots.agg(F.sum(F.octet_length("host") + F.octet_length("slots") + 32)).first()[0] or 0
-    # pages meet their host's templates where they lie while all fit, in a join by host beyond that
+    # pages meet their host's wrappers where they lie while all fit, in a join by host beyond that
     with_slots = base.join(F.broadcast(slots) if weight <= max_broadcast else slots, "host", "left").select("id", "url", "html", "slots")
 
     def run(source):
+        wanted, wrappers, places = None, {}, {}
         for batch in source:
-            texts, templates = [], {}
-            for page, wanted in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                own = own_of(blocks(page))
-                inside = marked(own)
-                if inside:
-                    texts.append("\n".join(x[1] for x in inside))
+            texts = []
+            for page, hosted in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                found = blocks(page)
+                if not own_of(found):
+                    texts.append("")
                     continue
-                if wanted not in templates:
-                    templates[wanted] = {x.partition("\n")[0]: set(x.split("\n")[1:]) for x in wanted.split("\n\n")} if wanted else {}
-                texts.append("\n".join(article(own, templates[wanted].get(skeleton(own), set()) if wanted else set())))
+                if hosted != wanted:
+                    wanted, places = hosted, {}
+                    wrappers = {x.partition("\n")[0]: [tuple(y.split("\t")) for y in x.split("\n")[1:]] for x in hosted.split("\n\n")}
+                parts = runs(found)
+                shape = skeleton(found), tuple(found[r[0]][0] for r in parts)
+                if shape not in places:
+                    if len(places) > 256:
+                        places.clear()
+                    places[shape] = matched(list(shape[1]), wrappers[shape[0]])
+                kept = []
+                for r, (kind, _, fixed) in zip(parts, places[shape], strict=True):
+                    if kind != "-":
+                        template = set(fixed.split())
+                        kept += [found[i][1] for i in r if not template or digest(found[i][1]) not in template]
+                texts.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     return with_slots.mapInArrow(run, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")

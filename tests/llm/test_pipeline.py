@@ -249,6 +249,85 @@ def test_wrappers_merge_mismatches_into_options_and_groups():
     assert html_text.read(html_text.written(t("a", "b"))) == t("a", "b")
 
 
+def _longest(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def _takes(wrapper, paths):
+    """Whether an alignment's expression takes a stream, by trying all ways (no repeated groups)."""
+    states = {0}
+    for opt, path, _ in wrapper:
+        states = {i + 1 for i in states if i < len(paths) and paths[i] == path} | (states if opt else set())
+    return len(paths) in states
+
+
+def test_alignment_against_brute_force(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    for bits in (html_text.TRACE_BITS, 8):  # 8: halves down to single tokens
+        monkeypatch.setattr(html_text, "TRACE_BITS", bits)
+        for _ in range(400):
+            a, b = ([rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 14))] for _ in range(2))
+            got = html_text.common(a, b)
+            assert len(got) == _longest(a, b) and all(a[i] == b[j] for i, j in got)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+            monkeypatch.setattr(html_text, "fold", list)
+            both = html_text.align(*(tuple(("", x, "") for x in s) for s in (a, b)))
+            monkeypatch.undo()
+            monkeypatch.setattr(html_text, "TRACE_BITS", bits)
+            assert _takes(both, a) and _takes(both, b)
+
+
+def test_repeated_groups_of_any_length():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        block = [f"p{k}" for k in range(rng.randint(1, 40))]
+        times = rng.randint(2, 5)
+        paths = ["x", *block * times, "y"]
+        got = html_text.repeats(paths)
+        assert [paths[s[0]] for s in got] == ["x", *block, "y"] and all(len(s) == times for s in got[1:-1])
+        paths = [rng.choice("abc") for _ in range(rng.randint(0, 25))]
+        got = html_text.repeats(paths)
+        assert sorted(i for s in got for i in s) == list(range(len(paths))) and all(len({paths[i] for i in s}) == 1 for s in got)
+        left = [paths[s[0]] for s in got]
+        assert not any(left[i] == left[i + 1] for i in range(len(left) - 1))
+    long = [f"p{k}" for k in range(3000)]
+    assert len(html_text.repeats(long * 2)) == 3000
+
+
+def test_long_streams_align_in_bounded_memory():
+    import tracemalloc
+
+    a = [f"p{k % 97}" for k in range(20_000)]
+    b = [f"p{k * 7 % 89}" for k in range(20_000)]
+    tracemalloc.start()
+    got = html_text.common(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) > 1000 and peak < 64 << 20
+
+
+def test_a_slot_is_decided_once_for_all_pages_of_its_wrapper(spark):
+    """The same path before and after the story: links in one place, text in the other; wrappers of marked pages decide too."""
+    top = "<div class='box'><a href='/{n}'>Link {n}</a></div>"
+    page = "<body>" + top + "<div class='story'><h1>Head {n}</h1></div><div class='box'>{end}</div></body>"
+    rows = [(i, "http://w.example/", page.format(n=i, end=f"The end of {i}, told at length.")) for i in range(4)]
+    # one page's own links are more than half of its last box, yet the slot is text on its host
+    rows.append((9, "http://w.example/9", page.format(n=9, end="<a>Mostly a link here</a> text")))
+    by = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by[2] == "Head 2\nThe end of 2, told at length." and by[9] == "Head 9\nMostly a link here text"
+    found = html_text.blocks("<body><nav>Menu</nav><article><h1>A</h1><p>B</p></article><p>C</p></body>")
+    wrapper = tuple(html_text.fold(list(html_text.stream(found))))
+    assert [(k, p) for k, p, _ in html_text.decided(wrapper)] == [("-", "!body/nav"), ("a", "body/article/h1"), ("a", "body/article/p"), ("-", "body/p")]
+
+
 def test_fixed_texts_of_a_host_are_template(spark):
     page = "<body><div class='top'>Our daily site</div><div class='story'><p>First of {n}.</p><p>Read us every day!</p><p>Last of {n}.</p></div>{more}</body>"
     rows = [(i, f"http://t.example/{i}", page.format(n=i, more="<div class='note'>Note {}</div>".format(i) if i % 2 else "")) for i in range(8)]
