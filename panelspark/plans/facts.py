@@ -97,3 +97,14 @@ def case_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", raster.alpha_of(F.col("embedding")).alias("alpha"))
+
+
+#: Directions of an outline's sixteen corners, anticlockwise.
+CORNERS = [(2, 0), (2, 1), (2, 2), (1, 2), (0, 2), (-1, 2), (-2, 2), (-2, 1), (-2, 0), (-2, -1), (-2, -2), (-1, -2), (0, -2), (1, -2), (2, -2), (2, -1)]
+
+
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A star of sixteen corners round the middle of a view of 24 x 24, as far out as a vector's first components say; some leave the view."""
+    far = lambda k: F.least(F.lit(1.0), 4 * F.abs(F.coalesce(F.nanvl(F.get(F.col("embedding"), k).cast("double"), F.lit(0.0)), F.lit(0.0)))) + 0.1
+    corners = F.array(*[F.struct((12 + 6 * dx * far(k)).alias("x"), (12 + 6 * dy * far(k)).alias("y")) for k, (dx, dy) in enumerate(CORNERS)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array(corners).alias("rings"))

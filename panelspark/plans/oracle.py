@@ -286,6 +286,21 @@ def oracle() -> dict[str, str]:
         x AS (SELECT *, CASE WHEN why IS NOT NULL THEN 'ABSTAIN' WHEN far < 0.1 THEN 'NO_CHANGE' ELSE 'REVIEW' END AS status FROM y)
         SELECT vec_id, status, CASE WHEN status = 'NO_CHANGE' THEN 'within-tolerance' ELSE why END AS reason, CASE WHEN conflict THEN 'conflict' WHEN strong THEN 'strong' ELSE 'mixed' END AS band, CASE status WHEN 'REVIEW' THEN dx + 0 WHEN 'NO_CHANGE' THEN 0 END AS dx, CASE status WHEN 'REVIEW' THEN dy + 0 WHEN 'NO_CHANGE' THEN 0 END AS dy FROM x"""
     o["clipping_retention"] = f"WITH {R}, q AS (SELECT vec_id, sum(v) FILTER (WHERE v > 1) AS b, coalesce(sum(v) FILTER (WHERE v > 1 AND x < 7), 0) AS a FROM r GROUP BY vec_id), s AS (SELECT vec_id, CASE WHEN b > 0 THEN a / b ELSE 1 END AS share, a < coalesce(b, 0) AS lost FROM q) SELECT vec_id, round(share, 6) AS retained, concat_ws(',', CASE WHEN lost THEN 'right' END, CASE WHEN share < 0.95 THEN 'raster-loss' END) AS sides FROM s"
+    # area of an edge's piece right of it in each pixel of a row, in closed form: g is the integral of a value held between 0 and 1
+    g = lambda u: f"CASE WHEN {u} <= 0 THEN 0 WHEN {u} >= 1 THEN {u} - 0.5 ELSE {u} * {u} / 2 END"
+    from .facts import CORNERS
+
+    corners = ", ".join(f"({k}, {dx}, {dy})" for k, (dx, dy) in enumerate(CORNERS))
+    o["outline_measures"] = f"""WITH p AS (SELECT vec_id, k, 12 + 6 * dx * far AS x, 12 + 6 * dy * far AS y FROM (SELECT vec_id, k, dx, dy, least(1, 4 * abs(CASE WHEN isnan(v) THEN 0 ELSE v END)) + 0.1 AS far
+          FROM (SELECT vec_id, k, dx, dy, coalesce(embedding[k + 1]::DOUBLE, 0) AS v FROM embeddings, (VALUES {corners}) c(k, dx, dy)))),
+        e AS (SELECT a.vec_id, size, a.x * size / 24 AS x1, a.y * size / 24 AS y1, b.x * size / 24 AS x2, b.y * size / 24 AS y2 FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.k = (a.k + 1) % {len(CORNERS)}, (VALUES (16), (24)) z(size) WHERE a.y <> b.y),
+        w AS (SELECT *, unnest(range(greatest(0, floor(least(y1, y2)))::INT, least(size, ceil(greatest(y1, y2)))::INT)) AS r FROM e),
+        s AS (SELECT *, greatest(r, least(r + 1, y1)) AS ya, greatest(r, least(r + 1, y2)) AS yb, (x2 - x1) / (y2 - y1) AS m FROM w), t AS (SELECT vec_id, size, r, yb - ya AS dy, x1 + (ya - y1) * m AS xa, x1 + (yb - y1) * m AS xb, unnest(range(0, size)) AS c FROM s),
+        i AS (SELECT vec_id, size, r, c, sum(CASE WHEN abs(xb - xa) < 1e-7 THEN greatest(0, least(1, c + 1 - (xa + xb) / 2)) * dy ELSE (({g("(c + 1 - xa)")}) - ({g("(c + 1 - xb)")})) / (xb - xa) * dy END) AS v FROM t GROUP BY ALL),
+        a AS (SELECT vec_id, size, r, c, floor(round(least(1, abs(v)), 9) * 255 + 0.5)::BIGINT AS alpha, 24 / size AS q FROM i)
+        SELECT vec_id, size, count(*) AS painted_pixels, sum(alpha)::BIGINT AS alpha_sum, round(min(c) * q, 6) + 0 AS min_x, round(min(r) * q, 6) + 0 AS min_y, round((max(c) + 1) * q, 6) + 0 AS max_x, round((max(r) + 1) * q, 6) + 0 AS max_y,
+          round(sum(alpha * (c + 0.5)) / sum(alpha) * q, 6) + 0 AS x, round(sum(alpha * (r + 0.5)) / sum(alpha) * q, 6) + 0 AS y,
+          concat_ws(',', CASE WHEN min(c) = 0 THEN 'left' END, CASE WHEN max(c) = size - 1 THEN 'right' END, CASE WHEN min(r) = 0 THEN 'top' END, CASE WHEN max(r) = size - 1 THEN 'bottom' END) AS touches FROM a WHERE alpha > 1 GROUP BY vec_id, size, q"""
     o["axis_review"] = f"WITH {H0} SELECT CASE WHEN abs(learned) < 1e-9 THEN 'ZERO' WHEN abs(learned - ensemble) < 1e-9 THEN 'ACCEPT_PROPOSAL' ELSE 'OVERRIDE' END AS action, count(*) AS n FROM k WHERE learned IS NOT NULL GROUP BY 1"
     o["verification_status"] = """WITH q AS (SELECT p_size % 10 = 0 AS clip, abs(p_size % 13 - 6) > 5 AS far, p_size % 3 <> 0 AS ok, CASE WHEN p_size % 4 <> 0 THEN p_size % 5 <> 0 END AS bound FROM part),
         s AS (SELECT concat_ws(',', CASE WHEN clip THEN 'post-correction-clipping' END, CASE WHEN far THEN 'correction-out-of-range' END, CASE WHEN ok AND NOT bound THEN 'comparison-binding-mismatch' END) AS f, concat_ws(',', CASE WHEN ok AND bound IS NULL THEN 'comparison-required' END, CASE WHEN NOT ok THEN 'review-approval-required' END) AS b FROM q)

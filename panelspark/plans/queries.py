@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import has_key, key_violations
 from ..functions.numeric import js_round, r6
-from ..operators import adaptive, contracts, decide, holdout, markup, ranker, raster, votes
+from ..operators import adaptive, contracts, coverage, decide, holdout, markup, ranker, raster, votes
 from ..streaming import trials as live
 from . import facts
 
@@ -520,6 +520,18 @@ def clipping_retention(spark, d):
     return raster.shifted_retention(facts.rasters(spark, d), "vec_id")
 
 
+@query
+def outline_measures(spark, d):
+    """What outlines paint at two sizes, in units of their view."""
+    return coverage.measures(facts.outlines(spark, d), "vec_id", "rings", (0, 0, 24, 24), (16, 24))
+
+
+@query
+def outline_clipping(spark, d):
+    """What outlines lose when their view moves by half a unit to the right."""
+    return coverage.clipping(facts.outlines(spark, d), "vec_id", "rings", (0, 0, 24, 24), (0.5, 0, 24, 24), (16, 24))
+
+
 @query
 def axis_review(spark, d):
     o = F.col("outputs")
