@@ -142,18 +142,48 @@ def boundary_of(a: np.ndarray, threshold: int = PAINTED) -> list[tuple[float, fl
     return [(i + 0.5, j + 0.5) for i, j in zip(x.tolist(), y.tolist(), strict=True)]
 
 
+def component_counts(images: list[np.ndarray], threshold: int = STRUCTURE, least: int = 2) -> np.ndarray:
+    """4-connected groups of at least `least` pixels in each of several rasters of one width, in two passes.
+
+    The first finds the runs of all rows and which of them touch a run in the next row; the second joins those by union and
+    find and counts pixels by root. An empty row parts the rasters, so all of them are labelled at once.
+    """
+    width = max((a.shape[1] for a in images if a.size), default=0)
+    heights = np.array([len(a) if a.size else 0 for a in images], int)
+    on = np.zeros((int(heights.sum()) + len(images), width + 2), np.int8)
+    top = np.cumsum(heights + 1) - heights - 1
+    for a, h, at in zip(images, heights.tolist(), top.tolist(), strict=True):
+        if h:
+            on[at : at + h, 1:-1] = a > threshold
+    edge = np.diff(on, axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    wide = width + 2
+    # runs of the next row that end after this one starts and start before it ends
+    low = np.searchsorted(row * wide + end, (row + 1) * wide + start, "right")
+    high = np.searchsorted(row * wide + start, (row + 1) * wide + end, "left")
+    n = np.maximum(0, high - low)
+    upper = np.repeat(np.arange(len(row)), n)
+    lower = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[upper]
+    parent = list(range(len(row)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(upper.tolist(), lower.tolist(), strict=True):
+        i, j = root(i), root(j)
+        parent[max(i, j)] = min(i, j)
+    roots = np.array([root(i) for i in range(len(row))], int)
+    area = np.bincount(roots, end - start, len(row)) if len(row) else np.zeros(0)
+    large = np.flatnonzero(area >= least)
+    return np.bincount(np.searchsorted(top, row[large], "right") - 1, minlength=len(images))
+
+
 def component_count_of(a: np.ndarray, threshold: int = STRUCTURE, least: int = 2) -> int:
-    """4-connected groups of at least `least` pixels, by spreading the smallest number over neighbours."""
-    on = a > threshold
-    label = np.where(on, np.arange(1, a.size + 1).reshape(a.shape), 0)
-    far = a.size + 1
-    while True:
-        p = np.pad(np.where(on, label, far), 1, constant_values=far)
-        new = np.where(on, np.minimum.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]), 0)
-        if (new == label).all():
-            break
-        label = new
-    return int((np.bincount(label[on], minlength=2) >= least).sum()) if on.any() else 0
+    return int(component_counts([a], threshold, least)[0])
 
 
 def shapes(df: DataFrame, key: str, alpha: str = "alpha", width: int = 8, threshold: int = PAINTED, structure: int = STRUCTURE) -> DataFrame:
@@ -162,11 +192,12 @@ def shapes(df: DataFrame, key: str, alpha: str = "alpha", width: int = 8, thresh
 
     def run(source):
         for batch in source:
-            hull_x, hull_y, n = [], [], []
-            for values in batch.column(1).to_pylist():
-                a = np.array(values or [], int).reshape(-1, width)
+            hull_x, hull_y = [], []
+            images = [np.array(values or [], int).reshape(-1, width) for values in batch.column(1).to_pylist()]
+            n = component_counts(images, structure)
+            for a in images:
                 c = area_centre(hull_of(boundary_of(a, threshold)))
-                hull_x.append(c[0] if c else None), hull_y.append(c[1] if c else None), n.append(component_count_of(a, structure))
+                hull_x.append(c[0] if c else None), hull_y.append(c[1] if c else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hull_x, pa.float64()), pa.array(hull_y, pa.float64()), pa.array(n, pa.int32())], names=[key, "hull_x", "hull_y", "components"])
 
     return df.select(key, alpha).mapInArrow(run, f"{key} {kind}, hull_x double, hull_y double, components int")

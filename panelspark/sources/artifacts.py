@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
-import tempfile
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import key_violations
+from . import commits
 
 CANDIDATE = "struct<id: string, candidate_sha256: string, dx: double, dy: double>"
 FEATURES = "struct<proposal: double, centroid_offset: double, bearing_imbalance: double, extent: double, orthogonal_extent: double, components: int>"
@@ -29,17 +27,37 @@ def read_json(spark: SparkSession, paths, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
 
 
+def _parsed(lines: DataFrame, schema: str, keys: list[str]) -> DataFrame:
+    """Lines that aren't blank as rows, with the codes that each breaks (unparsed, unknown-key, missing-key)."""
+    parsed = lines.where(F.trim(F.regexp_replace("value", r"[\r\t]", "")) != "").withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
+    unknown, missing = key_violations(F.col("value"), keys)
+    bad = F.json_object_keys("value").isNull()
+    codes = F.filter(F.array(F.when(bad, F.lit("unparsed")), F.when(~bad & (F.size(unknown) > 0), F.lit("unknown-key")), F.when(~bad & (F.size(missing) > 0), F.lit("missing-key"))), lambda c: c.isNotNull())
+    return parsed.withColumn("violations", codes)
+
+
 def read_jsonl(spark: SparkSession, paths, schema: str, keys: list[str]) -> DataFrame:
     """JSON lines with a closed key set: the schema's columns, path, and violations (unparsed, unknown-key, missing-key).
 
     Lines are read as text first, as JSON readers pass over unknown keys in silence. Blank lines are skipped; LF and CRLF end a line.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path")).where(F.trim(F.regexp_replace("value", r"[\r\t]", "")) != "")
-    parsed = lines.withColumn("row", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    unknown, missing = key_violations(F.col("value"), keys)
-    bad = F.json_object_keys("value").isNull()
-    codes = F.filter(F.array(F.when(bad, F.lit("unparsed")), F.when(~bad & (F.size(unknown) > 0), F.lit("unknown-key")), F.when(~bad & (F.size(missing) > 0), F.lit("missing-key"))), lambda c: c.isNotNull())
-    return parsed.select("row.*", "path", codes.alias("violations"))
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    return _parsed(lines, schema, keys).select("row.*", "path", "violations")
+
+
+def line_errors(spark: SparkSession, paths, schema: str, keys: list[str]) -> DataFrame:
+    """path, line (from 1, blank ones counted) and code of everything that read_jsonl finds wrong, for files of any number of splits.
+
+    A line's place in its split follows from row ids, which grow within a split by one; the lines of the splits before it are
+    counted in a scan without texts. Only broken lines are joined with these counts.
+    """
+    place = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    text = spark.read.text(paths)
+    splits = text.select(*place).groupBy("path", "split").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("path", "split", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    broken = _parsed(text.select("value", *place), schema, keys).where(F.size("violations") > 0).select("path", "split", "id", "violations")
+    return broken.join(before, ["path", "split"]).select("path", (F.col("id") + F.col("shift")).alias("line"), F.explode("violations").alias("code"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -80,18 +98,29 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(path)
 
 
+#: How many rows a report may have; more belong into a table.
+REPORT_ROWS = 10_000
+
+
+def _small(df: DataFrame) -> list:
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report of more than {REPORT_ROWS} rows")
+    return rows
+
+
 def markdown(df: DataFrame) -> str:
     """A small report as a Markdown table."""
-    rows = df.collect()
+    rows = _small(df)
     head = "| " + " | ".join(df.columns) + " |\n| " + " | ".join("---" for _ in df.columns) + " |"
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
 
 
 def write_report(df: DataFrame, path: str | None) -> str:
-    """A small result as JSON or, by its extension, Markdown; to the caller alone without a path."""
-    body = markdown(df) if path and path.lower().endswith((".md", ".markdown")) else json.dumps([r.asDict(recursive=True) for r in df.collect()], indent=2, default=str) + "\n"
+    """A result of at most REPORT_ROWS rows as JSON or, by its extension, Markdown; to the caller alone without a path."""
+    body = markdown(df) if path and path.lower().endswith((".md", ".markdown")) else json.dumps([r.asDict(recursive=True) for r in _small(df)], indent=2, default=str) + "\n"
     if path:
-        atomic_write(path, body.encode())
+        commits.put(df.sparkSession, path, body.encode())
     return body
 
 
@@ -102,42 +131,3 @@ def same_file(a: str, b: str) -> bool:
 def guard_output(inputs: list[str], output: str) -> None:
     if any(same_file(i, output) for i in inputs):
         raise ValueError("output would overwrite an input")
-
-
-def atomic_write(path: str, body: bytes) -> None:
-    """Whole or not at all: a private file beside the target, synced, then renamed."""
-    fd, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)), prefix=".part-")
-    try:
-        with os.fdopen(fd, "wb") as f:
-            f.write(body)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(temporary, path)
-    except BaseException:
-        Path(temporary).unlink(missing_ok=True)
-        raise
-
-
-def backup(path: str) -> str:
-    """A copy under the first free name of path.bak, path.bak.1, ...; never over an existing file."""
-    body, n = Path(path).read_bytes(), 0
-    while True:
-        name = f"{path}.bak" + (f".{n}" if n else "")
-        try:
-            with open(name, "xb") as f:
-                f.write(body)
-            return name
-        except FileExistsError:
-            n += 1
-
-
-def replace_checked(path: str, body: bytes, expected_sha256: str) -> str:
-    """Replace a file only while it still is what it was when read; returns the backup's name."""
-    digest = lambda: hashlib.sha256(Path(path).read_bytes()).hexdigest()
-    if digest() != expected_sha256:
-        raise ValueError("file changed since it was read")
-    kept = backup(path)
-    if digest() != expected_sha256:
-        raise ValueError("file changed while it was backed up")
-    atomic_write(path, body)
-    return kept

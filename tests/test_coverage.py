@@ -1,4 +1,4 @@
-"""Areas that polygons cover, against supersampling, closed forms and the measures of rasters."""
+"""Areas that polygons cover, against supersampling, closed forms and the measures of rasters; components by spreading."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -94,3 +94,43 @@ def test_clipping_by_side_and_by_lost_alpha(spark):
     assert by[1, 8] == (1.0, "", "") and by[2, 16] == (0.75, "left,raster-loss", "left") and by[4, 8] == (1.0, "", "")
     assert by[3, 8][1] == "left" and 0.95 < by[3, 8][0] < 1 and by[5, 8] == (1.0, "", "bottom")
     assert got.agg(F.count(F.lit(1))).first()[0] == 10
+
+
+def spread_count(a, threshold, least):
+    """The same by spreading from every pixel."""
+    left = {(y, x) for y, x in zip(*np.nonzero(a > threshold), strict=True)}
+    n = 0
+    while left:
+        todo, seen = [left.pop()], 1
+        while todo:
+            y, x = todo.pop()
+            for q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                if q in left:
+                    left.remove(q)
+                    todo.append(q)
+                    seen += 1
+        n += seen >= least
+    return n
+
+
+def test_components_of_many_rasters_at_once():
+    rng = np.random.default_rng(6)
+    images = [(rng.random((int(rng.integers(0, 20)), 13)) < rng.uniform(0.2, 0.8)) * 255 for _ in range(200)] + [np.zeros((0, 13)), np.full((5, 13), 255)]
+    got = raster.component_counts(images)
+    assert got.tolist() == [spread_count(a, raster.STRUCTURE, 2) for a in images]
+    assert raster.component_counts([]).tolist() == [] and raster.component_count_of(np.zeros((0, 8))) == 0
+    spiral = np.zeros((128, 128), int)
+    y, x, dy, dx = 0, 0, 0, 1
+    spiral[0, 0] = 255
+    free = lambda y, x: 0 <= y < 128 and 0 <= x < 128 and not spiral[y, x]
+    for _ in range(128 * 128):
+        ahead = 0 <= y + dy < 128 and 0 <= x + dx < 128 and free(y + dy, x + dx)
+        beyond = not (0 <= y + 2 * dy < 128 and 0 <= x + 2 * dx < 128) or not spiral[y + 2 * dy, x + 2 * dx]
+        if not (ahead and beyond):
+            dy, dx = dx, -dy
+            if not free(y + dy, x + dx) or (0 <= y + 2 * dy < 128 and 0 <= x + 2 * dx < 128 and spiral[y + 2 * dy, x + 2 * dx]):
+                break
+        y, x = y + dy, x + dx
+        spiral[y, x] = 255
+    assert spiral.astype(bool).sum() > 7000 and raster.component_count_of(spiral) == 1
+    assert raster.component_count_of(255 - spiral) == spread_count(255 - spiral, raster.STRUCTURE, 2)

@@ -264,18 +264,6 @@ def test_corpus_manifest_limits_and_sinks(spark, tmp_path):
     assert artifacts.read_json(spark, str(broken), "a int").first()._corrupt_record is not None
 
 
-def test_files_are_replaced_whole_or_not_at_all(tmp_path):
-    f = tmp_path / "x"
-    f.write_bytes(b"one")
-    digest = hashlib.sha256(b"one").hexdigest()
-    assert artifacts.replace_checked(str(f), b"two", digest) == f"{f}.bak" and f.read_bytes() == b"two" and (tmp_path / "x.bak").read_bytes() == b"one"
-    with pytest.raises(ValueError, match="changed"):
-        artifacts.replace_checked(str(f), b"three", digest)
-    assert artifacts.backup(str(f)).endswith(".bak.1") and f.read_bytes() == b"two"
-    with pytest.raises(ValueError, match="overwrite"):
-        artifacts.guard_output([str(f)], str(tmp_path / "." / "x"))
-
-
 def test_markup_source(spark, tmp_path):
     (tmp_path / "a.svg").write_text(GOOD)
     r = artifacts.read_markup(spark, str(tmp_path / "*.svg")).first()
