@@ -51,8 +51,8 @@ def _crossings(start: np.ndarray, step: np.ndarray, most: int) -> tuple[np.ndarr
     return edge, (line - start[edge]) / step[edge]
 
 
-def alpha_of_edges(edges: np.ndarray, view: View, width: int) -> np.ndarray:
-    """Alphas 0..255 of a raster of the given width; its height follows from the view."""
+def _steps(edges: np.ndarray, view: View, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where coverage changes along the rows of a raster (pixels of rows of width + 2) and by how much, and its height."""
     height = max(1, int(width * view[3] / view[2] + 0.5))
     scale = np.array([width / view[2], height / view[3]] * 2)
     a = (edges - np.array([view[0], view[1]] * 2)) * scale
@@ -72,9 +72,35 @@ def alpha_of_edges(edges: np.ndarray, view: View, width: int) -> np.ndarray:
     where = np.clip((x[e] + middle * dx[e])[inside], 0, width)
     column = np.floor(where).astype(int)
     share, wide = where - column, width + 2
-    got = np.bincount(np.concatenate([row * wide + column, row * wide + column + 1]), np.concatenate([tall * (1 - share), tall * share]), height * wide)
-    covered = np.minimum(1, np.abs(np.cumsum(got.reshape(height, wide), 1)[:, :width]))
-    return np.floor(np.round(covered, 9) * 255 + 0.5).astype(np.int32)
+    return np.concatenate([row * wide + column, row * wide + column + 1]), np.concatenate([tall * (1 - share), tall * share]), height
+
+
+def _alpha(total: np.ndarray) -> np.ndarray:
+    return np.floor(np.round(np.minimum(1, np.abs(total)), 9) * 255 + 0.5).astype(np.int32)
+
+
+def alpha_of_edges(edges: np.ndarray, view: View, width: int) -> np.ndarray:
+    """Alphas 0..255 of a raster of the given width; its height follows from the view."""
+    at, by, height = _steps(edges, view, width)
+    return _alpha(np.cumsum(np.bincount(at, by, height * (width + 2)).reshape(height, width + 2), 1)[:, :width])
+
+
+def box_of_edges(edges: np.ndarray, view: View, width: int) -> tuple[float, float, float, float] | None:
+    """The painted box of the same raster in the view's units, from the runs between changes alone; None without paint."""
+    at, by, height = _steps(edges, view, width)
+    wide = width + 2
+    places, of = np.unique(at, return_inverse=True)
+    row, start = np.divmod(places, wide)
+    total = np.cumsum(np.bincount(of, by, len(places)))
+    first = np.searchsorted(row, row, "left")
+    total = total - np.where(first > 0, total[first - 1], 0.0) if len(places) else total
+    end = np.where(np.append(row[1:] == row[:-1], False) if len(row) else np.zeros(0, bool), np.append(start[1:], width), width)
+    end = np.minimum(end, width)
+    on = (_alpha(total) > PAINTED) & (start < end)
+    if not on.any():
+        return None
+    sx, sy = view[2] / width, view[3] / height
+    return view[0] + start[on].min() * sx, view[1] + row[on].min() * sy, view[0] + end[on].max() * sx, view[1] + (row[on].max() + 1) * sy
 
 
 def rasters(df: DataFrame, key: str, rings: str, view: View, sizes: tuple[int, ...]) -> DataFrame:
@@ -148,8 +174,8 @@ def clipping(df: DataFrame, key: str, rings: str, view: View, candidate: View, s
             keys, rows = [], []
             for i, outline in enumerate(batch.column(1).to_pylist()):
                 edges = edges_of(outline)
-                box = _measure(alpha_of_edges(edges, view, reference_size(view[2])), view)[2:6]
-                out = box[0] is not None and (box[0] < candidate[0] - slack, box[2] > candidate[0] + candidate[2] + slack, box[1] < candidate[1] - slack, box[3] > candidate[1] + candidate[3] + slack)
+                box = box_of_edges(edges, view, reference_size(view[2]))
+                out = box and (box[0] < candidate[0] - slack, box[2] > candidate[0] + candidate[2] + slack, box[1] < candidate[1] - slack, box[3] > candidate[1] + candidate[3] + slack)
                 sides = [s for s, lost in zip(("left", "right", "top", "bottom"), out, strict=True) if lost] if out else []
                 seen = [(_measure(alpha_of_edges(edges, view, s), view)[1], _measure(alpha_of_edges(edges, candidate, s), candidate)) for s in sizes]
                 kept = [after[1] / before if before else 1.0 for before, after in seen]

@@ -66,6 +66,17 @@ def test_rectangles_and_holes_are_exact():
     assert [coverage.reference_size(w) for w in (8, 24, 64)] == [512, 768, 1024]
 
 
+def test_boxes_from_runs_equal_those_of_whole_rasters():
+    rng = np.random.default_rng(8)
+    for n in range(300):
+        rings = [star(rng, int(rng.integers(3, 20)), rng.uniform(-2, 14), 7.0)] + ([box(*rng.uniform(-4, 16, 4))] if n % 3 == 0 else [])
+        edges = coverage.edges_of(rings)
+        for width in (7, 40):
+            want = coverage._measure(coverage.alpha_of_edges(edges, (0, 0, 12, 9), width), (0, 0, 12, 9))[2:6]
+            assert coverage.box_of_edges(edges, (0, 0, 12, 9), width) == (None if want[0] is None else want)
+    assert coverage.box_of_edges(np.zeros((0, 4)), (0, 0, 8, 8), 8) is None
+
+
 def test_measures_agree_with_those_of_rasters(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [star(rng, 11, 4.0, 5.5)], "x", "y") for i in range(20)]
