@@ -239,3 +239,21 @@ def test_ranks_of_few_equal_and_null_keys(spark):
     got = sorted((r.place, r.k) for r in holdout.ranked(rows, "k", "place", parts=5).collect())
     assert got == [(1, None), (2, ""), (3, "a"), (4, "b"), (5, "b"), (6, "b"), (7, "c")]
     assert holdout.ranked(rows.limit(0), "k", "place").count() == 0
+
+
+def test_a_descent_on_moments_is_the_plain_one(spark):
+    rng = np.random.default_rng(3)
+    # one key holds most rows; one has too few, one no variance
+    keys = ["a"] * 900 + ["b"] * 80 + ["few"] * 4 + ["flat"] * 9 + [None] * 30
+    x = rng.normal(size=(len(keys), 3))
+    x[984:993] = 0.5
+    y = rng.integers(0, 2, len(keys)).astype(float)
+    w = rng.random(len(keys)) + 0.1
+    rows = spark.createDataFrame([(k, a.tolist(), float(t), float(v)) for k, a, t, v in zip(keys, x, y, w, strict=True)] * 2, "k string, x array<double>, target double, weight double")
+    got = {r.k: r.weights for r in ranker.fit(rows.repartition(5), ["k"]).collect()}
+    assert set(got) == {"a", "b", "few", "flat", None} and got["flat"] is None and got["few"] is not None
+    for k, part in (("a", slice(0, 900)), ("b", slice(900, 980)), (None, slice(993, None))):
+        assert got[k] == pytest.approx(descend(x[part], y[part], w[part]), abs=1e-9)
+    assert ranker.fit(rows.limit(0), ["k"]).count() == 0
+    with pytest.raises(ValueError, match="groups"):
+        ranker.fit(rows, ["k"], most_groups=2)
