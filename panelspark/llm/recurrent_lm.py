@@ -5,7 +5,7 @@ of equal size, each with its own softmax over its words. All other words stand i
 last character); inside those, a word's share comes from its discounted count in the training documents, and what the discount
 frees is the share of all words that they lack, which are one token, as in the unigram model. The recurrent part is trained by truncated backpropagation in
 numpy on every token of every training row, copies included: tasks train from common parameters on their own rows, and the
-parameters are averaged by tokens after each of a few rounds, which share out the rows. Nothing of the corpus goes to the
+parameters are averaged by tokens after each of a few rounds, which share out the rows, in the same way at every size. Nothing of the corpus goes to the
 driver. Scoring carries the state across windows from a document's first token to its last.
 
 The vocabulary is never broadcast whole: its head is (a fixed number of words), and each document's other words meet their
@@ -248,28 +248,28 @@ class Net:
             held[i].append(d)
             heapq.heappush(heap, (n + len(docs[d]), i))
         held.sort(key=lambda ds: -sum(len(docs[d]) for d in ds))
-        size = [sum(len(docs[d]) for d in ds) for ds in held]
-        y = np.full((size[0], len(held)), -1, np.int32)
-        of = np.zeros_like(y)
-        for i, ds in enumerate(held):
-            y[: size[i], i] = np.concatenate([docs[d] for d in ds])
-            of[: size[i], i] = np.repeat(ds, [len(docs[d]) for d in ds])
-        x = np.concatenate([np.zeros((1, len(held)), np.int32), y[:-1]])
-        active = np.searchsorted(-np.array(size), -np.arange(1, size[0] + 1), side="right")
+        size = np.array([sum(len(docs[d]) for d in ds) for ds in held])
+        # lanes end to end: a step takes one token of each that still goes, so memory is the ids and one window, however long a lane
+        order = np.array([d for ds in held for d in ds])
+        flat = np.concatenate([docs[d] for d in order])
+        ends = np.cumsum([len(docs[d]) for d in order])
+        first = np.cumsum(size) - size
         h = np.zeros((len(held), self.hidden), np.float32)
-        for a in range(0, len(y), window):
-            states, targets, owner = [], [], []
-            for i in range(a, min(a + window, len(y))):
-                k = int(active[i])
-                row = x[i, :k]
+        for a in range(0, int(size[0]), window):
+            states, places = [], []
+            for i in range(a, min(a + window, int(size[0]))):
+                k = int(np.searchsorted(-size, -i))  # sizes fall
+                at = first[:k] + i
+                row = flat[at - 1] if i else np.zeros(k, np.int32)
                 h = h[:k]
                 fresh = row == 0
                 if fresh.any():
                     h = np.where(fresh[:, None], np.float32(0), h)
                 h = self.step(row, h)[0]
-                states.append(h), targets.append(y[i, :k]), owner.append(of[i, :k])
-            lp = self.log_p(np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate(owner), weights=lp, minlength=len(docs))
+                states.append(h), places.append(at)
+            at = np.concatenate(places)
+            lp = self.log_p(np.concatenate(states), flat[at])
+            out += np.bincount(order[np.searchsorted(ends, at, side="right")], weights=lp, minlength=len(docs))
         return out
 
 
@@ -277,33 +277,37 @@ class Net:
 
 ROUND_OF = (0, 4, 2, 4, 3, 4, 3, 4, 1, 4, 2, 4, 3, 4, 3, 4)  # of every 16 rows of a task; models part little in the first rounds
 ENDS = (0.0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0)
-CHUNKS = 64
+CHUNKS, FAN = 64, 64
 
 
 def fit(net: Net, encoded: DataFrame, n: int, train_tokens: int, task_tokens: int = 2_000_000, buffer_tokens: int = 1_000_000) -> int:
     """Trains net on all rows of encoded(ids, round) and returns how many tokens that were, repetitions not counted.
 
-    n tokens in all: about task_tokens of them a task. Up to task_tokens there is one task, which goes through its rows
-    again up to train_tokens. A task holds buffer_tokens and a document of ids at once, the driver one set of parameters.
+    n tokens in all: about task_tokens of them a task. Every size goes through the same rounds; a buffer's rows are gone
+    through train_tokens / n times in its round, and once from train_tokens on. Adam's moments start anew with each buffer,
+    whose steps sweep its round's span of rates. Parameters are averaged in levels of FAN tasks, so no task takes more than
+    FAN parts however many trained. A task holds buffer_tokens and a document of ids at once, the driver one set of parameters.
     """
     kinds = [(k, x.shape, x.size) for k, x in net.p.items()]
     tasks = max(1, -(-n // task_tokens))
-    again = max(1.0, train_tokens / max(1, n)) if tasks == 1 else 1.0
+    again = max(1.0, train_tokens / max(1, n))
     trained = 0
-    for k in range(len(ENDS) - 1) if tasks > 1 else [None]:
-        span = (0.0, 1.0) if k is None else (ENDS[k], ENDS[k + 1])
+    for k in range(len(ENDS) - 1):
+        span = (ENDS[k], ENDS[k + 1])
 
         def run(source, net=net, span=span):
+            from pyspark import TaskContext
+
             held, size, seen = [], 0, 0
 
             def learn():
-                net.train(held, int(size * again), lanes=48 if tasks == 1 else min(256, max(48, size // 4000)), span=span)
+                net.train(held, int(size * again), lanes=min(256, max(48, size // 4000)), span=span)
 
             for batch in source:
                 for raw in batch.column(0).to_pylist():
                     held.append(np.frombuffer(raw, np.int32))
                     size += len(held[-1])
-                    if size >= buffer_tokens and tasks > 1:
+                    if size >= buffer_tokens:
                         learn()
                         seen, held, size = seen + size, [], 0
             if held:
@@ -312,16 +316,21 @@ def fit(net: Net, encoded: DataFrame, n: int, train_tokens: int, task_tokens: in
             if seen:
                 flat = np.concatenate([x.ravel() for x in net.p.values()])
                 parts = [x.tobytes() for x in np.array_split(flat, CHUNKS)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "tokens", "part"])
+                task = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([task] * CHUNKS, pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array([seen] * CHUNKS, pa.int64()), pa.array(parts, pa.binary())], names=["task", "chunk", "tokens", "part"])
 
         def mean(rows: pa.Table) -> pa.Table:
             w = rows["tokens"].to_numpy().astype(float)
             total = sum(a * np.frombuffer(x, np.float32) for a, x in zip(w / w.sum(), rows["part"].to_pylist(), strict=True))
-            return pa.table([rows["chunk"][:1], pa.array([int(w.sum())], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["chunk", "tokens", "part"])
-
-        mine = encoded if k is None else encoded.where(F.col("round") == k)
-        schema = "chunk int, tokens long, part binary"
-        got = sorted(mine.select("ids").coalesce(tasks).mapInArrow(run, schema).groupBy("chunk").applyInArrow(mean, schema).collect())
+            return pa.table([rows["task"][:1], rows["chunk"][:1], pa.array([int(w.sum())], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["task", "chunk", "tokens", "part"])
+
+        schema = "task int, chunk int, tokens long, part binary"
+        parts, width = encoded.where(F.col("round") == k).select("ids").coalesce(tasks).mapInArrow(run, schema), tasks
+        while True:
+            parts, width = parts.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("chunk", "task").applyInArrow(mean, schema), -(-width // FAN)
+            if width == 1:
+                break
+        got = sorted(parts.drop("task").collect())
         if got:
             trained += got[0]["tokens"]
             flat, at = np.frombuffer(b"".join(r["part"] for r in got), np.float32), 0
@@ -340,7 +349,7 @@ def score_documents(docs: DataFrame, training, net_words: int = 2047, class_size
     training: a condition on docs that says which rows the model learns from. Tokens are words (lower-cased A-Z, split at
     ASCII white space) and one end a text; null texts are empty. n_known counts tokens that training rows hold, base_score
     is the unigram model with 0.1 added, score the model's. The recurrent part is trained on all training rows; where they
-    hold less than train_tokens, they are gone through several times. head_words and net_words bound what is broadcast. Rows are scored one by one, repeated ones alike; with no training row every
+    hold less than train_tokens, each round's rows are gone through several times. head_words and net_words bound what is broadcast. Rows are scored one by one, repeated ones alike; with no training row every
     token is unknown. An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()

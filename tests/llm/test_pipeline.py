@@ -204,6 +204,37 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert np.allclose(net.score([np.array(d, np.int32) for d in docs], lanes=2, window=7), alone, atol=1e-3)
 
 
+def test_a_very_long_text_is_scored_by_windows():
+    import tracemalloc
+
+    import numpy as np
+
+    net = recurrent_lm.Net(np.array([5.0, 9, 4, 3, 2]), np.ones(recurrent_lm.SHAPES), 2, 8)
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1, 5, n).astype(np.int32) for n in (20_000, *[30] * 300)]
+    tracemalloc.start()
+    got = net.score(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000 and np.isfinite(got).all() and (got < 0).all()  # a grid of 256 lanes took 61 MB
+    assert abs(got[0] - net.score(docs[:1])[0]) < 0.5
+
+
+def test_averages_in_levels_are_those_of_one(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(0, 5, 40).astype(np.int32).tobytes(), i % 5) for i in range(200)]
+    df = spark.createDataFrame(rows, "ids binary, round int").repartition(9).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.createDataFrame(rows, "ids binary, round int")
+    got = []
+    for fan in (64, 2):
+        monkeypatch.setattr(recurrent_lm, "FAN", fan)
+        net = recurrent_lm.Net(np.array([5.0, 9, 4, 3, 2]), np.ones(recurrent_lm.SHAPES), 2, 8)
+        assert recurrent_lm.fit(net, df, 8000, 1, task_tokens=900) == 8000
+        got.append(net.p)
+    assert all(np.allclose(got[0][k], got[1][k], atol=1e-4) for k in got[0])
+
+
 def test_gradients():
     import numpy as np
 
