@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, keep, mix64, seeds64
+from .common import _powers, forget, keep, mix64, seeds64
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -220,9 +220,13 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = 4, co
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 4, coverage: float = 0.5, block_chars: int = 16_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows that hold no benchmark item, with all their columns; each goes by its own text, whatever its id."""
+    """The rows that hold no benchmark item, with all their columns; each goes by its own text, whatever its id.
+
+    Each block of the benchmark reads the rows that the one before left; their files go once the next ones stand, so there
+    are at most two copies at any time.
+    """
     at = docs.columns.index(text_col)
-    left = docs
+    left, last = docs, None
     for b, items in enumerate(blocks_of(benchmark, least, block_chars, item_col, item_text)):
 
         def run(source, items=items):
@@ -234,5 +238,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 4, cov
                         clean[h[0]] = clean[h[0]] and h[2] < coverage
                     yield part.filter(pa.array(clean, pa.bool_()))
 
-        left = (keep(left) if b else left).mapInArrow(run, docs.schema)  # one block of items at once in a task
+        if b:  # one block of items at once in a task
+            left = keep(left)
+            if last is not None:
+                forget(last)
+            last = left
+        left = left.mapInArrow(run, docs.schema)
     return left

@@ -243,3 +243,27 @@ def test_decontamination_in_blocks_and_of_hot_seeds(spark):
     want = {(d, i) for d, t in docs if d != 100 for i, u in dict(items).items() if u and t and tiles_by_hand(decontaminate.tokens(u), decontaminate.tokens(t), 4) >= 0.5 * len(decontaminate.tokens(u))}
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(df, bench).collect()} == want
     assert decontaminate.contaminated_pairs(df, bench.limit(0)).count() == 0
+
+
+def test_blocks_leave_at_most_two_copies(spark, monkeypatch):
+    import os
+
+    from panelspark.llm.common import shared_folder
+
+    at = shared_folder(spark).removeprefix("file:")
+    folders = lambda: {f for f in os.listdir(at) if f.startswith("rdd-")}
+    before, most = folders(), []
+    keep = decontaminate.keep
+
+    def spy(df):
+        out = keep(df)
+        most.append(len(folders() - before))
+        return out
+
+    monkeypatch.setattr(decontaminate, "keep", spy)
+    df = spark.createDataFrame([(i, f"some words of text number{i} and more") for i in range(60)], "doc_id long, text string")
+    bench = df.where("doc_id < 40").selectExpr("doc_id AS item_id", "text")
+    left = decontaminate.drop_contaminated(df, bench, block_chars=200)
+    want = {d for d in range(60) if not any(tiles_by_hand(decontaminate.tokens(f"some words of text number{i} and more"), decontaminate.tokens(f"some words of text number{d} and more"), 4) >= 3.5 for i in range(40))}
+    assert {r.doc_id for r in left.collect()} == want
+    assert len(most) > 3 and max(most) == 2 and len(folders() - before) == 1
