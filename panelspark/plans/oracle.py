@@ -40,6 +40,30 @@ g_{mode} AS (SELECT 0::BIGINT AS i, list_transform(range(least(5, (SELECT count(
 a_{mode} AS (SELECT o.unit, o.weight, g.fold::INTEGER AS fold, len(g.load)::INTEGER AS effective_folds, CASE WHEN o.n >= 5 THEN 'READY' ELSE 'LIMITED' END AS status FROM o_{mode} o JOIN g_{mode} g USING (i) WHERE len(g.load) >= 2)"""
 
 
+def artifact_chain() -> str:
+    shown = lambda *fields: " || ".join(f"coalesce(length(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields)
+    whole = lambda f, n: f"round({f} * 1e{n})::BIGINT"
+    kinds = {  # rows, the fields that stay, the one that is edited, and as what
+        "votes": ("v", ["user_id", "k"], "vote", "CASE WHEN user_id % 50 = 7 THEN 'tie' ELSE vote END"),
+        "pairs": ("p", ["k", "candidate1", "candidate2", "abstain"], "tie", "tie + (k % 10 = 3)::INT"),
+        "weights": ("w", ["k"], whole("weight", 6), f"{whole('weight', 6)} + (k % 10 = 4)::INT"),
+        "folds": ("a_family", ["unit"], "fold", "fold + (unit = '0')::INT"),
+        "ranker": ("m", ["axis", whole("w0", 3), whole("w1", 3)], whole("w2", 3), f"{whole('w2', 3)} + (axis = 'x')::INT"),
+        "losses": ("ll", ["model", "eligible_pairs", whole("winner_accuracy", 4)], "winner_pairs", "winner_pairs + (model = 'zero')::INT"),
+    }
+    digest = lambda t: "sha256(concat_ws('|', count(*), " + ", ".join(f"coalesce(sum(('0x' || substr(sha256({t}), {at}, 15))::BIGINT), 0)" for at in (1, 16, 31, 46)) + "))"
+    each = " UNION ALL ".join(f"SELECT {i} AS level, '{kind}' AS kind, {digest(shown(*keep, a))} AS own, {digest(shown(*keep, b))} AS other FROM {rows}" for i, (kind, (rows, keep, a, b)) in enumerate(kinds.items()))
+    edits = ", ".join(f"('{k}')" for k in [*kinds, "none"])
+    link = lambda own: f"sha256({{below}} || '|' || z.kind || '|' || {own})"
+    now = "CASE WHEN z.edit = z.kind THEN z.other ELSE z.own END"
+    return f"""WITH RECURSIVE {B}, {folds('family')}, {descent("SELECT axis, x0, x1, x2, target, weight FROM x WHERE eligible", "axis")}, ll AS ({LOSSES.format(keys="", d=6, rows="l")}),
+        d AS MATERIALIZED ({each}), z AS MATERIALIZED (SELECT d.*, e.edit FROM d, (VALUES {edits}) e(edit)),
+        s AS (SELECT level, kind, edit, {link('z.own').format(below="''")} AS seal, {link(now).format(below="''")} AS found, own <> {now} AS bad FROM z WHERE level = 0
+          UNION ALL SELECT z.level, z.kind, z.edit, {link('z.own').format(below='s.seal')}, {link(now).format(below='s.found')}, z.own <> {now} FROM s JOIN z ON z.edit = s.edit AND z.level = s.level + 1)
+        SELECT edit, level::INTEGER AS level, kind, CASE WHEN bad THEN 'edited' WHEN seal <> found THEN 'rests-on-edited' ELSE 'whole' END AS status,
+          max(kind) FILTER (WHERE bad) OVER (PARTITION BY edit) AS first_edited, seal FROM s"""
+
+
 def descent(examples: str, keys: str) -> str:
     """1,500 steps of gradient descent; examples has keys, x0, x1, x2, target, weight."""
     on = " AND ".join(f"e.{k} = g.{k}" for k in keys.split(", "))
@@ -187,6 +211,7 @@ def oracle() -> dict[str, str]:
     part = "(SELECT p_brand AS family, p_type AS \"group\" FROM part)"
     o["fd_conflicts"] = f"WITH {F} " + " UNION ALL ".join([fd("f", "k", "source_no"), fd("f", "source_no", "k"), fd("f", "source_no", "family_no"), fd("f", "family_no", "source_no"), fd(part, "family", '"group"').replace("'family->\"group\"'", "'family->group'"), fd(part, '"group"', "family").replace("'\"group\"->family'", "'group->family'")])
     o["artifact_revalidation"] = f"WITH {P} SELECT s.side, count(*) FILTER (WHERE k % 10 = 3) AS n FROM p, (VALUES ('stored'), ('recomputed')) s(side) GROUP BY s.side HAVING count(*) FILTER (WHERE k % 10 = 3) > 0"
+    o["artifact_chain"] = artifact_chain()
     o["exact_rounding"] = "SELECT p_partkey, round(p_retailprice / 7, 4) AS seventh, round(-p_retailprice / 3, 6) AS third FROM part"
     o["duplicate_votes"] = f"WITH {F} SELECT user_id, k, count(*) AS n_votes FROM vv GROUP BY ALL HAVING count(*) > 1"
     o["pair_votes"] = f"""WITH {P} SELECT k, source_no, family_no, group_no, axis, left_pct, right_pct, proposal_pct, candidate1, candidate2, tie, abstain, decisive, total,

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import has_key, key_violations
+from ..functions.lineage import fixed, has_key, key_violations
 from ..functions.numeric import js_round, r6
-from ..operators import adaptive, contracts, coverage, decide, holdout, markup, ranker, raster, votes
+from ..operators import adaptive, chain, contracts, coverage, decide, holdout, markup, ranker, raster, votes
 from ..streaming import trials as live
 from . import facts
 
@@ -61,6 +61,35 @@ def artifact_revalidation(spark, d):
     return contracts.differences(tampered, stored).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
+ARTIFACTS = ["votes", "pairs", "weights", "folds", "ranker", "losses"]
+
+
+def _artifact_levels(spark, d):
+    """Each kind's digest as recorded and, in "other", with one field of some rows edited."""
+    c, text = F.col, chain.row_text
+    w = facts.weighted(spark, d)
+    edit = lambda field, where: F.when(where, field + 1).otherwise(field)
+    ranks = [fixed(F.get("weights", F.lit(i)), 3).cast("long") for i in range(3)]
+    told = ranker.losses(_baselines_long(spark, d), [])
+    fields = {
+        "votes": (facts.unique_votes(spark, d), [c("user_id"), c("k")], c("vote"), F.when(c("user_id") % 50 == 7, "tie").otherwise(c("vote"))),
+        "pairs": (w, [c("k"), c("candidate1"), c("candidate2"), c("abstain")], c("tie"), edit(c("tie"), c("k") % 10 == 3)),
+        "weights": (w, [c("k")], fixed(c("weight"), 6), edit(fixed(c("weight"), 6).cast("long"), c("k") % 10 == 4)),
+        "folds": (votes.assign_folds(w, "family"), [c("unit")], c("fold"), edit(c("fold"), c("unit") == "0")),
+        "ranker": (ranker.fit(w.where("eligible"), ["axis"]), [c("axis"), *ranks[:2]], ranks[2], edit(ranks[2], c("axis") == "x")),
+        "losses": (told, [c("model"), c("eligible_pairs"), fixed(c("winner_accuracy"), 4)], c("winner_pairs"), edit(c("winner_pairs"), c("model") == "zero")),
+    }
+    return chain.union([chain.level(kind, i, fields[kind][0], own=text(*fields[kind][1], fields[kind][2]), other=text(*fields[kind][1], fields[kind][3])) for i, kind in enumerate(ARTIFACTS)])
+
+
+@query
+def artifact_chain(spark, d):
+    """Six kinds of artifacts, made of each other; in turn one field of each is edited, and the chain names the level."""
+    rows = _artifact_levels(spark, d).select("*", F.explode(F.array(*[F.lit(k) for k in [*ARTIFACTS, "none"]])).alias("edit"))
+    rows = rows.withColumn("found", F.when(F.col("edit") == F.col("kind"), F.col("other")).otherwise(F.col("own")))
+    return chain.revalidate(chain.seal(rows, ARTIFACTS, ["edit"], carry=("found",)), ARTIFACTS, ["edit"])
+
+
 @query
 def exact_rounding(spark, d):
     return facts.table(spark, d, "part").select("p_partkey", js_round(F.col("p_retailprice") / 7, 4).alias("seventh"), js_round(-F.col("p_retailprice") / 3, 6).alias("third"))
