@@ -93,8 +93,8 @@ def fit(examples: DataFrame, keys: list[str], iterations: int = 1500, rate: floa
 
     examples: x array(3), target, weight. A pass over the examples sums, for each group, the moments that its gradient's Taylor
     series at the present weights needs (some 2,000 numbers, whatever the rows); from them follow all steps while no example's
-    score moves by more than RADIUS, with gradients exact to 1e-12. Then comes the next pass, from the weights so reached: about
-    ten passes in place of 1,500. Each makes at least one step, so there are never more than iterations. Sums are combined in
+    score moves by more than RADIUS, with gradients exact to 1e-12. Then comes the next pass, from the weights so reached. The further
+    scores move the more passes there are (one for the votes by axis of sf0.01); each makes at least one step. Sums are combined in
     tasks before they are shuffled, so a group that holds most rows is spread over all of them.
 
     Fits at once, as later steps read the weights only; more than most_groups groups are refused. No examples, no rows; x must not be null.
