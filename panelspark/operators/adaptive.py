@@ -257,24 +257,104 @@ class Loop:
         return out
 
 
+class Panel:
+    """The policy of Loop for many raters at once: posteriors are rows of one matrix a study's axis, a step is a few products.
+
+    A pair of values is scored once, whichever way and under whichever condition it is shown, so trials that the policy
+    can't tell apart have the same score to the last bit; places are in order of the hash that decides between those.
+    """
+
+    def __init__(self, pool: list[dict], most: int):
+        self.pool = sorted((t for t in pool if t["axis"] in ("x", "y")), key=lambda t: (t["tie_break"], t["trial_id"]))
+        self.most = most
+        conditions = {c: i for i, c in enumerate(sorted({(t["size"], t["theme"]) for t in self.pool}))}
+        self.conditions = np.array([conditions[t["size"], t["theme"]] for t in self.pool], int)
+        self.n_conditions = len(conditions)
+        self.axis = np.array(["xy".index(t["axis"]) for t in self.pool], int)
+        a, b = (np.array([t[side] for t in self.pool], float) for side in "ab")
+        self.p = _log_choice(a, b)
+        self.groups = []  # by axis: places, each one's pair of values, chances, what they leave open, middles
+        for axis in range(2):
+            at = np.flatnonzero(self.axis == axis)
+            if len(at):
+                values, pair = np.unique(np.stack([np.minimum(a, b)[at], np.maximum(a, b)[at]]), axis=1, return_inverse=True)
+                chances = _log_choice(values[0], values[1])
+                self.groups.append((axis, at, pair.ravel(), chances.reshape(-1, GRID).T, -(chances * np.log(chances)).sum(1).T, values.sum(0) / 2))
+
+    def next(self, post: np.ndarray, seen: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Each rater's next place; post: raters, axes, grid; seen: raters, conditions; used: raters, places."""
+        mu = -5 + np.arange(GRID) / 10
+        score = np.empty(used.shape)
+        for axis, at, pair, chances, inner, middle in self.groups:
+            w = post[:, axis]
+            predictive = (w @ chances).reshape(len(w), -1, 3)
+            gain = -(predictive * np.log(predictive)).sum(2) - w @ inner
+            score[:, at] = gain[:, pair] - seen[:, self.conditions[at]] * 0.003 - np.abs(middle - (w @ mu)[:, None])[:, pair] * 0.02
+        return np.where(used, -np.inf, np.round(score, 12)).argmax(1)
+
+    def replay(self, choices: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places by rater and step, and how many of them were shown; choices: codes of A, B, TIE and ABSTAIN by rater and step."""
+        n = len(lengths)
+        post, seen, used = np.full((n, 2, GRID), 1 / GRID), np.zeros((n, self.n_conditions)), np.zeros((n, len(self.pool)), bool)
+        places, shown = np.zeros((n, self.most), int), np.zeros(n, int)
+        for step in range(self.most if self.pool else 0):
+            repeat = step == self.most - 1
+            who = np.flatnonzero(lengths > step)
+            if not len(who) or (step >= len(self.pool) and not repeat):
+                break
+            place = places[who, 0] if repeat else self.next(post[who], seen[who], used[who])
+            told = choices[who, step] < 3
+            asked, at, row = who[told], place[told], choices[who[told], step]
+            w = post[asked, self.axis[at]] * self.p[at, np.where(repeat & (row < 2), 1 - row, row)]  # the closing repeat is shown the other way round
+            total = w.sum(1, keepdims=True)
+            post[asked, self.axis[at]] = w / np.where(total == 0, 1, total)
+            seen[who, self.conditions[place]] += 1
+            used[who, place] = True
+            places[who, step] = place
+            shown[who] = step + 1
+        return places, shown
+
+
 REPLAY = "rater string, step int, trial_id string, repeat_of string, axis string, a double, b double, choice string"
 
 
 def replay(answers: DataFrame, pool: list[dict], most: int = 16, rater: str = "rater", order: str = "position") -> DataFrame:
     """Every rater's sequence re-run through the policy; pool is a study's trials (bounded by contract).
 
-    order is any column that sorts, a struct too where times alone may tie.
+    order is any column that sorts, a struct too where times alone may tie. A rater's answers are gathered by the shuffle
+    that orders them; Arrow batches of many raters go through the policy together.
     """
-    import pandas as pd
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_n")
-        rows = Loop(pool, most).replay(group["choice"].tolist()[:most])
-        out = pd.DataFrame(rows, columns=["step", "trial_id", "repeat_of", "axis", "a", "b", "choice"])
-        out.insert(0, "rater", str(group[rater].iloc[0]))
-        return out
+    def run(source):
+        import pyarrow.compute as pc
 
-    # answers past a study's length can't be shown: they go before the shuffle gathers a rater
+        policy = Panel(pool, most)
+        kept = policy.pool
+        ids, repeats, axes = (pa.array([t[c] for t in kept], pa.string()) for c in ("trial_id", "repeat_id", "axis"))
+        a, b = (np.array([t[c] for t in kept], float) for c in "ab")
+        for batch in source:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                said, length = part.column(1).flatten(), np.diff(part.column(1).offsets.to_numpy())
+                code = pc.index_in(said, pa.array([*Loop.CHOICE, "ABSTAIN"]))
+                if code.null_count:
+                    raise ValueError("an answer that is none of A, B, TIE and ABSTAIN")
+                step = np.arange(len(said)) - np.repeat(np.cumsum(length) - length, length)
+                who = np.repeat(np.arange(len(length)), length)
+                codes = np.full((len(length), most), 3)
+                codes[who, step] = code.to_numpy()
+                places, shown = policy.replay(codes, length)
+                real = step < shown[who]
+                who, step, said = who[real], step[real], said.filter(pa.array(real))
+                place = places[who, step]
+                closing = step == most - 1
+                trial, again = ids.take(pa.array(place)), repeats.take(pa.array(place))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0).take(pa.array(who)), pa.array(step.astype(np.int32)), pc.if_else(pa.array(closing), again, trial), pc.if_else(pa.array(closing), trial, pa.scalar(None, pa.string())), axes.take(pa.array(place)),
+                    pa.array(np.where(closing, b[place], a[place])), pa.array(np.where(closing, a[place], b[place])), said,
+                ], names=[c.split()[0] for c in REPLAY.split(", ")])
+
+    # answers past a study's length can't be shown: they go before a rater is gathered
     w = Window.partitionBy(rater).orderBy(order)
-    kept = answers.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select(rater, "_n", "choice")
-    return kept.groupBy(rater).applyInPandas(one, REPLAY)
+    kept = answers.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    gathered = kept.groupBy(rater).agg(F.array_sort(F.collect_list(F.struct("_n", "choice"))).alias("s"))
+    return gathered.select(F.col(rater).cast("string"), F.transform("s", lambda v: v["choice"]).alias("choices")).mapInArrow(run, REPLAY)

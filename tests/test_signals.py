@@ -46,6 +46,32 @@ def test_pool_and_replay(spark):
     assert adaptive.replay(tied, rows, 8).orderBy("rater", "step").collect() == got
 
 
+def test_many_raters_at_once_take_the_steps_of_one(spark):
+    rows = [r.asDict() for r in pool_of(spark, (-1.25, -0.75, 0.25, 0.75)).collect()]
+    rng = random.Random(5)
+    said = {f"u{i}": [rng.choice(["A", "B", "TIE", "ABSTAIN"]) for _ in range(rng.randrange(1, 12))] for i in range(150)}
+    answers = spark.createDataFrame([(r, i, c) for r, cs in said.items() for i, c in enumerate(cs)], "rater string, position long, choice string").repartition(3)
+    got = {(g.rater, g.step): g for g in adaptive.replay(answers, rows, 10).collect()}
+    want = [{"rater": r, **w} for r, cs in said.items() for w in adaptive.Loop(rows, 10).replay(cs)]
+    assert len(got) == len(want) and all(got[w["rater"], w["step"]].asDict() == w for w in want)
+    few = [r for r in rows if r["axis"] == "x"][:3]  # a pool that runs out before the closing repeat
+    assert adaptive.replay(answers, few, 10).count() == sum(len(adaptive.Loop(few, 10).replay(cs)) for cs in said.values())
+    assert adaptive.replay(answers, [], 10).count() == 0
+
+
+@pytest.mark.parametrize("many", [3000])
+def test_a_replay_starts_no_study_by_itself(many):
+    """One policy serves a batch: a rater costs a row of its matrices, not a policy of its own."""
+    pool = [{"trial_id": f"{a}{i}", "axis": a, "size": 16, "theme": "light", "a": float(i), "b": i + 1.0, "tie_break": f"{i}{a}", "repeat_id": "r"} for a in "xy" for i in range(-3, 3)]
+    policy = adaptive.Panel(pool, 8)
+    codes = np.random.default_rng(1).integers(0, 4, (many, 8))
+    places, shown = policy.replay(codes, np.full(many, 8))
+    assert (shown == 8).all() and (places[:, 7] == places[:, 0]).all() and all(len(set(p[:7])) == 7 for p in places.tolist())
+    loop = adaptive.Loop(pool, 8)
+    said = ["A", "B", "TIE", "ABSTAIN"]
+    assert [policy.pool[p]["trial_id"] for p in places[0]][:7] == [t["trial_id"] for t in loop.replay([said[c] for c in codes[0]])][:7]
+
+
 def test_stream_shows_what_the_batch_replays(spark, tmp_path):
     rows = [r.asDict() for r in pool_of(spark).collect()]
     said = simulated(rows)
