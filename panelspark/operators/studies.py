@@ -148,6 +148,9 @@ def ideal_readiness(rows: DataFrame, keys: list[str], least_raters: int = 3, lea
 
 
 def shown_mismatches(shown: DataFrame, replayed: DataFrame) -> DataFrame:
-    """Answers whose trial isn't the one that the policy shows at that step: rater, step, trial_id, expected."""
+    """Answers whose trial isn't the one that the policy shows at that step: rater, step, trial_id, expected.
+
+    Both sides grow with the answers: they meet in a shuffle, and neither goes through the driver.
+    """
     want = replayed.select("rater", "step", F.col("trial_id").alias("expected"))
-    return shown.join(want, ["rater", "step"], "left").where(~F.col("trial_id").eqNullSafe(F.col("expected"))).select("rater", "step", "trial_id", "expected")
+    return shown.hint("merge").join(want, ["rater", "step"], "left").where(~F.col("trial_id").eqNullSafe(F.col("expected"))).select("rater", "step", "trial_id", "expected")

@@ -106,3 +106,15 @@ def test_ensemble_against_a_plain_version(spark):
         assert all((a is None and b is None) or abs(a - b) < 2e-6 for a, b in zip((r.e.dx, r.e.dy), want[2:], strict=True))
         seen.add(want[:2])
     assert len(seen) >= 4
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mismatches_meet_in_a_shuffle(spark):
+    replayed = spark.createDataFrame([("u1", 0, "p"), ("u1", 1, "q"), ("u2", 0, "p")], "rater string, step int, trial_id string")
+    shown = spark.createDataFrame([("u1", 0, "p"), ("u1", 1, "z"), ("u2", 0, None), ("u3", 0, "p")], "rater string, step int, trial_id string")
+    out = studies.shown_mismatches(shown, replayed)
+    assert "Broadcast" not in plan_of(out)
+    assert {tuple(r) for r in out.collect()} == {("u1", 1, "z", "q"), ("u2", 0, None, "p"), ("u3", 0, "p", None)}
