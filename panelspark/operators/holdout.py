@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import coin, content_id, fixed, rank_code, unordered_id
 from ..functions.numeric import js_round, share, wilson_lower
-from .contracts import broken
+from .contracts import CHOICES, broken
 
 LEARNED, ENSEMBLE = "learned", "ensemble"
 BASELINES = ("zero", "centroid", "ensemble")
@@ -111,15 +111,35 @@ def blinded(rows: DataFrame) -> DataFrame:
     return rows.select("participant_id", F.sha2(F.concat_ws("|", F.lit("image"), "trial_id", F.lit("A")), 256).alias("image_a"), F.sha2(F.concat_ws("|", F.lit("image"), "trial_id", F.lit("B")), 256).alias("image_b"))
 
 
+def counted(votes: DataFrame, case: str = "case_id") -> DataFrame:
+    """One row a case: how many raters it has, and choices (an array of choice and n); a rater votes once on a case.
+
+    All trials of a case have its votes alike, so that what is counted of them needs no row a vote and trial.
+    """
+    n = lambda c: F.struct(F.lit(c).alias("choice"), F.count(F.when(F.col("choice") == c, 1)).alias("n"))
+    return votes.groupBy(case).agg(F.count("rater").alias("raters"), F.array(*map(n, CHOICES)).alias("choices"))
+
+
 def judged(rows: DataFrame, votes: DataFrame, case: str = "case_id") -> DataFrame:
-    """Each vote on a case counts for each of its trials: result is win, loss, tie or abstain of the learned policy."""
-    j = rows.join(votes, case)
+    """Each vote on a case counts for each of its trials: result is win, loss, tie or abstain of the learned policy.
+
+    votes are rows of votes, or counted() ones: then a row is a trial's result and n says how often it was given. Either side
+    grows with the data: they meet in a shuffle, and neither goes through the driver.
+    """
+    j = rows.hint("merge").join(votes, case)
+    if "choices" in votes.columns:
+        j = j.select("*", F.inline("choices")).drop("choices").where("n > 0")
     won = (F.col("choice") == "A") != F.col("flipped")
     return j.withColumn("result", F.when(F.col("choice").isin("A", "B"), F.when(won, "win").otherwise("loss")).otherwise(F.lower("choice")))
 
 
+def _times(results: DataFrame, where: Column) -> Column:
+    """How many votes a condition holds for: n a row where votes were counted before, else one a row."""
+    return F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0)) if "n" in results.columns else F.count(F.when(where, 1))
+
+
 def head_to_head(results: DataFrame, keys: list[str]) -> DataFrame:
-    n = lambda r: F.count(F.when(F.col("result") == r, 1))
+    n = lambda r: _times(results, F.col("result") == r)
     agg = results.groupBy(*keys).agg(n("win").alias("wins"), n("loss").alias("losses"), n("tie").alias("ties"), n("abstain").alias("cannot_judge"))
     decisive = F.col("wins") + F.col("losses")
     return agg.withColumn("decisive", decisive).withColumn("win_rate", js_round(share(F.col("wins"), F.col("decisive")), 8)).withColumn("wilson_lower", js_round(wilson_lower(F.col("wins"), F.col("decisive")), 8))
@@ -133,8 +153,8 @@ def family_macro(results: DataFrame, family: str = "family") -> DataFrame:
 
 def sources_with(results: DataFrame, source: str = "case_id", least: int = 5) -> DataFrame:
     """baseline and how many sources have `least` decisive votes or more."""
-    per = results.where("result IN ('win', 'loss')").groupBy("baseline", source).count()
-    return per.groupBy("baseline").agg(F.count(F.when(F.col("count") >= least, 1)).alias("sources"))
+    per = results.where("result IN ('win', 'loss')").groupBy("baseline", source).agg(_times(results, F.lit(True)).alias("_n"))
+    return per.groupBy("baseline").agg(F.count(F.when(F.col("_n") >= least, 1)).alias("sources"))
 
 
 def policy_coverage(cases: DataFrame) -> DataFrame:

@@ -257,3 +257,14 @@ def test_a_descent_on_moments_is_the_plain_one(spark):
     assert ranker.fit(rows.limit(0), ["k"]).count() == 0
     with pytest.raises(ValueError, match="groups"):
         ranker.fit(rows, ["k"], most_groups=2)
+
+
+def test_votes_counted_by_case_give_what_each_vote_gives(spark):
+    t = holdout.trials(cases(spark, 30), ["case_id", "family", "group"])
+    v = spark.range(400).selectExpr("id % 37 AS case_id", "id div 37 AS rater", "element_at(array('A', 'B', 'TIE', 'ABSTAIN'), cast(pmod(hash(id), 4) AS int) + 1) AS choice")
+    votes, n = holdout.judged(t, v), holdout.judged(t, holdout.counted(v))
+    same = lambda f: sorted(f(votes).collect()) == sorted(f(n).collect())
+    assert same(lambda r: holdout.head_to_head(r, ["baseline", "family"])) and same(lambda r: holdout.sources_with(r, least=3)) and same(holdout.family_macro)
+    assert n.count() <= 4 * t.count() and n.agg(F.min("raters")).first()[0] == votes.groupBy("trial_id").agg(F.countDistinct("rater").alias("n")).agg(F.min("n")).first()[0]
+    for r in (votes, n):
+        assert "Broadcast" not in r._jdf.queryExecution().executedPlan().toString()
