@@ -115,8 +115,11 @@ def display_rows(trials: DataFrame, display: DataFrame) -> DataFrame:
 
 
 def answered(responses: DataFrame, trials: DataFrame) -> DataFrame:
-    """Answers under opaque ids joined to the trials that they stand for; unknown ids keep a null trial."""
-    return responses.join(trials, "participant_id", "left")
+    """Answers under opaque ids joined to the trials that they stand for; unknown ids keep a null trial.
+
+    Both sides grow with the study: they meet in a shuffle, and neither goes through the driver.
+    """
+    return responses.hint("merge").join(trials, "participant_id", "left")
 
 
 def apply_rules(v: Column, audit: Column, source: Column, candidate: Column, comparison: Column) -> Column:

@@ -211,9 +211,11 @@ def participant_answers(spark, d):
     """Votes under the ids that participants see, joined back to the trial and its baseline; every 500th answers an unknown trial."""
     trials = holdout.trials(facts.holdout(spark, d), ["case_id", "family", "group"]).select("trial_id", "case_id", "baseline")
     opaque = trials.withColumn("participant_id", F.sha2(F.concat(F.lit("participant:"), "trial_id"), 256))
-    said = facts.case_votes(spark, d).join(opaque, "case_id").select("rater", "choice", F.when(F.col("case_id") % 500 == 0, F.lit("q-unknown")).otherwise(F.col("participant_id")).alias("participant_id"))
+    heard = F.when(F.col("case_id") % 500 == 0, F.lit("q-unknown")).otherwise(F.col("participant_id")).alias("participant_id")
+    said = holdout.counted(facts.case_votes(spark, d)).hint("merge").join(opaque, "case_id").select(heard, F.inline("choices")).where("n > 0")
+    said = said.groupBy("participant_id", "choice").agg(F.sum("n").alias("n"))
     back = studies.answered(said, opaque.select("participant_id", "trial_id", "baseline"))
-    return back.groupBy(F.coalesce("baseline", F.lit("unknown")).alias("baseline"), "choice").agg(F.count(F.lit(1)).alias("n"))
+    return back.groupBy(F.coalesce("baseline", F.lit("unknown")).alias("baseline"), "choice").agg(F.sum("n").alias("n"))
 
 
 @query

@@ -118,3 +118,10 @@ def test_mismatches_meet_in_a_shuffle(spark):
     out = studies.shown_mismatches(shown, replayed)
     assert "Broadcast" not in plan_of(out)
     assert {tuple(r) for r in out.collect()} == {("u1", 1, "z", "q"), ("u2", 0, None, "p"), ("u3", 0, "p", None)}
+
+
+def test_answers_find_their_trials_in_a_shuffle(spark):
+    trials = spark.createDataFrame([("p1", "t1"), ("p2", "t2")], "participant_id string, trial_id string")
+    out = studies.answered(spark.createDataFrame([("p1", 3), ("q", 1)], "participant_id string, n int"), trials)
+    assert "Broadcast" not in plan_of(out)
+    assert {tuple(r) for r in out.collect()} == {("p1", 3, "t1"), ("q", 1, None)}
