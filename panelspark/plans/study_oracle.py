@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators.holdout import HAZARDS
+from ..operators import markup
 from ..operators.markup import ALLOWED_ATTRIBUTES, ALLOWED_ELEMENTS, BLOCKED_ELEMENTS
 from ..operators.markup_reader import ATTRIBUTE, CLOSES, CONTROL, NAME, OPENS, QUOTED, REFERENCE, TOKEN, UNQUOTED
 from .oracle import F, H, P, R, REPLAY, centre
@@ -18,6 +19,22 @@ def counted(source: str, faults: dict[str, str], ctes: str = "") -> str:
 def every(key: str, *ns: int) -> str:
     return "(" + " OR ".join(f"{key} % {n} = 0" for n in ns) + ")"
 
+
+def spaced(pattern: str) -> str:
+    """The pattern with \\s as Java has it, vertical tabs included."""
+    out, inside, i = "", False, 0
+    while i < len(pattern):
+        two = pattern[i:i + 2]
+        if two[0] == "\\":
+            out += two if two != r"\s" else r"\s\x0B" if inside else r"[\s\x0B]"
+            i += 2
+            continue
+        inside = two[0] == "[" or inside and two[0] != "]"
+        out += two[0]
+        i += 1
+    return out
+
+
 def oracle() -> dict[str, str]:
     o: dict[str, str] = {}
     e, p, c, v = (lambda *n, k=k: every(k, *n) for k in ("event_id", "p_partkey", "conv_id", "vec_id"))
@@ -76,7 +93,7 @@ def oracle() -> dict[str, str]:
     o["replay_mismatches"] = f"WITH {REPLAY}, sh AS MATERIALIZED (SELECT rater, step, trial_id, rater || ':' || step AS k FROM rp) SELECT rater, step::INTEGER AS step, 'another' AS trial_id, trial_id AS expected FROM sh WHERE regexp_matches(sha256(k), '^0[0-4]')"
     names = lambda xs: ", ".join(f"'{x}'" for x in xs)
     bare = "h AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<!DOCTYPE[^>]*>', '', 'gi') AS h FROM pages)"
-    q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    q = lambda pattern: "'" + spaced(pattern).replace("'", "''") + "'"
     quoted = q(QUOTED)
     name_of = f"regexp_extract(t, {q(rf'^</?({NAME})')}, 1)"
     inside = f"regexp_replace(regexp_replace(t, {q(rf'^<{NAME}')}, ''), '/?>$', '')"
@@ -90,7 +107,7 @@ def oracle() -> dict[str, str]:
         lv AS (SELECT *, after + (k = 'close')::INT AS level FROM dp), mt AS (SELECT *, lag(n) OVER (PARTITION BY id, level, k IN ('open', 'close') ORDER BY pos) AS partner FROM lv),
         own AS (SELECT *, CASE WHEN k = 'stray' THEN 'stray-less-than' WHEN k = 'comment' AND contains(substr(t, 5, length(t) - 7), '--') THEN 'bad-comment' WHEN k = 'close' AND NOT regexp_matches(t, {q(CLOSES)}) THEN 'bad-closing-tag'
           WHEN opens AND regexp_matches(regexp_replace(t, {quoted}, '""', 'g'), {q(UNQUOTED)}) THEN 'unquoted-attribute' WHEN opens AND NOT regexp_matches(t, {q('(?s)' + OPENS)}) THEN 'bad-tag'
-          WHEN opens AND len({pairs}) > len(list_distinct(list_transform({pairs}, lambda a: regexp_extract(a, '^([^\\s=]+)', 1)))) THEN 'duplicate-attribute'
+          WHEN opens AND len({pairs}) > len(list_distinct(list_transform({pairs}, lambda a: regexp_extract(a, {q('^([^' + chr(92) + 's=]+)')}, 1)))) THEN 'duplicate-attribute'
           WHEN (opens OR k = 'text') AND contains(regexp_replace(t, {q(REFERENCE)}, '', 'g'), '&') THEN 'bad-reference' WHEN (k = 'text' AND contains(t, ']]>')) OR regexp_matches(t, {q(CONTROL)}) THEN 'bad-text'
           WHEN k = 'close' AND after < 0 THEN 'stray-close' WHEN k = 'close' AND partner IS DISTINCT FROM n THEN 'misnested' WHEN opens AND after - step = 0 AND opened > 1 THEN 'several-roots'
           WHEN after = 0 AND (k = 'section' OR (k = 'text' AND regexp_replace(t, '[ \\t\\r\\n]', '', 'g') <> '')) THEN 'content-outside-root' END AS broken FROM mt),
@@ -98,12 +115,31 @@ def oracle() -> dict[str, str]:
         brk AS (SELECT h.id, coalesce(tokens, 0) AS tokens, coalesce(elements, 0) AS elements, coalesce(early, CASE WHEN coalesce(elements, 0) = 0 THEN 'no-root' WHEN left_open > 0 THEN 'unclosed' END) AS code, early_at FROM h LEFT JOIN br USING (id))"""
     o["markup_breaks"] = f"""WITH {bare.replace('h AS', 'b AS', 1)}, h AS (SELECT page_id || '/served' AS id, h FROM b UNION ALL SELECT page_id || '/closed', regexp_replace(h, '<(br|hr|img|input|link|meta)\\b([^<>]*)>', '<\\1\\2/>', 'g') FROM b), {cut}
         SELECT id AS page, tokens::INT AS tokens, elements::INT AS elements, code, (CASE WHEN early_at IS NOT NULL THEN early_at WHEN code IS NOT NULL THEN tokens END)::INT AS at FROM brk"""
-    o["markup_document_issues"] = f"""WITH {bare.replace('h AS', 'b AS', 1)}, h AS (SELECT page_id AS id, h FROM b), {cut}, op AS (SELECT id, t, n AS name FROM nm WHERE opens),
-        pr AS (SELECT id, unnest({pairs}) AS pair FROM op), ab AS (SELECT id, regexp_extract(pair, '^([^\\s=]+)', 1) AS name, pair FROM pr)
-        SELECT DISTINCT id AS page_id, code FROM (
-          SELECT id, CASE WHEN name IN ({names(BLOCKED_ELEMENTS)}) THEN 'unsafe-element-' || name WHEN name NOT IN ({names(ALLOWED_ELEMENTS)}) THEN 'unsupported-element' END AS code FROM op
-          UNION ALL SELECT id, CASE WHEN name = 'href' AND NOT regexp_matches(pair, '=\\s*["'']?#[A-Za-z_][\\w:.-]*["'']?$') THEN 'external-resource' WHEN name <> 'href' AND name NOT IN ({names(ALLOWED_ATTRIBUTES)}) THEN 'unsupported-attribute' END FROM ab
-          UNION ALL SELECT id, 'invalid-viewbox' FROM op UNION ALL SELECT id, 'not-well-formed' FROM brk WHERE code IS NOT NULL) WHERE code IS NOT NULL"""
+    # a document is a row, whatever its id; what forbids parsing comes first and alone
+    first = f"""{bare.replace('h AS', 'b AS', 1)}, h0 AS MATERIALIZED (SELECT row_number() OVER () AS id, page_id, h FROM b),
+        fl AS (SELECT *, list_filter([CASE WHEN strlen(h) > {markup.MAX_BYTES} THEN 'input-too-large' END, CASE WHEN regexp_matches(h, '(?i)<!DOCTYPE') THEN 'unsafe-doctype' END, CASE WHEN regexp_matches(h, '(?i)<!ENTITY') THEN 'unsafe-entity' END,
+          CASE WHEN contains(regexp_replace(h, {q(markup.DECLARED)}, ''), '<?') THEN 'unsafe-processing-instruction' END, CASE WHEN len(regexp_extract_all(h, {q(markup.ELEMENT)})) > {markup.MAX_ELEMENTS} THEN 'too-many-elements' END], lambda c: c IS NOT NULL) AS early FROM h0),
+        h AS (SELECT id, h FROM fl WHERE len(early) = 0)"""
+    code = "CASE WHEN starts_with(p, '&#x') THEN try_cast('0x' || regexp_extract(p, 'x([0-9A-Fa-f]+)', 1) AS INTEGER) WHEN starts_with(p, '&#') THEN try_cast(regexp_extract(p, '#([0-9]+)', 1) AS INTEGER) END"
+    valid = f"coalesce({code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343, false)"
+    decoded = lambda v: f"coalesce(array_to_string(list_transform(regexp_extract_all({v}, '(?s)&(?:amp|lt|gt|quot|apos|#[0-9]{{1,7}}|#x[0-9A-Fa-f]{{1,6}});|[^&]+|&'), lambda p: CASE p WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '\"' WHEN '&apos;' THEN '''' ELSE CASE WHEN {valid} THEN chr(CASE WHEN {valid} THEN {code} ELSE 63 END) ELSE p END END), ''), '')"
+    css = lambda v: f"regexp_matches({v}, {q(rf'\A\s*{markup.VALUE}\s*\z')})"
+    fine = f"lower(regexp_extract(p, {q(r'\A\s*([A-Za-z-]+)\s*:')}, 1)) IN ({names(markup.STYLE_PROPERTIES)}) AND {css('regexp_extract(p, ' + q(r'(?s)\A[^:]*:(.*)\z') + ', 1)')}"
+    safe = f"(len(list_filter(regexp_extract_all(value, {q(markup.DECLARATION)}), lambda p: trim(p, ' ') <> '' AND NOT ({fine}))) = 0 AND regexp_matches(regexp_replace(value, {q(markup.DECLARATION)}, '', 'g'), {q(r'\A[;\s]*\z')}))"
+    o["markup_document_issues"] = f"""WITH {first}, {cut}, op AS (SELECT id, t, string_split(n, ':')[-1] AS name, after + (k = 'empty')::INT AS depth FROM dp WHERE opens),
+        pr AS (SELECT id, unnest({pairs}) AS pair FROM op), sp AS (SELECT id, regexp_extract(pair, {q(r'\A([^\s=]+)')}, 1) AS full_name, contains(pair, '=') AS told, regexp_extract(pair, {q(r'(?s)\A[^=]*=\s*(.*)\z')}, 1) AS v FROM pr),
+        raw AS (SELECT id, full_name, string_split(full_name, ':')[-1] AS name, CASE WHEN NOT told THEN '' WHEN v[1] IN ('"', '''') THEN substr(v, 2, length(v) - 2) ELSE v END AS r FROM sp), ab AS (SELECT id, full_name, name, starts_with(lower(name), 'on') AS event, {decoded('r')} AS value FROM raw),
+        ft AS (SELECT id, arg_min(t, pos) AS t FROM nm WHERE k IN ('open', 'close', 'empty') GROUP BY id), fp AS (SELECT id, list_filter({pairs}, lambda a: regexp_extract(a, {q(r'\A([^\s=]+)')}, 1) = 'viewBox')[1] AS pair FROM ft),
+        fv AS (SELECT id, CASE WHEN contains(pair, '=') THEN regexp_extract(pair, {q(r'(?s)\A[^=]*=\s*(.*)\z')}, 1) END AS v FROM fp), fr AS (SELECT id, CASE WHEN v[1] IN ('"', '''') THEN substr(v, 2, length(v) - 2) ELSE v END AS r FROM fv),
+        fd AS (SELECT id, list_transform(string_split_regex(trim({decoded('r')}, ' '), {q(r'[\s,]+')}), lambda p: CASE WHEN regexp_matches(p, {q(rf'\A{markup.PLAIN_NUMBER}\z')}) THEN try_cast(p AS DOUBLE) END) AS box FROM fr)
+        SELECT DISTINCT page_id, code FROM (
+          SELECT id, unnest(early) AS code FROM fl UNION ALL SELECT id, 'not-well-formed' FROM brk WHERE code IS NOT NULL
+          UNION ALL SELECT id, CASE WHEN name IN ({names(BLOCKED_ELEMENTS)}) THEN 'unsafe-element-' || name WHEN name NOT IN ({names(ALLOWED_ELEMENTS)}) THEN 'unsupported-element' END FROM op
+          UNION ALL SELECT id, 'tree-too-deep' FROM op WHERE depth > {markup.MAX_DEPTH}
+          UNION ALL SELECT id, unnest([CASE WHEN event THEN 'unsafe-event-attribute' END, CASE WHEN name = 'href' AND NOT regexp_matches(trim(value, ' '), {q(rf'\A#{markup.NAME}\z')}) THEN 'external-resource' END,
+            CASE WHEN name = 'style' AND NOT {safe} THEN 'unsafe-style' END, CASE WHEN name IN ({names(markup.PAINTS)}) AND contains(value, '(') AND NOT {css('value')} THEN 'external-resource' END,
+            CASE WHEN name <> 'href' AND NOT event AND full_name NOT IN ({names(ALLOWED_ATTRIBUTES)}) THEN 'unsupported-attribute' END]) FROM ab
+          UNION ALL SELECT id, 'invalid-viewbox' FROM fd WHERE NOT coalesce(len(box) = 4 AND len(list_filter(box, lambda p: p IS NOT NULL AND isfinite(p))) = 4 AND box[3] > 0 AND box[4] > 0, false)) JOIN fl USING (id) WHERE code IS NOT NULL"""
     o["coloured_roots"] = f"WITH {bare} SELECT page_id, sha256(regexp_replace(h, '^(\\s*)<html', '\\1<html color=\"#123456\" fill=\"#123456\"')) AS sha256 FROM h"
     o["comparison_panels"] = f"SELECT p_partkey AS case_id, theme, size, sha256(p_partkey || ':source') AS source_image, sha256(concat_ws(':', p_partkey, p_size % 9 - 4, theme, size)) AS candidate_image FROM part, (VALUES ('light'), ('dark')) a(theme), (VALUES (16), (24)) b(size) WHERE {held} AND p_size % 11 <> 0 AND p_size % 9 <> 4"
     o["run_summary"] = f"WITH {P} SELECT '{{\"eligible_pairs\":' || count(*) FILTER (WHERE eligible) || ',\"eligible_family_count\":' || count(DISTINCT family_no) FILTER (WHERE eligible) || '}}' AS summary FROM p"

@@ -125,3 +125,38 @@ def test_answers_find_their_trials_in_a_shuffle(spark):
     out = studies.answered(spark.createDataFrame([("p1", 3), ("q", 1)], "participant_id string, n int"), trials)
     assert "Broadcast" not in plan_of(out)
     assert {tuple(r) for r in out.collect()} == {("p1", 3, "t1"), ("q", 1, None)}
+
+
+def odd_pages():
+    """Documents that meet each rule of the issues, and a few ids that are missing or shared."""
+    svg = lambda inside, more="": f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 24 24"{more}>{inside}</svg>'
+    texts = [
+        None, "", "no tags", "</a>", '</a viewBox="0 0 1 1"><svg/>', svg(""), svg("<path d='M0'/>"), "<!DOCTYPE", "<!doctype html><svg/>", "<!DOCTYPE a", "<!ENTITY x>" + svg(""), '<?xml version="1.0"?>' + svg(""), svg("<?php ?>"),
+        svg("<g>" * 127 + "</g>" * 127), svg("<g>" * 128 + "</g>" * 128), svg("<g>" * 127 + "<path/>" + "</g>" * 127), svg("<g>" * 128 + "<path/>" + "</g>" * 128), "<svg>" + "<g/>" * 10_000 + "</svg>",
+        svg('<a:script/><b:path/><x: /><set/>'), svg("", ' onclick="x"'), svg("", ' a:ONload="x"'), svg("", " onclick"), svg("<use href/>"), svg('<use href=""/>'), svg('<use href=" #a "/>'), svg('<use href="&#35;a"/>'), svg('<use x:href="&#x23;a&amp;"/>'),
+        svg("<use href=#b/>"), svg("<use href='#b c'/>"), svg("", ' style="fill:red;stroke : url(#a) !important"'), svg("", ' style="fill:url(http://a)"'), svg("", ' style="behavior:x"'), svg("", ' style="fill:&#x75;rl(x)"'), svg("", " style"), svg("", ' style="fill:red)"'),
+        svg("", ' fill="url(#a)"'), svg("", ' fill="url(x)"'), svg("", ' a:mask="f(1)"'), svg("", ' xlink:title="a"'), svg("", ' viewbox="0 0 1 1"'), '<svg viewBox="0,0 1 1"/>', '<svg viewBox="0 0 0 1"/>', '<svg viewBox="0 0 1d 1f"/>', '<svg viewBox="0 0 1_0 1"/>',
+        '<svg viewBox=" 0\t0  +1e1 .5 "/>', '<svg viewBox="0 0 1 1 "/>', '<svg viewBox="0 0 inf 1"/>', '<svg viewBox="0 0 1e999 1"/>', '<svg viewBox="&#48; 0 1 1"/>', "<svg viewBox/>", "<svg viewBox=1/>", '<svg viewBox="0\x0b0 1 1"/>', '<svg\x0bviewBox="0 0 1 1"/>', svg("&#0;&#xD800;&#9999999;", ' id="&#xD800;&#0;&bad;&#128512;"'),
+    ]
+    deep = svg("<g>" * 70 + "</g>" * 70)
+    return [*((i, t) for i, t in enumerate(texts)), (-1, deep), (-1, deep), (None, deep), (None, "<svg><g>"), (-2, "<svg><g>"), (-2, "</g></svg>")]
+
+
+def test_issues_of_odd_documents_equal_their_sql(spark, tmp_path):
+    spark.createDataFrame(odd_pages(), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = {}
+    for key, code in con.execute(SQL["markup_document_issues"]).fetchall():
+        want.setdefault(key, set()).add(code)
+    got = {}
+    for r in study_queries.markup_document_issues(spark, str(tmp_path)).collect():
+        got.setdefault(r.page_id, set()).add(r.code)
+    texts = dict(odd_pages())
+    differ = [(k, texts.get(k), got.get(k), want.get(k)) for k in {*got, *want} if got.get(k) != want.get(k)]
+    assert not differ, differ
+    found = set().union(*got.values())
+    assert {"too-many-elements", "unsafe-doctype", "unsafe-entity", "unsafe-processing-instruction", "tree-too-deep", "unsafe-event-attribute", "unsafe-style", "external-resource", "unsafe-element-script"} <= found
+    assert -1 not in got  # two documents of one id aren't one
+    at = {t: k for k, t in odd_pages()}
+    assert "external-resource" in got[at['<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 24 24"><use href/></svg>']] and "invalid-viewbox" in got[at['<svg viewBox="0 0 1d 1f"/>']]
