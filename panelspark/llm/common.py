@@ -75,6 +75,19 @@ def slices(batch: pa.RecordBatch, text: int, rows: int = 1024, size: int = 4_000
         at = end
 
 
+def runs(texts: list[bytes], size: int = 250_000):
+    """Texts in order, in lists of at most so many bytes in all, but for single texts."""
+    run, total = [], 0
+    for t in texts:
+        if run and total + len(t) > size:
+            yield run
+            run, total = [], 0
+        run.append(t)
+        total += len(t)
+    if run:
+        yield run
+
+
 def store(df: DataFrame) -> DataFrame:
     """Cut lineage through a table in the shared folder, which is smaller than what keep() writes."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -19,12 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, mix64, seeds64, word_hashes
+from .common import keep, mix64, runs, seeds64, slices, word_hashes
 from .components import components
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; fewer words than a shingle's are one shingle, none give none."""
+    """Sorted distinct 64-bit shingle hashes of each text; fewer words than a shingle's are one shingle, none give none.
+
+    Hashing takes some 50 bytes for each byte of text, so texts are hashed in runs of bounded size.
+    """
+    return [s for run in runs(texts) for s in _shingle_sets(run, words)]
+
+
+def _shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     hashes, counts = word_hashes(texts)
     place = seeds64(words, 3) | np.uint64(1)
     n = max(0, len(hashes) - words + 1)
@@ -60,8 +67,7 @@ def sub_keys(sets: list[np.ndarray], side: int, width: int) -> np.ndarray:
 def signatures(docs: DataFrame, words: int, side: int, width: int) -> DataFrame:
     def run(source):
         for batch in source:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch, 1, size=1_000_000):
                 sets = shingle_sets([(t or "").encode() for t in part.column(1).to_pylist()], words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys = np.zeros((len(sets), 2 * side), np.uint64)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, slices
 
 # Look-alikes of Latin letters (Cyrillic, Greek and others), in the order of the letters they stand for.
 LOOK_ALIKES = {
@@ -209,8 +209,9 @@ def score(docs: DataFrame, lexicon: dict, id_col: str = "doc_id", text_col: str
         a = automaton(lexicon)
         at = base_names.index(text_col)
         for batch in source:
-            s = [score_text(a, lexicon["weights"], t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*base_names, "score", "predicted"])
+            for part in slices(batch, at):
+                s = [score_text(a, lexicon["weights"], t or "") for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*base_names, "score", "predicted"])
 
     base_names = base.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
@@ -224,6 +225,7 @@ def drop_toxic(docs: DataFrame, lexicon: dict, text_col: str = "text", threshold
     def run(source):
         a = automaton(lexicon)
         for batch in source:
-            yield batch.filter(pa.array([score_text(a, lexicon["weights"], t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            for part in slices(batch, at):
+                yield part.filter(pa.array([score_text(a, lexicon["weights"], t or "") < threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

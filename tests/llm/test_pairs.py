@@ -3,18 +3,20 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelspark.llm import decontaminate, near_dedup, nearest, substring_dedup
+from panelspark.llm import common, decontaminate, near_dedup, nearest, substring_dedup
 from panelspark.llm.common import words_of
 from panelspark.llm.components import components
 from panelspark.llm.substring_dedup import equal_windows
 
 ODD = [(901, None), (902, ""), (903, " \n"), (904, "one two"), (905, "ONE  two"), (None, "no id at all here"), (906, "x" * 4000), (907, "x" * 4000)]
+WORDS = [f"word{i}" for i in range(3000)]
 
 
 def frame(spark, rows):
@@ -68,6 +70,20 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_shingling_takes_memory_of_bounded_size():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(WORDS, k=500)).encode() for _ in range(2000)]
+    alone = [near_dedup.shingle_sets([t], 5)[0] for t in texts[::100]]
+    common._POW.clear()
+    tracemalloc.start()
+    sets = near_dedup.shingle_sets(texts, 5)
+    peak = tracemalloc.get_traced_memory()[1] - sum(s.nbytes for s in sets)
+    tracemalloc.stop()
+    assert peak < 40e6  # all texts at once took ten times that
+    assert all((s == t).all() for s, t in zip(sets[::100], alone, strict=True))
+    assert [len(r) for r in common.runs([b"x" * 4, b"", b"y" * 9, b"z", b"z"], size=5)] == [2, 1, 2]
+
+
 def test_tensored_keys_meet_as_often_as_they_should():
     rng = np.random.default_rng(1)
     met = 0
