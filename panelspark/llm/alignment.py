@@ -21,6 +21,7 @@ import uuid
 from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,45 +103,78 @@ def readable(path: str):
     return check
 
 
-def pair_up(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[str], list[int]]:
-    """The groups, as text, and all pairs of tokens (a << 32 | b) that overlap, of two token lists over the same bytes."""
-    groups, links = [], []
-    i = j = from_i = from_j = 0
-    end_a, end_b = size_a[0], size_b[0]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-            if i == len(a):
-                return groups, links
-            from_i, from_j, end_a, end_b = i, j, end_a + size_a[i], end_b + size_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += size_a[i]
-        else:
-            j += 1
-            end_b += size_b[j]
+def column_aligner(a_path: str, b_path: str):
+    """A function from segments to the ids of a and of b, end to end, and the columns n_a, n_b, n_groups, groups (as text), pairs (a << 32 | b) and times.
 
-
-def aligner(a_path: str, b_path: str):
-    """A function from segments to (ids of a, ids of b, groups, pairs) of each."""
+    The segments of a call are one run of bytes, and so are their tokens in either file: the stretches between all ends are
+    the pairs of tokens that overlap, and the ends that both have are those of groups.
+    """
     tokenizer, bytes_a = load_bytes(a_path)
     pieces, bytes_b = load_pieces(b_path)
     # what the piece file puts before a text is kept off by a control character that no piece holds
     guard = next(c for c in map(chr, range(1, 32)) if not any(c in pieces.id_to_piece(i) for i in range(pieces.get_piece_size())))
-    before = pieces.encode(guard)
-    size_a, size_b = list(map(len, bytes_a)), list(map(len, bytes_b))
+    before = np.array(pieces.encode(guard), np.int64)
+    size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (bytes_a, bytes_b))
+    # ids with what stands after them: "," inside a group's half, "|" between halves, ";" between groups
+    shift_a, shift_b = len(bytes_a), len(bytes_b)
+    written = pa.array([f"{i}{c}" for n, after in ((shift_a, (",", "|")), (shift_b, (",", ";", ""))) for c in after for i in range(n)])
+
+    def spelt(ids: list[list[int]], tokens: list[bytes], raw: list[bytes]) -> None:
+        for x, r in zip(ids, raw, strict=True):
+            if b"".join([tokens[i] for i in x]) != r:
+                raise ValueError(f"tokens of {r.decode()[:40]!r} don't spell it")
+
+    def align(segments: list[str]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        n, guards, raw = len(segments), len(before), [s.encode() for s in segments]
+        all_a = [e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        all_b = pieces.encode([guard + s for s in segments], num_threads=1)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, n) for x in (all_a, all_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, k.sum()) for x, k in ((all_a, n_a), (all_b, n_b)))
+        own = np.arange(len(b)) - np.repeat(np.cumsum(n_b) - n_b, n_b) >= guards
+        if n_b.min() < guards or (b[~own].reshape(n, guards) != before).any():
+            raise ValueError("a piece reaches over the guard")
+        b, n_b = b[own], n_b - guards
+        end, end_a, end_b = np.cumsum([len(r) for r in raw]), np.cumsum(size_a[a]), np.cumsum(size_b[b])
+        last_a, last_b, joined = np.cumsum(n_a) - 1, np.cumsum(n_b) - 1, b"".join(raw)
+        fits = min(n_a.min(), n_b.min(), size_a[a].min(initial=1), size_b[b].min(initial=1)) > 0 and (end_a[last_a] == end).all() and (end_b[last_b] == end).all()
+        if not fits or b"".join([bytes_a[i] for i in a.tolist()]) != joined or b"".join([bytes_b[i] for i in b.tolist()]) != joined:
+            spelt(all_a, bytes_a, raw)
+            spelt([x[guards:] for x in all_b], bytes_b, raw)
+            raise ValueError("a token without a byte")
+        cuts = np.union1d(end_a, end_b)
+        pair, of = a[np.searchsorted(end_a, cuts)] << 32 | b[np.searchsorted(end_b, cuts)], np.searchsorted(end, cuts)
+        order = np.lexsort((pair, of))
+        pair, of = pair[order], of[order]
+        first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+        at = pa.array(np.searchsorted(of[first], np.arange(n + 1)), pa.int32())
+        times = np.diff(first, append=len(pair))
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        final = np.zeros(len(b), np.int64)
+        final[last_b] = 1
+        write_a = a + shift_a * (both[group_a] == end_a)
+        write_b = 2 * shift_a + b + shift_b * ((both[group_b] == end_b) + final)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        text = written.take(pa.array(np.concatenate([write_a, write_b])[order]))
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(n_a + n_b)]), pa.int32()), text), "")
+        counts = [pa.array(x, pa.int32()) for x in (n_a, n_b, np.bincount(np.searchsorted(end, both), minlength=n))]
+        return a, b, [*counts, groups, pa.ListArray.from_arrays(at, pa.array(pair[first])), pa.ListArray.from_arrays(at, pa.array(times, pa.int32()))]
+
+    return align
+
+
+def aligner(a_path: str, b_path: str):
+    """A function from segments to (ids of a, ids of b, groups, pairs with how often each is there) of each."""
+    run = column_aligner(a_path, b_path)
 
     def align(segments: list[str]):
-        all_b = pieces.encode([guard + s for s in segments], num_threads=1)
-        for s, e, b in zip(segments, tokenizer.encode_batch_fast(segments, add_special_tokens=False), all_b, strict=True):
-            a, guarded, b = e.ids, b[: len(before)], b[len(before) :]
-            raw = s.encode()
-            if guarded != before or b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
-                raise ValueError(f"tokens of {s[:40]!r} don't spell it")
-            groups, links = pair_up(a, b, [size_a[i] for i in a], [size_b[i] for i in b])
-            yield a, b, groups, links
+        if not segments:
+            return
+        a, b, columns = run(segments)
+        at_a = at_b = 0
+        for n_a, n_b, _, groups, pairs, times in zip(*(c.to_pylist() for c in columns), strict=True):
+            yield a[at_a : at_a + n_a].tolist(), b[at_b : at_b + n_b].tolist(), groups.split(";"), dict(zip(pairs, times, strict=True))
+            at_a, at_b = at_a + n_a, at_b + n_b
 
     return align
 
@@ -166,16 +200,10 @@ def aligned_segments(docs: DataFrame, a_path: str, b_path: str, text_col: str, t
         yield out()
 
     def align(source):
-        run = aligner(a_path, b_path)
+        run = column_aligner(a_path, b_path)
         for batch in source:
             for part in slices(batch, 0, rows=4096, size=1_000_000):
-                rows = []
-                for a, b, groups, links in run(part.column(0).to_pylist()):
-                    pairs = Counter(links)
-                    rows.append((len(a), len(b), len(groups), ";".join(groups), list(pairs), list(pairs.values())))
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["segment", "n", "n_a", "n_b", "n_groups", "groups", "pairs", "times"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *run(part.column(0).to_pylist())[2]], names=["segment", "n", "n_a", "n_b", "n_groups", "groups", "pairs", "times"])
 
     each = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
     return store(each.mapInArrow(align, "segment string, n long, n_a int, n_b int, n_groups int, groups string, pairs array<long>, times array<int>"))

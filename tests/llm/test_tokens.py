@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -150,6 +152,38 @@ def test_segments_are_tokenised_as_whole_texts_are(text):
         assert [i for x in got for i in x[0]] == [i for i, _ in a] and [i for x in got for i in x[1]] == [i for i, _ in b]
 
 
+def test_columns_of_alignments_against_brute_force():
+    words = [" Walking", " naïve", "\tx1y22", " <|endoftext|>", "\n);\r\n", " 中文字", " ", "  ", " \U0001f600\U0001f600", " don't"]
+    segments = [words[i % 10] + words[i // 10 % 10].strip() * (i % 7) for i in range(700)] + [" " + "ab中" * 3000]
+    a, b, columns = alignment.column_aligner(A, B)(segments)
+    got = list(zip(*(c.to_pylist() for c in columns), strict=True))
+    at = bt = 0
+    for n_a, n_b, n_groups, groups, pairs, times in got[:-1]:
+        x, y = spans([(i, alignment.load_bytes(A)[1][i]) for i in a[at : at + n_a].tolist()]), spans([(j, alignment.load_pieces(B)[1][j]) for j in b[bt : bt + n_b].tolist()])
+        at, bt = at + n_a, bt + n_b
+        assert Counter(dict(zip(pairs, times, strict=True))) == Counter(i << 32 | j for i, s, e in x for j, t, f in y if s < f and t < e)
+        cuts = sorted({e for _, _, e in x} & {e for _, _, e in y})
+        text = ";".join(",".join(str(i) for i, _, e in x if low < e <= high) + "|" + ",".join(str(j) for j, _, e in y if low < e <= high) for low, high in zip([0, *cuts], cuts, strict=False))
+        assert (n_groups, groups) == (len(cuts), text)
+
+
+def test_aligning_costs_less_than_tokenising():
+    rng = random.Random(5)
+    segments = [" " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz,.", k=rng.randint(4, 14))) for _ in range(4000)]
+    run, tokenizer, pieces = alignment.column_aligner(A, B), alignment.load_bytes(A)[0], alignment.load_pieces(B)[0]
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            t = time.process_time()
+            f()
+            took.append(time.process_time() - t)
+        return min(took)
+
+    both = least(lambda: ([e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)], pieces.encode(segments, num_threads=1)))
+    assert least(lambda: run(segments)) < 2 * both
+
+
 def test_no_break_before_what_pieces_reach_over():
     assert "\r" not in alignment.breaks(B) and {" ", "\n"} <= set(alignment.breaks(B))
 
