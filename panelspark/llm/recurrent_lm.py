@@ -84,6 +84,24 @@ def sigmoid(x):
     return np.reciprocal(x, out=x)
 
 
+def narrow(x: np.ndarray, most: int) -> np.ndarray:
+    """Small numbers in 16 bits, which a stable sort goes through by digits."""
+    return x.astype(np.int16) if most < 1 << 15 else x
+
+
+def exps(s: np.ndarray, w: np.ndarray, b: np.ndarray, rows: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In place: exps of logits s = h w + b up to a factor a row, their sums, and the logit of each row less that factor's log.
+
+    No state leaves [-1, 1], so weights bound the logits: as long as exp takes them as they are, no row's maximum is sought.
+    """
+    reach = np.abs(w).sum(0)
+    if not ((b + reach).max() < 80 and (b - reach).max() > -80):
+        s -= s.max(1, keepdims=True)
+    own = s[rows, of]
+    e = np.exp(s, out=s)
+    return e, e @ np.ones(e.shape[1], np.float32), own
+
+
 class Net:
     """Inputs 0..words (0 is the end) and tail shapes after them; classes of `size` words, then one a shape."""
 
@@ -124,34 +142,31 @@ class Net:
         """Natural log probabilities of targets y (words, or tail shapes as such) from states h; with grads also dh of their negative sum."""
         p = self.p
         cls = self.class_of(y)
-        s = h @ p["c"] + p["cb"]
-        s -= s.max(1, keepdims=True)
+        s = h @ p["c"]
+        s += p["cb"]
         rows = np.arange(len(y))
-        out = s[rows, cls].astype(np.float64)
-        e = np.exp(s, out=s)
-        total = e.sum(1)
-        out -= np.log(total)
+        e, total, own = exps(s, p["c"], p["cb"], rows, cls)
+        out = own.astype(np.float64) - np.log(total)
         if grads is not None:
             e /= total[:, None]
             e[rows, cls] -= 1
             grads["c"] += h.T @ e
             grads["cb"] += e.sum(0)
             dh = e @ p["c"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(narrow(cls, self.classes), kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.groups + 1))
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             at = order[bounds[k] : bounds[k + 1]]
-            s = h[at] @ p["w"][k] + p["wb"][k]
-            s -= s.max(1, keepdims=True)
-            inner, r = y[at] - k * self.size, np.arange(len(at))
-            own = s[r, inner]
-            e = np.exp(s, out=s)
-            total = e.sum(1)
+            mine = h[at]
+            s = mine @ p["w"][k]
+            s += p["wb"][k]
+            inner, r = y[at] - k * self.size, rows[: len(at)]
+            e, total, own = exps(s, p["w"][k], p["wb"][k], r, inner)
             out[at] += own - np.log(total)
             if grads is not None:
                 e /= total[:, None]
                 e[r, inner] -= 1
-                grads["w"][k] += h[at].T @ e
+                grads["w"][k] += mine.T @ e
                 grads["wb"][k] += e.sum(0)
                 dh[at] += e @ p["w"][k].T
         return out if grads is None else (out, dh)
@@ -215,7 +230,7 @@ class Net:
                 flat_d = d_gates.reshape(-1, 3 * n)
                 g["rn"] += (r * olds).reshape(-1, n).T @ flat_d[:, two:]
                 g["rzr"] += olds.reshape(-1, n).T @ flat_d[:, :two]
-                order = np.argsort(x.ravel(), kind="stable")
+                order = np.argsort(narrow(x.ravel(), self.words + SHAPES), kind="stable")
                 ids = x.ravel()[order]
                 first = np.flatnonzero(np.diff(ids, prepend=-1) != 0)
                 g["u"][ids[first]] += np.add.reduceat(flat_d[order], first, axis=0)
@@ -412,12 +427,18 @@ def score_documents(docs: DataFrame, training, net_words: int = 2047, class_size
         return np.array(ids, np.int32), own, uni, other
 
     def code(source):
-        at = 0
+        at, place_of = 0, {w: t[0] for w, t in table.items()}.get
+
+        def only_ids(text: str | None) -> bytes:
+            words = words_in(text)
+            ids = [len(inner) + 1 + shape_of(w.decode()) if i is None else i for w, i in zip(words, map(place_of, words), strict=True)]
+            return np.array([*ids, 0], np.int32).tobytes()
+
         for batch in source:
             m = batch.num_rows
             rounds = np.take(np.array(ROUND_OF, np.int32), np.arange(at, at + m) % len(ROUND_OF))
             at += m
-            yield pa.RecordBatch.from_arrays([pa.array([encode(t)[0].tobytes() for t in batch.column(0).to_pylist()], pa.binary()), pa.array(rounds)], names=["ids", "round"])
+            yield pa.RecordBatch.from_arrays([pa.array([only_ids(t) for t in batch.column(0).to_pylist()], pa.binary()), pa.array(rounds)], names=["ids", "round"])
 
     if ends:
         fit(net, keep(base.where("training").select("text").mapInArrow(code, "ids binary, round int")), n, train_tokens)

@@ -389,3 +389,17 @@ def test_class_marks_that_name_an_absent_or_surrounded_part():
             assert [x[1] for x in html_text.own_of(html_text.blocks(page))] == ["Text."]
     for name in ("html", "body", "main", "article"):
         assert html_text.own_of(html_text.blocks(f"<{name} class='search'><p>Text."))
+
+
+def test_exps_of_logits_do_without_a_maximum_while_weights_bound_them():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows, of = np.arange(50), rng.integers(0, 9, 50)
+    for scale in (1.0, 5.0, 400.0):
+        w, b = (rng.standard_normal(x).astype(np.float32) * np.float32(scale) for x in ((6, 9), 9))
+        h = np.tanh(rng.standard_normal((50, 6))).astype(np.float32)
+        s = (h @ w + b).astype(float)
+        want = s[rows, of] - s.max(1) - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1))
+        _, total, own = recurrent_lm.exps(h @ w + b, w, b, rows, of)
+        assert np.allclose(own - np.log(total), want, rtol=1e-4, atol=1e-3)
